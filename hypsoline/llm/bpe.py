@@ -15,8 +15,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import col, unused
+from .common import col, map_arrow, unused
 
 PIECE = 1 << 16
 RUN = 1 << 12
@@ -74,20 +75,15 @@ def decode_ids(ids: list[int], rank_file: str, pattern: str) -> bytes:
     return encoding(rank_file, pattern).decode_bytes(ids)
 
 
-def _map(df: DataFrame, source: Column, out: T.StructField, make) -> DataFrame:
-    """Adds column `out` made from expression `source`, batch by batch; an input column of that name is replaced."""
-    kept = [c for c in df.columns if c.lower() != out.name.lower()]
-    (inner,) = unused(df, "_in")
-    fed = df.select(*[col(c) for c in kept], source.alias(inner))
-    schema = T.StructType([df.schema[c] for c in kept] + [out])
+def _map(df: DataFrame, source: Column, out: T.StructField, one) -> DataFrame:
+    """Adds column `out`, one(x) of each value of `source`, some rows at a time; an input column of that name is replaced."""
+    kind = to_arrow_type(out.dataType)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], make(part.column(part.num_columns - 1))], names=[*kept, out.name])
+    def make(rows: pa.RecordBatch, arrays: list[pa.Array]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
+        for at in range(0, rows.num_rows, 256):
+            yield rows.slice(at, 256), [pa.array([one(x) for x in arrays[0].slice(at, 256).to_pylist()], kind)]
 
-    return fed.mapInArrow(run, schema)
+    return map_arrow(df, [c for c in df.columns if c.lower() != out.name.lower()], [source], [out], make)
 
 
 def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
@@ -97,11 +93,10 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", out:
     encoded; an empty table stays empty; an input column named as `out` is replaced, every other one kept.
     """
 
-    def make(texts: pa.Array) -> pa.Array:
-        got = [encode_text(b.decode("utf-8", "replace"), rank_file, pattern) if b else [] for b in texts.to_pylist()]
-        return pa.array(got, pa.list_(pa.int32()))
+    def one(b: bytes | None) -> list[int]:
+        return encode_text(b.decode("utf-8", "replace"), rank_file, pattern) if b else []
 
-    return _map(df, col(text).cast("binary"), T.StructField(out, T.ArrayType(T.IntegerType())), make)
+    return _map(df, col(text).cast("binary"), T.StructField(out, T.ArrayType(T.IntegerType())), one)
 
 
 def decode(df: DataFrame, rank_file: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -110,11 +105,10 @@ def decode(df: DataFrame, rank_file: str, pattern: str, ids: str = "ids", out: s
     An id outside the rank file raises an error. Columns are treated as in encode().
     """
 
-    def make(arrays: pa.Array) -> pa.Array:
-        got = [decode_ids([i for i in x if i is not None], rank_file, pattern) if x else b"" for x in arrays.to_pylist()]
-        return pa.array(got, pa.binary())
+    def one(x: list[int] | None) -> bytes:
+        return decode_ids([i for i in x if i is not None], rank_file, pattern) if x else b""
 
-    return _map(df, col(ids), T.StructField(out, T.BinaryType()), make)
+    return _map(df, col(ids), T.StructField(out, T.BinaryType()), one)
 
 
 def op1(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,3 +60,22 @@ def small_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame
     import json
 
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
+
+
+def map_arrow(df: DataFrame, kept: list[str], inputs: list[Column], outputs: list[T.StructField], make: Callable[[pa.RecordBatch, list[pa.Array]], Iterator[tuple[pa.RecordBatch, list[pa.Array]]]]) -> DataFrame:
+    """df's columns `kept` and new ones, made in Arrow batches.
+
+    make(rows, arrays) gets the kept columns of a batch and its input expressions, and yields batches of kept columns
+    with the arrays of `outputs`. Columns go through by place, so that any name will do.
+    """
+    n = len(kept)
+    fed = df.select(*[col(c).alias(f"c{i}") for i, c in enumerate(kept)], *[x.alias(f"x{i}") for i, x in enumerate(inputs)])
+    types = [df.schema[c].dataType for c in kept] + [f.dataType for f in outputs]
+    schema = T.StructType([T.StructField(f"c{i}", t) for i, t in enumerate(types)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rows, made in make(b.select(range(n)), b.columns[n:]):
+                yield pa.RecordBatch.from_arrays([*rows.columns, *made], names=schema.names)
+
+    return fed.mapInArrow(run, schema).toDF(*kept, *[f.name for f in outputs])

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
-from .common import col, unused
+from .common import col, map_arrow, unused
 
 MARK = "▁"
 LONGEST = 16
@@ -197,18 +197,14 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     language first by name. Input columns of these names are replaced; repeated rows agree.
     """
     kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
-    fed = docs.select(*[col(c) for c in kept], col(text).cast("binary").alias(unused(docs, "_raw")[0]))
-    schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                b = whole.slice(at, 1024)
-                texts = pa.array([None if x is None else x.decode("utf-8", "replace") for x in b.column(b.num_columns - 1).to_pylist()], pa.large_string())
-                langs, scores = model.predict(texts)
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
+    def make(rows: pa.RecordBatch, arrays: list[pa.Array]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
+        for at in range(0, rows.num_rows, 1024):
+            raw = arrays[0].slice(at, 1024).to_pylist()
+            langs, scores = model.predict(pa.array([None if x is None else x.decode("utf-8", "replace") for x in raw], pa.large_string()))
+            yield rows.slice(at, 1024), [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
 
-    return fed.mapInArrow(run, schema)
+    return map_arrow(docs, kept, [col(text).cast("binary")], [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], make)
 
 
 def held_out(doc_id) -> Column:
@@ -225,6 +221,6 @@ def keep_known(docs: DataFrame, model_file: str, least: float = 0.5) -> DataFram
     names = docs.columns
     p, s = unused(docs, "_pred", "_share")
     model = train(docs.where(~held_out(F.col("doc_id"))), model_file)
-    found = identify(docs, model) if not {"lang_pred", "score"} & {c.lower() for c in names} else identify(docs.toDF(*[f"c{i}_{c}" for i, c in enumerate(names)]), model, f"c{names.index('text')}_text")
-    found = found.toDF(*names, p, s)
+    inner = [f"c{i}" for i in range(len(names))]
+    found = identify(docs.toDF(*inner), model, f"c{names.index('text')}").toDF(*names, p, s)
     return found.where((F.col(p) != "und") & (F.col(s) >= least)).select(*[col(c) for c in names])

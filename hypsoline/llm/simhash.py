@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
-from .common import col, cut, unused
+from .common import col, cut, map_arrow
 from .components import components
 
 RADIUS = 2
@@ -70,16 +70,11 @@ def fingerprint(text: bytes | None, words: int = 3, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "fingerprint") -> DataFrame:
     """The columns `keep` and `out`, a long with the bits of each whole text's SimHash. Null text: 0."""
-    fed = docs.select(*[col(c) for c in keep], col(text).cast("binary").alias(unused(docs, "_raw")[0]))
-    schema = T.StructType([*fed.schema.fields[:-1], T.StructField(out, T.LongType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(b.num_columns - 1)
-            made = pa.array([signed(fingerprint(t.as_py())) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], made], names=[*keep, out])
+    def make(rows: pa.RecordBatch, arrays: list[pa.Array]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
+        yield rows, [pa.array([signed(fingerprint(t.as_py())) for t in arrays[0]], pa.int64())]
 
-    return fed.mapInArrow(run, schema)
+    return map_arrow(docs, list(keep), [col(text).cast("binary")], [T.StructField(out, T.LongType())], make)
 
 
 def column(fp: Column, mask: int) -> Column:
