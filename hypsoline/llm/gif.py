@@ -7,10 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import col, unused
+from .common import col, map_arrow
 
 WIDTH = 192
 #: The height of a frame that encode_samples() makes; longer payloads become more frames.
@@ -76,13 +77,14 @@ def lzw_decode(stream: bytes, min_size: int, most: int) -> bytes:
     start = [bytes((i,)) for i in range(clear)] + [b"", b""]
     raw = np.frombuffer(stream + b"\0\0\0", np.uint8).astype(np.uint32)
     total = len(stream) * 8
-    bit, out, size = 0, [], 0
+    bit, out, size, done = 0, [], 0, 0
+    put = out.append
     chunk = min(8192, total // (min_size + 1) + 1)
     step = widths(chunk, min_size)
     offsets = np.cumsum(step) - step
     while bit < total and size < most:
         table, before, seen = list(start), None, 0  # seen: codes since the clear code
-        known, append = len(table), table.append
+        append = table.append
         while True:
             if seen:  # a table that stays full: all codes have the full width
                 w = np.full(chunk, 12, np.int64)
@@ -95,30 +97,31 @@ def lzw_decode(stream: bytes, min_size: int, most: int) -> bytes:
             got = ((raw[i] | raw[i + 1] << np.uint32(8) | raw[i + 2] << np.uint32(16)) >> (at & 7).astype(np.uint32)) & ((1 << w) - 1).astype(np.uint32)
             stops = np.flatnonzero((got == clear) | (got == end))
             n = int(stops[0]) if len(stops) else len(got)
-            for code in got[:n].tolist():
-                if before is None:
-                    if code > end:
-                        raise ValueError("first code out of range")
-                    before = table[code]
-                    out.append(before)
-                    size += len(before)
-                    continue
-                if code < known:
+            codes = got[:n].tolist()
+            if codes and before is None:
+                if codes[0] > end:
+                    raise ValueError("first code out of range")
+                before = table[codes[0]]
+                put(before)
+                codes = codes[1:]
+            room = 4096 - len(table)
+            for code in codes[:room]:  # each code adds an entry
+                try:
                     entry = table[code]
-                    if known < 4096:
-                        append(before + entry[:1])
-                        known += 1
-                elif code == known < 4096:
+                except IndexError:
+                    if code != len(table):
+                        raise ValueError("code out of range") from None
                     entry = before + before[:1]
-                    append(entry)
-                    known += 1
-                else:
-                    raise ValueError("code out of range")
-                out.append(entry)
+                put(entry)
+                append(before + entry[:1])
                 before = entry
-                size += len(entry)
-                if size >= most:
-                    return b"".join(out)[:most]
+            if len(codes) > room:
+                out += [table[code] for code in codes[room:]]
+                before = out[-1]
+            size = sum(map(len, out[done:])) + size
+            done = len(out)
+            if size >= most:
+                return b"".join(out)[:most]
             if len(stops):
                 bit = int(at[n] + w[n])
                 if got[n] == end:
@@ -242,8 +245,12 @@ def decode_gif(data: bytes, most_pixels: int = 1 << 26) -> Iterator[dict]:
         kept = canvas.copy() if disposal == 3 else None
         area = canvas[top : top + h, left : left + w]
         seen = indices[: area.shape[0], : area.shape[1]]
-        solid = np.ones(seen.shape, bool) if clear is None else seen != clear
-        area[solid] = np.concatenate([palette[seen[solid]], np.full((int(solid.sum()), 1), 255, np.uint8)], axis=1)
+        opaque = np.full((256, 4), 255, np.uint8)
+        opaque[: len(palette), :3] = palette
+        if clear is None:
+            area[:] = opaque[seen]
+        else:
+            area[seen != clear] = opaque[seen[seen != clear]]
         yield {"frame": number, "start_ms": start, "delay_ms": delay, "left": left, "top": top, "width": w, "height": h, "rgba": canvas.copy()}
         if disposal == 2:
             area[:] = 0
@@ -257,50 +264,24 @@ def decode_gif(data: bytes, most_pixels: int = 1 << 26) -> Iterator[dict]:
 def histogram(rgba: np.ndarray) -> np.ndarray:
     """Counts of 64 colours, two bits of each of red, green and blue; transparent pixels don't count."""
     px = rgba.reshape(-1, 4)
-    px = px[px[:, 3] > 0].astype(np.int64) >> 6
-    return np.bincount(px[:, 0] * 16 + px[:, 1] * 4 + px[:, 2], minlength=64)
+    bins = (px[:, 0] >> 6 << 4) + (px[:, 1] >> 6 << 2) + (px[:, 2] >> 6)
+    return np.bincount(bins[px[:, 3] > 0], minlength=64)
 
 
 FRAME = "frame int, start_ms long, delay_ms long, left_x int, top_y int, width int, height int, rgba binary, histogram array<long>"
 
 
-def _rows(df: DataFrame, source, fields: list[T.StructField], make) -> DataFrame:
-    names = {f.name.lower() for f in fields}
-    kept = [c for c in df.columns if c.lower() not in names]
-    (inner,) = unused(df, "_in")
-    fed = df.select(*[col(c) for c in kept], source.alias(inner))
-    schema = T.StructType([*[df.schema[c] for c in kept], *fields])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                row = b.slice(i, 1)
-                for cells in make(row.column(row.num_columns - 1)[0].as_py()):
-                    yield pa.RecordBatch.from_arrays([*row.columns[:-1], *cells], names=schema.names)
-
-    return fed.mapInArrow(run, schema)
-
-
-def _batched(df: DataFrame, source, fields: list[T.StructField], make) -> DataFrame:
-    """Like _rows with one row for each row, in batches of 128."""
-    names = {f.name.lower() for f in fields}
-    kept = [c for c in df.columns if c.lower() not in names]
-    (inner,) = unused(df, "_in")
-    fed = df.select(*[col(c) for c in kept], source.alias(inner))
-    schema = T.StructType([*[df.schema[c] for c in kept], *fields])
-    from pyspark.sql.pandas.types import to_arrow_type
-
+def _batched(df: DataFrame, source: Column, fields: list[T.StructField], one) -> DataFrame:
+    """Adds fields, the tuple one(x) of each value of source; input columns of their names are replaced."""
     kinds = [to_arrow_type(f.dataType) for f in fields]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 128):
-                b = whole.slice(at, 128)
-                got = [make(x.as_py()) for x in b.column(b.num_columns - 1)]
-                cells = [pa.array([g[i] for g in got], k) for i, k in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cells], names=schema.names)
+    def make(rows: pa.RecordBatch, arrays: list[pa.Array]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
+        for at in range(0, rows.num_rows, 128):
+            got = [one(x.as_py()) for x in arrays[0].slice(at, 128)]
+            yield rows.slice(at, 128), [pa.array([g[i] for g in got], k) for i, k in enumerate(kinds)]
 
-    return fed.mapInArrow(run, schema)
+    names = {f.name.lower() for f in fields}
+    return map_arrow(df, [c for c in df.columns if c.lower() not in names], [source], fields, make)
 
 
 def store(df: DataFrame, payload: str, out: str = "media") -> DataFrame:
@@ -315,22 +296,19 @@ def frames(df: DataFrame, media: str = "media") -> DataFrame:
     is wrong. Input columns of these names are replaced. One frame is held at a time.
     """
     fields = [*T.StructType.fromDDL(FRAME).fields, T.StructField("error", T.StringType())]
-    from pyspark.sql.pandas.types import to_arrow_type
-
     kinds = [to_arrow_type(f.dataType) for f in fields]
 
-    def make(data):
-        if data is None:
-            return
-        row = None
-        try:
-            for f in decode_gif(bytes(data)):
-                row = [f["frame"], f["start_ms"], f["delay_ms"], f["left"], f["top"], f["width"], f["height"], f["rgba"].tobytes(), histogram(f["rgba"]).tolist(), None]
-                yield [pa.array([v], k) for v, k in zip(row, kinds, strict=True)]
-        except ValueError as e:
-            yield [pa.array([v], k) for v, k in zip([None] * 9 + [str(e)], kinds, strict=True)]
+    def make(rows: pa.RecordBatch, arrays: list[pa.Array]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
+        for i, media_ in enumerate(arrays[0]):
+            try:
+                for f in decode_gif(media_.as_py()) if media_.is_valid else ():
+                    row = [f["frame"], f["start_ms"], f["delay_ms"], f["left"], f["top"], f["width"], f["height"], f["rgba"].tobytes(), histogram(f["rgba"]).tolist(), None]
+                    yield rows.slice(i, 1), [pa.array([v], k) for v, k in zip(row, kinds, strict=True)]
+            except ValueError as e:
+                yield rows.slice(i, 1), [pa.array([v], k) for v, k in zip([None] * 9 + [str(e)], kinds, strict=True)]
 
-    return _rows(df, col(media), fields, make)
+    names = {f.name.lower() for f in fields}
+    return map_arrow(df, [c for c in df.columns if c.lower() not in names], [col(media)], fields, make)
 
 
 def samples(df: DataFrame, media: str = "media") -> DataFrame:
@@ -338,7 +316,7 @@ def samples(df: DataFrame, media: str = "media") -> DataFrame:
     histogram array<long> over all frames, error. Null media give nulls."""
     fields = T.StructType.fromDDL("payload binary, n_frames int, duration_ms long, histogram array<long>, error string").fields
 
-    def make(data):
+    def one(data):
         if data is None:
             return None, None, None, None, None
         parts, counts, n, ms = [], np.zeros(64, np.int64), 0, 0
@@ -352,7 +330,7 @@ def samples(df: DataFrame, media: str = "media") -> DataFrame:
             return None, n, ms, counts.tolist(), str(e)
         return b"".join(parts), n, ms, counts.tolist(), None
 
-    return _batched(df, col(media), fields, make)
+    return _batched(df, col(media), fields, one)
 
 
 def op5(docs: DataFrame) -> DataFrame:

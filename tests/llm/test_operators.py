@@ -1,0 +1,468 @@
+"""Each operator against brute force, on small frames with nulls, empty and long texts, ties, repeats and clashing names."""
+
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers as tokenizers
+import pyarrow as pa
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from hypsoline.llm import bpe, gif, langid, licenses, mixing, pii, queries, shards, simhash, urlfilter, vafile
+
+SF = "/root/testdata/sf0.001"
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet").cache()
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null and empty texts, repeats, a very long text, a null id, a null source, characters beyond ASCII."""
+    long = "The quick brown fox, über 17 ñandúes. " * 4000
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "one two", "en", "a", 7), (4, "one  TWO", "en", "b", 8), (5, long, "de", "b", len(long)), (6, long, None, "b", len(long)), (7, "\u00a0\u3000 \n", "fr", None, 4), (3, "one two", "en", "a", 7), (None, "no id", "en", "a", 5), (8, "x" * 70000, "en", "c", 70000), (9, "日本語 text 😀 a@b.co +49 (30) 123-4567", "en", "c", 30)]
+    return spark.createDataFrame(rows, DOC)
+
+
+def clashing(df):
+    """Columns that operators make or use inside, and an odd name."""
+    for c in ("ids", "IDS2", "fp", "_in", "size", "spans", "shard", "media", "score", "a.b"):
+        df = df.withColumn(c, F.lit("kept"))
+    return df
+
+
+def empty(docs):
+    return docs.where("doc_id < 0")
+
+
+def plain_encoding():
+    return bpe.encoding(queries.RANKS, tokenizers.PATTERN)
+
+
+def test_bpe_matches_the_library_and_decodes_to_the_text(spark, docs, odd):
+    enc = plain_encoding()
+    for frame in (docs, odd):
+        texts = [r.text for r in frame.collect()]
+        got = {(r.doc_id, r.ids_sha256): r for r in bpe.op1(frame, queries.RANKS, tokenizers.PATTERN).collect()}
+        assert len(texts) == bpe.op1(frame, queries.RANKS, tokenizers.PATTERN).count()
+        for row in frame.collect():
+            ids = enc.encode_ordinary(row.text or "")
+            r = got[(row.doc_id, hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())]
+            assert r.n_tokens == len(ids) and r.decoded_sha256 == hashlib.sha256((row.text or "").encode()).hexdigest()
+
+
+def test_bpe_pieces_keep_matches_and_runs_do_not_overflow():
+    enc = plain_encoding()
+    texts = ["a b" * 5000 + " " * 5000, " " * 9000 + "x", "\n" * 5000 + " a", "x" + "\u00a0\u3000" * 4500 + "\n", "don't  stop\t\tnow \x1c\x1f y " * 400, "1 2" * 3000]
+    for t in texts:
+        assert bpe.encode_text(t, queries.RANKS, tokenizers.PATTERN) == enc.encode_ordinary(t)
+        assert sum((enc.encode_ordinary(p) for p in bpe.pieces(t, 40)), []) == enc.encode_ordinary(t)
+    assert len(bpe.encode_text(" " * 1_000_000, queries.RANKS, tokenizers.PATTERN)) == 1_000_000
+
+
+def test_bpe_keeps_other_columns(spark, odd):
+    out = bpe.encode(clashing(odd), queries.RANKS, tokenizers.PATTERN)
+    assert [c for c in out.columns if c != "ids"] == [c for c in clashing(odd).columns if c != "ids"]
+    assert out.where("`a.b` = 'kept' and _in = 'kept'").count() == odd.count()
+    assert bpe.op1(empty(odd), queries.RANKS, tokenizers.PATTERN).count() == 0
+
+
+def test_decode_gives_raw_bytes(spark):
+    ids = bpe.encode_text("é", queries.RANKS, tokenizers.PATTERN) + bpe.encode_text("😀", queries.RANKS, tokenizers.PATTERN)
+    df = spark.createDataFrame([([ids[-1]],), (None,), ([],), ([None, ids[0]],)], "ids array<int>")
+    got = [bytes(r.decoded) for r in bpe.decode(df, queries.RANKS, tokenizers.PATTERN).collect()]
+    enc = plain_encoding()
+    assert got == [enc.decode_bytes([ids[-1]]), b"", b"", enc.decode_bytes([ids[0]])]
+
+
+def brute_top_k(rows, k=10):
+    usable = []
+    for i, v in rows:
+        if i is None or v is None or any(x is None or not np.isfinite(x) for x in v):
+            continue
+        w = tuple(int(np.floor(1024 * float(np.float32(x)))) for x in v)
+        if (i, w) not in usable:
+            usable.append((i, w))
+    out = []
+    for q, v in usable:
+        if q % 100 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(v, w)), c) for c, w in usable if c != q and len(w) == len(v))
+            out += [(q, r, c, -s) for r, (s, c) in enumerate(scored[:k], 1)]
+    return sorted(out)
+
+
+def test_top_k_is_exact(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in rng.normal(0, 0.2, 8)]) for i in range(260)]
+    rows += [(i, rows[3][1]) for i in range(300, 330)] + [(400, rows[3][1]), (500, None), (600, [float("nan")] * 8), (601, [None] + [0.1] * 7), (700, [float("inf")] * 8), (None, rows[0][1]), (800, [0.0] * 8), rows[5], rows[100]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert sorted(tuple(r) for r in vafile.op2(df).collect()) == brute_top_k(rows)
+    assert vafile.op2(df.where("vec_id < 0")).count() == 0
+
+
+def test_top_k_with_few_rows_other_lengths_and_large_values(spark):
+    rows = [(0, [1.0, 2.0]), (1, [0.5, -1.0]), (2, [1.0]), (100, [3e30, 1.0]), (200, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {(r.query_id, r.vec_id): r.score for r in vafile.op2(df).collect()}
+    assert got[(0, 1)] == 1024 * 512 - 2048 * 1024 and got[(200, 2)] == 1024 * 1024
+    assert got[(100, 0)] == 2**63 - 1 and (0, 2) not in got
+
+
+def test_bounds_hold_every_score():
+    rng = np.random.default_rng(2)
+    vectors, queries_ = np.floor(rng.normal(0, 300, (500, 16))), np.floor(rng.normal(0, 300, (20, 16)))
+    numbers, low, width = vafile.quantise(vectors)
+    lower, upper = vafile.bounds(queries_, numbers, low, width)
+    exact = queries_ @ vectors.T
+    assert (lower <= exact).all() and (exact <= upper).all() and numbers.max() < vafile.CELLS
+
+
+def brute_fingerprint(text):
+    low = (text or "").encode().translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123))))
+    words = re.findall(rb"[^\x20\x09-\x0D]+", low)
+    if not words:
+        return 0
+    shingles = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) >= 3 else [b" ".join(words)]
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_components(prints):
+    ids = list(prints)
+    root = {i: i for i in ids}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in ids:
+        for b in ids:
+            if a < b and (prints[a] ^ prints[b]).bit_count() <= 2:
+                x, y = top(a), top(b)
+                root[max(x, y)] = min(x, y)
+    return {i: top(i) for i in ids}
+
+
+def test_simhash_components(spark, docs):
+    prints = {r.doc_id: brute_fingerprint(r.text) for r in docs.collect()}
+    want = brute_components(prints)
+    for r in simhash.op3(docs).collect():
+        assert int(r.fingerprint, 16) == prints[r.doc_id] and r.component_id == want[r.doc_id]
+
+
+def test_simhash_odd_rows(spark, odd):
+    got = [tuple(r) for r in simhash.op3(clashing(odd)).collect()]
+    assert len(got) == odd.count() and all(len(r[1]) == 16 for r in got)
+    by = {r[0]: r for r in got}
+    assert by[1][1] == by[2][1] == "0" * 16 and by[2][2] == 1 and by[3][2] == by[4][2] == 3 and by[6][2] == 5
+    kept = [r.doc_id for r in simhash.keep_one(odd).collect()]
+    assert sorted(x for x in kept if x is not None) == sorted({r[2] for r in got if r[0] is not None}) and None in kept
+    assert simhash.op3(empty(odd)).count() == 0 and simhash.keep_one(odd).columns == odd.columns
+
+
+def test_links_of_large_cells_and_chains(spark):
+    rng = np.random.default_rng(3)
+    base = int(rng.integers(0, 2**63))
+    prints = {0: base}
+    for i in range(1, 400):  # a cloud in which blocks agree often, and chains of links
+        x = prints[int(rng.integers(0, i))]
+        for b in rng.integers(0, 64, int(rng.integers(1, 4))):
+            x ^= 1 << int(b)
+        prints[i] = x
+    df = spark.createDataFrame([(simhash.signed(x),) for x in set(prints.values())], "fp long")
+    want = brute_components({x: x for x in set(prints.values())})
+    groups = {}
+    for x, r in want.items():
+        groups.setdefault(r, set()).add(simhash.signed(x))
+    for limit in (4096, 5):  # the second divides cells by finer columns
+        comp = {r.node: r.root for r in simhash.components(simhash.links(df, limit=limit)).collect()}
+        made = {}
+        for x in set(prints.values()):
+            s = simhash.signed(x)
+            made.setdefault(comp.get(s, s), set()).add(s)
+        assert sorted(map(sorted, made.values())) == sorted(map(sorted, groups.values()))
+
+
+def test_url_filter(spark):
+    urls = ["http://a.example.net/en/1", "https://EXAMPLE.net/fr/2?x#y", "ftp://x.example.com/de/", "http://site.org/fr/9", "http://xorg/fr/9", None, "", "no scheme", "http://host", "http://casino.test/win/bonus", "http://u@h.example.org:80/en/#a://b", "x://y://z/w"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r for r in urlfilter.op4(df.withColumn("score", F.lit(1)).withColumn("_h", F.lit(2))).collect()}
+    assert [(got[i].host, got[i].path, got[i].rule) for i in range(12)] == [
+        ("a.example.net", "/en/1", "example.net/en/"), ("example.net", "/fr/2", "net/"), ("x.example.com", "/de/", "example.com/de/"), ("site.org", "/fr/9", "org/fr/"), ("xorg", "/fr/9", None), ("", "", None), ("", "", None), ("", "", None), ("host", "", None), ("casino.test", "/win/bonus", None), ("u@h.example.org:80", "/en/", None), ("y:", "//z/w", None),
+    ]
+    assert got[0].verdict == "allow" and got[1].verdict == "block" and got[2].verdict == "block" and got[3].verdict == "allow" and got[9].verdict == "block"
+    assert urlfilter.op4(df.where("page_id < 0")).count() == 0
+
+
+def test_url_model_on_rows_it_has_not_seen():
+    rows = urlfilter.labelled()
+    held = [zlib.crc32((h + p).encode()) % 4 == 0 for h, p, _ in rows]
+    w, b = urlfilter.train([r for r, x in zip(rows, held) if not x])
+    right = [(urlfilter.features(h, p) @ w + b > 0) == bool(y) for (h, p, y), x in zip(rows, held) if x]
+    assert len(right) > 40 and np.mean(right) > 0.9
+    assert urlfilter.features("a" * 200_000, "").any()
+
+
+def test_lzw_round_trip_and_reference_decoder():
+    rng = np.random.default_rng(4)
+    cases = [b"", b"a", b"ab" * 3000, bytes(rng.integers(0, 256, 60_000, dtype=np.uint8)), b"\0" * 100_000, bytes(range(256)) * 40, *[b"aab" * k for k in range(1, 400, 7)]]
+    for data in cases:
+        stream = gif.lzw_encode(data)
+        assert gif.lzw_decode(stream, 8, len(data) + 1) == data
+        assert slow_lzw(stream) == data
+    with pytest.raises(ValueError):
+        gif.lzw_decode(bytes([0xFF] * 8), 8, 100)
+
+
+def slow_lzw(stream, size=8):
+    """Bit by bit, straight from the format's description."""
+    bits = [b >> i & 1 for b in stream for i in range(8)]
+    clear, at, out = 1 << size, 0, []
+    table, width, before = None, size + 1, None
+    while at + width <= len(bits):
+        code = sum(bit << i for i, bit in enumerate(bits[at : at + width]))
+        at += width
+        if code == clear:
+            table, width, before = [bytes([i]) for i in range(clear)] + [b"", b""], size + 1, None
+        elif code == clear + 1:
+            break
+        elif before is None:
+            before = table[code]
+            out.append(before)
+        else:
+            entry = table[code] if code < len(table) else before + before[:1]
+            if len(table) < 4096:
+                table.append(before + entry[:1])
+            width = max(width, min(12, len(table).bit_length()))
+            out.append(entry)
+            before = entry
+    return b"".join(out)
+
+
+def test_gif_disposal_transparency_palettes_and_interlace():
+    palette = bytes([255, 0, 0, 0, 255, 0, 0, 0, 255, 9, 9, 9])
+    frames = [
+        {"indices": bytes([0] * 16), "width": 4, "height": 4, "disposal": 1, "delay": 5},
+        {"indices": bytes([1, 3, 3, 1]), "left": 1, "top": 1, "width": 2, "height": 2, "transparent": 3, "disposal": 3, "delay": 7},
+        {"indices": bytes([2]), "width": 1, "height": 1, "disposal": 2, "delay": 0},
+        {"indices": bytes([0]), "left": 3, "top": 3, "width": 1, "height": 1, "palette": bytes([7, 8, 9, 0, 0, 0])},
+    ]
+    got = list(gif.decode_gif(gif.encode_frames(4, 4, palette, frames)))
+    assert [f["start_ms"] for f in got] == [0, 50, 120, 120] and [f["delay_ms"] for f in got] == [50, 70, 0, 40]
+    a, b, c, d = (f["rgba"] for f in got)
+    assert (a == [255, 0, 0, 255]).all() and (b[1, 1] == [0, 255, 0, 255]).all() and (b[1, 2] == [255, 0, 0, 255]).all()
+    assert (c[1, 1] == [255, 0, 0, 255]).all() and (c[0, 0] == [0, 0, 255, 255]).all() and d[0, 0, 3] == 0 and (d[3, 3] == [7, 8, 9, 255]).all()
+    assert sorted(gif._order(11).tolist()) == list(range(11)) and gif._order(11).tolist()[:4] == [0, 8, 4, 2]
+    data = gif.encode_frames(4, 4, palette, frames)
+    for bad in (b"", b"GIF89a", data[:-1], data[:40], b"PNG" + data, data[:13] + data[25:]):
+        with pytest.raises(ValueError):
+            list(gif.decode_gif(bad))
+
+
+def test_gif_query_and_frames(spark, docs, odd):
+    for frame in (docs, clashing(odd)):
+        texts = {(r.doc_id, len((r.text or "").encode())): r.text or "" for r in frame.collect()}
+        rows = gif.op5(frame).collect()
+        assert len(rows) == frame.count()
+        for r in rows:
+            b = texts[(r.doc_id, r.n_bytes)].encode()
+            p = b + b" " * (max(1, -(-len(b) // 192)) * 192 - len(b))
+            assert r.payload_bytes == len(p) and r.payload_sha256 == hashlib.sha256(p).hexdigest() and r.tail_crc32 == zlib.crc32(p[-16:])
+            stored = gif.encode_samples(p)
+            assert r.media_bytes == len(stored) and r.media_sha256 == hashlib.sha256(stored).hexdigest() and sum(map(int, r.feature.split(","))) == len(p)
+    media = spark.createDataFrame([(1, gif.encode_samples(b"x" * 192 * 3000)), (2, None), (3, b"junk")], "id int, media binary")
+    rows = gif.frames(media.withColumn("error", F.lit(0))).collect()
+    assert [(r.id, r.frame, r.start_ms) for r in rows] == [(1, 0, 0), (1, 1, 40), (1, 2, 80), (3, None, None)] and rows[3].error == "not a GIF"
+    assert gif.op5(empty(docs)).count() == 0
+
+
+def test_shards(spark, docs, odd):
+    for frame, n in ((docs, 8), (clashing(odd).drop("size"), 8)):
+        rows = shards.op6(frame).collect()
+        assert len(rows) == frame.count()
+        by = {}
+        for r in rows:
+            by.setdefault(r.shard, []).append(r)
+            assert r.law == "bytes" and r.grown_shard is None
+        for own in by.values():
+            assert sorted(r.slot for r in own) == list(range(len(own)))
+        total, most = sum(r["size"] for r in rows), max(r["size"] for r in rows)
+        assert all(abs(sum(r["size"] for r in own) - total / n) <= most for own in by.values())
+        want = sorted((r.doc_id is not None, r.doc_id or 0, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in frame.collect())
+        assert want == sorted((r.doc_id is not None, r.doc_id or 0, r["size"], r.text_crc32) for r in rows)
+    assert shards.op6(empty(docs)).count() == 0
+
+
+def test_shards_divide_a_hot_group(spark):
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("g"), (F.col("id") % 13).alias("z"))
+    rows = shards.shard(df, 8, "z", "g").collect()
+    sizes = [sum(r.z for r in rows if r.shard == s) for s in range(8)]
+    assert max(sizes) - min(sizes) <= 2 * 12 and len(rows) == 3000
+    zero = shards.shard(df.withColumn("z", F.lit(0)), 8, "z", "g").collect()
+    assert {r.shard for r in zero} == {0} and sorted(r.slot for r in zero) == list(range(3000))
+
+
+BASE = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def brute_pii(text):
+    out = []
+    for k, p in enumerate(BASE):
+        for m in re.finditer(p, text or ""):
+            d = re.sub("[^0-9]", "", m[0])
+            checks = (True, k != 1 or all(int(x) <= 255 for x in m[0].split(".")), False, 10 <= len(d) <= 15)
+            ok = checks[k]
+            if k == 2 and 14 <= len(d) <= 19:
+                ok = sum(int(c) if i % 2 == 0 else (2 * int(c) - 9 if int(c) > 4 else 2 * int(c)) for i, c in enumerate(reversed(d))) % 10 == 0
+            if ok:
+                out.append((m.start(), k, m.end()))
+    return sorted(out)
+
+
+PII = [
+    "😀 mail a.b@c-d.example.org_x@y.z, 1.2.3.4.5.6.7.8 and 300.1.1.1 0001.002.3.4", "card 4111 1111 1111 1111 or 4111-1111-1111-1112 12345678901234", "+1 (482) 555-7163 +49 30 12 +12345678901234567890 ++1 2 3 4 5 6 7 8 9 0",
+    "a@b", "a@b.", "@b.c", "x@-.y a@b.c@d.e", "1 2 3 4", "", None, "4111 1111 1111 1111" * 3, "a" * 20000, "9" * 3000, "1.1.1.1" + ".1" * 2000, "a@b" + ".c" * 5000, "+1" + " 2" * 2000,
+]
+
+
+def test_pii_base_spans(spark, docs):
+    df = spark.createDataFrame(list(enumerate(PII)), "doc_id long, text string").withColumn("spans", F.lit(1)).withColumn("_base", F.lit(1))
+    for frame in (df, docs):
+        texts = {r.doc_id: r.text for r in frame.collect()}
+        for r in pii.op7(frame).collect():
+            want = brute_pii(texts[r.doc_id])
+            listed = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in want)
+            assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest(), texts[r.doc_id]
+            assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == i for _, k, _ in want) for i in range(4)]
+            assert set(filter(None, listed.split(","))) <= set(r.spans.split(","))
+    assert pii.op7(df.where("doc_id < 0")).count() == 0
+
+
+def test_pii_model_on_examples_it_has_not_seen(spark):
+    rows = pii.examples(30, seed=99)
+    df = spark.createDataFrame([(i, r["text"], r["kind"], r["y"]) for i, r in enumerate(rows)], "doc_id long, text string, kind int, y int")
+    got = {r.doc_id: [s.k for s in r.spans] for r in pii.find(df).collect()}
+    base = {i: {k for _, k, _ in brute_pii(r["text"])} for i, r in enumerate(rows)}
+    hits = [rows[i]["kind"] in got[i] for i in got if rows[i]["y"]]
+    false = [rows[i]["kind"] in got[i] and rows[i]["kind"] not in base[i] for i in got if not rows[i]["y"]]
+    assert np.mean(hits) > 0.8 and np.mean(false) < 0.05
+
+
+def test_pii_redaction(spark):
+    rows = [(1, "call +1 (482) 555-7163 or a@b.co now 😀", 40), (2, None, None), (3, "nothing here", 12), (4, "", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    got = {r.doc_id: r for r in pii.redact_documents(df).collect()}
+    assert got[1].text == "call [PHONE] or [EMAIL] now 😀" and got[1].n_chars == len(got[1].text)
+    assert got[2].text is None and got[2].n_chars is None and got[3].text == "nothing here" and got[4].text == ""
+
+
+def test_license_digests(spark, docs):
+    mit = licenses.KNOWN[0][1]
+    rows = [(1, "Copyright (c) 2020 Someone\n" + mit.upper().replace(",", " ,")), (2, mit + " extra"), (3, None), (4, ""), (5, "x\nReleased under the MIT Licence!\ny\nLicensed under CC BY 4.0"), (6, mit.replace("sublicense", "sub-license")), (5, "dup")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("license", F.lit(0)).withColumn("_d", F.lit(0))
+    got = {(r.doc_id, (r.notices or "")): r for r in licenses.op8(df).collect()}
+    assert got[(1, "")].license == "MIT" and got[(2, "")].license is None and got[(6, "")].license == "MIT"
+    assert got[(3, "")].digest is None and got[(3, "")].notices is None and got[(4, "")].license is None and (5, "CC-BY-4.0,MIT") in got
+    assert len(got) == 7 and licenses.op8(empty(docs)).count() == 0
+
+
+def brute_marginal(word, p, vocab):
+    """Sum over all segmentations, spelled out."""
+    if not word:
+        return 1.0
+    total = 0.0
+    for n in range(1, len(word) + 1):
+        i = vocab.get(word[:n], len(vocab) if n == 1 else None)
+        if i is not None:
+            total += p[i] * brute_marginal(word[n:], p, vocab)
+    return total
+
+
+def test_forward_sums_all_segmentations():
+    vocab = {x: i for i, x in enumerate(["▁", "a", "b", "ab", "▁a", "ba", "aba"])}
+    p = np.random.default_rng(5).dirichlet(np.ones(len(vocab) + 1))
+    words = ["▁abab", "▁", "▁aba", "▁xab", "bbbb"]
+    lattice = langid.Lattice(words, langid.Pieces(vocab))
+    assert np.allclose(lattice.forward(p)[lattice.last], [brute_marginal(w, p, vocab) for w in words])
+    assert np.allclose(lattice.backward(p)[lattice.first], lattice.forward(p)[lattice.last])
+    used = lattice.expected(p, np.ones(len(words)))
+    pieces = sum(used)
+    assert sum(len(w) for w in words) >= pieces >= len(words)
+
+
+def test_language_id_held_out(spark, docs, odd):
+    got = {r.doc_id: r for r in langid.op9(docs, queries.PIECES).collect()}
+    assert len(got) == docs.count()
+    right = [got[r.doc_id].lang_pred == r.lang for r in docs.collect() if got[r.doc_id].held_out]
+    assert np.mean(right) > 0.95
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in got.items())
+    both = docs.unionByName(odd)
+    rows = [r for r in langid.op9(both, queries.PIECES).collect() if r.doc_id in (1, 2, 7, 9, None)]
+    assert all(0 <= r.score <= 1 for r in rows)
+    assert len(rows) == both.where("doc_id in (1, 2, 7, 9) or doc_id is null").count()
+    model = langid.fit([], [], queries.PIECES)
+    assert model.predict(pa.array(["a", None])) == (["und", "und"], [0.0, 0.0])
+    kept = langid.keep_known(clashing(both), queries.PIECES)
+    assert kept.columns == clashing(both).columns and kept.where("text is null or text = ''").count() == 0
+    assert langid.keep_known(docs, queries.PIECES).count() == docs.count()
+
+
+def brute_targets(sizes, weights):
+    held, out = set(), [0.0] * len(sizes)
+    while True:
+        left = sum(sizes) - sum(3 * sizes[i] for i in held)
+        w = sum(weights[i] for i in range(len(sizes)) if i not in held)
+        over = {i for i in range(len(sizes)) if i not in held and left * weights[i] / w > 3 * sizes[i]}
+        if not over:
+            return [float(3 * sizes[i]) if i in held else left * weights[i] / w for i in range(len(sizes))]
+        held |= over
+
+
+def test_targets_and_tree():
+    import random
+
+    rng = random.Random(6)
+    for _ in range(200):
+        sizes = [rng.choice((0, 1, 5, 100, 10_000)) for _ in range(rng.randint(1, 7))]
+        weights = [float(i % 3 + 1) for i in range(len(sizes))]
+        if sum(sizes):
+            assert np.allclose(mixing.targets(sizes, weights), brute_targets(sizes, weights))
+        quotas = [rng.randint(0, 9000) for _ in sizes]
+        tree = mixing.split_tree(quotas, 8, rng)
+        assert [sum(c) for c in zip(*tree)] == quotas and min(min(t) for t in tree) >= 0
+        totals = [sum(t) for t in tree]
+        assert max(totals) - min(totals) <= 8
+
+
+def test_mixing(spark, docs, odd):
+    for frame in (docs, clashing(odd)):
+        rows = mixing.op10(frame).collect()
+        assert len(rows) == frame.count()
+        plan = mixing.Mix(frame.select("doc_id", "source", "text"))
+        copies = plan.copies(frame.select("doc_id", "source", "text")).collect()
+        assert all(len(r.shards) == r.copies <= 3 and all(0 <= s < 8 for s in r.shards) for r in copies)
+        assert [tuple(r) for r in mixing.op10(frame).orderBy("doc_id", "size").collect()] == [tuple(r) for r in mixing.op10(frame.repartition(5)).orderBy("doc_id", "size").collect()]
+        drawn = plan.draw(frame.select("doc_id", "source", "text"))
+        assert drawn.count() == sum(r.copies for r in copies)
+    source = {r.doc_id: r.source for r in docs.collect()}
+    by, goal, most = {}, {}, {}
+    for r in mixing.op10(docs).collect():
+        s = source[r.doc_id]
+        by[s], goal[s], most[s] = by.get(s, 0) + r.taken, r.target, max(most.get(s, 0), r["size"])
+        assert r.taken <= 3 * r["size"]
+    assert all(abs(by[s] - goal[s]) <= most[s] for s in by)
+    assert mixing.op10(empty(docs)).count() == 0 and mixing.mixed(clashing(docs)).columns == clashing(docs).columns
+
+
+def test_mixing_narrows_a_large_source(spark, monkeypatch):
+    df = spark.range(5000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 < 8, "a").otherwise("b").alias("source"), F.repeat(F.lit("w "), (F.col("id") % 7).cast("int")).alias("text"))
+    want = sorted(tuple(r) for r in mixing.op10(df).collect())
+    monkeypatch.setattr(mixing, "WINDOW_ROWS", 20)
+    assert sorted(tuple(r) for r in mixing.op10(df).collect()) == want
