@@ -28,7 +28,7 @@ DOCS_PER_LANG = 300
 PRIOR = 200.0
 #: Longer words are scored in parts of this many characters, so that products stay within doubles.
 PART = 40
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 
 
 @functools.lru_cache(maxsize=2)
@@ -41,34 +41,75 @@ def vocabulary(model_file: str) -> dict[str, int]:
     return {p: i for i, p in enumerate(dict.fromkeys(p for p in pieces if len(p) <= LONGEST))}
 
 
+class Pieces:
+    """A vocabulary for lookups of many windows at once: by length, sorted hashes with numbers and code points."""
+
+    BASE = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, vocab: dict[str, int]):
+        self.size, self.longest, self.tables = len(vocab), max(map(len, vocab), default=1), {}
+        for n in sorted({len(p) for p in vocab if p}):
+            own = [p for p in vocab if len(p) == n]
+            codes = np.frombuffer("".join(own).encode("utf-32-le"), np.uint32).reshape(-1, n)
+            hashes = np.zeros(len(own), np.uint64)
+            for i in range(n):
+                hashes = self.step(hashes, codes[:, i])
+            order = np.argsort(hashes)
+            self.tables[n] = hashes[order], np.array([vocab[p] for p in own], np.int32)[order], codes[order]
+
+    def step(self, hashes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        return (hashes ^ (codes.astype(np.uint64) + np.uint64(1))) * self.BASE
+
+    def find(self, n: int, hashes: np.ndarray, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The piece of the n code points from each `at`, -1 where it is none."""
+        out = np.full(len(at), -1, np.int32)
+        if n in self.tables and len(at):
+            sorted_, numbers, points = self.tables[n]
+            place = np.minimum(np.searchsorted(sorted_, hashes), len(sorted_) - 1)
+            hit = np.flatnonzero(sorted_[place] == hashes)
+            same = (codes[at[hit][:, None] + np.arange(n)] == points[place[hit]]).all(axis=1)
+            out[hit[same]] = numbers[place[hit[same]]]
+        return out
+
+
+@functools.lru_cache(maxsize=2)
+def pieces_of(model_file: str) -> Pieces:
+    return Pieces(vocabulary(model_file))
+
+
 class Lattice:
     """The pieces of many words as arcs, in the order of their ends; the last piece number stands for any unknown character."""
 
-    def __init__(self, words: list[str], vocab: dict[str, int]):
-        other, longest = len(vocab), max(map(len, vocab), default=1)
-        begin, end, piece, step, base, at = [], [], [], [], [], 0
-        self.last = np.empty(len(words), np.int64)
-        self.first = np.empty(len(words), np.int64)
-        get = vocab.get
-        for k, w in enumerate(words):
-            n = len(w)
-            self.first[k], self.last[k] = at, at + n
-            for j in range(1, n + 1):
-                for i in range(max(0, j - longest), j):
-                    p = get(w[i:j])
-                    if p is None:
-                        if i < j - 1:
-                            continue
-                        p = other
-                    begin.append(at + i)
-                    end.append(at + j)
-                    piece.append(p)
-                    step.append(j)
-            at += n + 1
-        self.size = at
-        order = np.argsort(np.array(step, np.int64), kind="stable")
-        self.begin, self.end, self.piece = (np.array(x, np.int64)[order] for x in (begin, end, piece))
-        steps = np.array(step, np.int64)[order]
+    def __init__(self, words: list[str], pieces: Pieces):
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        owner = np.repeat(np.arange(len(words)), sizes)
+        begins = np.cumsum(sizes) - sizes
+        place = np.arange(len(codes)) - begins[owner]
+        left = sizes[owner] - place
+        self.first = begins + np.arange(len(words))
+        self.last, self.size = self.first + sizes, len(codes) + len(words)
+        begin, end, piece, step = [], [], [], []
+        at, hashes = np.arange(len(codes)), np.zeros(len(codes), np.uint64)
+        for n in range(1, pieces.longest + 1):
+            some = left[at] >= n
+            at, hashes = at[some], hashes[some]
+            if not len(at):
+                break
+            hashes = pieces.step(hashes, codes[at + n - 1])
+            found = pieces.find(n, hashes, codes, at)
+            if n == 1:
+                found[found < 0] = pieces.size
+            hit = found >= 0
+            node = at[hit] + owner[at[hit]]
+            begin.append(node)
+            end.append(node + n)
+            piece.append(found[hit])
+            step.append(place[at[hit]] + n)
+        begin, end, piece, step = (np.concatenate([np.empty(0, np.int32), *x]).astype(np.int32) for x in (begin, end, piece, step))
+        order = np.argsort(step, kind="stable")
+        self.begin, self.end, self.piece = begin[order], end[order], piece[order]
+        steps = step[order]
         self.cuts = np.searchsorted(steps, np.arange(1, (int(steps[-1]) if len(steps) else 0) + 2))
 
     def forward(self, p: np.ndarray) -> np.ndarray:
@@ -121,24 +162,37 @@ class Model:
 
     def __init__(self, model_file: str, languages: list[str], tables: np.ndarray):
         self.model_file, self.languages, self.tables = model_file, languages, tables
-        self.seen: dict[str, np.ndarray] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.seen: dict[str, int] = {}
+        self.known = np.empty((0, len(self.languages)))
 
     def __getstate__(self):
-        return self.__dict__ | {"seen": {}}
+        return {k: v for k, v in self.__dict__.items() if k not in ("seen", "known")}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._forget()
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """log of the marginal probability of each word in each language."""
         new = [w for w in words if w not in self.seen]
         if len(self.seen) + len(new) > KEPT_WORDS:
-            self.seen, new = {}, words
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
+            self._forget()
+            new = words
+        made = [self.known]
+        for at in range(0, len(new), 5000):
+            some = new[at : at + 5000]
             cut = [parts(w) if w else [MARK] for w in some]
-            lattice = Lattice([p for c in cut for p in c], vocabulary(self.model_file))
+            lattice = Lattice([p for c in cut for p in c], pieces_of(self.model_file))
             owner = np.repeat(np.arange(len(some)), [len(c) for c in cut])
-            logs = np.stack([np.bincount(owner, np.log(np.maximum(lattice.forward(p)[lattice.last], 1e-300)), minlength=len(some)) for p in self.tables], axis=1)
-            self.seen.update(zip(some, logs, strict=True))
-        return np.array([self.seen[w] for w in words]).reshape(len(words), len(self.languages))
+            made.append(np.stack([np.bincount(owner, np.log(np.maximum(lattice.forward(p)[lattice.last], 1e-300)), minlength=len(some)) for p in self.tables], axis=1))
+        at = len(self.seen)
+        self.seen.update(zip(new, range(at, at + len(new)), strict=True))
+        if new:
+            self.known = np.concatenate(made)
+        return self.known[np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words))]
 
     def predict(self, texts: pa.Array) -> tuple[list[str], list[float]]:
         """The most likely language and its share among the languages; `und` and 0 for a text with no letter."""
@@ -159,15 +213,15 @@ class Model:
 def fit(texts: list[str], langs: list[str], model_file: str, rounds: int = ROUNDS) -> Model:
     """Expectation maximisation from equal probabilities; languages in order of their names."""
     languages = sorted(set(langs))
-    vocab = vocabulary(model_file)
+    pieces = pieces_of(model_file)
     index = np.array([languages.index(x) for x in langs], np.int64)
     rows, numbers, names = flat_words(pa.array(texts, pa.string()))
     counts = np.zeros((len(languages), len(names)))
     np.add.at(counts, (index[rows], numbers), 1.0)
     cut = [parts(w) if w else [MARK] for w in names]
     owner = np.repeat(np.arange(len(names)), [len(c) for c in cut])
-    lattice = Lattice([p for c in cut for p in c], vocab)
-    size = len(vocab) + 1
+    lattice = Lattice([p for c in cut for p in c], pieces)
+    size = pieces.size + 1
     uniform = np.full(size, 1 / size)
     tables = np.tile(uniform, (len(languages), 1))
     for _ in range(rounds if len(names) else 0):
