@@ -194,3 +194,41 @@ def cosine(a: Column, b: Column) -> Column:
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     return F.when(F.size(a) == F.size(b), F.coalesce(F.try_divide(dot, norm(a) * norm(b)), F.lit(0.0))).otherwise(0.0)
+
+
+def first_long(*texts: Column, least: int = 100) -> Column:
+    """The first of several texts with at least `least` characters."""
+    return F.coalesce(*[F.when(F.length(t) >= least, t) for t in texts])
+
+
+def first_id(doi: Column, other: Column, title: Column) -> Column:
+    """An own id, else the DOI, else a digest of the title; empty counts as missing."""
+    return F.coalesce(F.nullif(other, F.lit("")), F.nullif(doi, F.lit("")), F.md5(title.cast("binary")))
+
+
+def pdf_url(explicit: Column, patent: Column, url: Column) -> Column:
+    """A given address, else the public patent page's, else .html as .pdf, else an address that ends in .pdf."""
+    return F.coalesce(F.nullif(explicit, F.lit("")), F.when(patent.isNotNull(), F.concat(F.lit("https://patents.google.com/patent/"), patent, F.lit("/en"))), F.when(url.endswith(".html"), F.regexp_replace(url, r"\.html$", ".pdf")), F.when(url.endswith(".pdf"), url))
+
+
+def patent_number(number: Column, kind: Column) -> Column:
+    """A document number without separators and leading zeros, and with its prefix for designs and plants."""
+    digits = F.regexp_replace(F.regexp_replace(number, "[^0-9]", ""), "^0+", "")
+    return F.concat(F.when(kind.startswith("S"), "D").when(kind.startswith("P"), "PP").otherwise(""), digits)
+
+
+def external_id(ids: Column, kind: str) -> Column:
+    """The value of the first external id (struct type, value) of a kind."""
+    return F.get(F.filter(ids, lambda x: F.lower(x["type"]) == kind), 0)["value"]
+
+
+def preferred_text(texts: Column, lang: str = "en") -> Column:
+    """The text (struct lang, text) in a language, else the first one."""
+    return F.coalesce(F.get(F.filter(texts, lambda x: x["lang"] == lang), 0)["text"], F.get(texts, 0)["text"])
+
+
+def readable_size(n: Column) -> Column:
+    out = F.format_string("%.1f TB", n / 1024.0**4)
+    for unit, power in (("GB", 3), ("MB", 2), ("KB", 1)):
+        out = F.when(n < 1024.0 ** (power + 1), F.format_string(f"%.1f {unit}", n / 1024.0**power)).otherwise(out)
+    return F.when(n < 1024, F.format_string("%d B", n.cast("long"))).otherwise(out)

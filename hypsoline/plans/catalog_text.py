@@ -93,3 +93,26 @@ s AS (SELECT a.vec_id AS qid, b.vec_id AS id, round(list_dot_product(a.embedding
 SELECT qid, id, score, rank, CASE WHEN score >= 0.9 THEN 'high' WHEN score >= 0.75 THEN 'medium' ELSE 'low' END AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INT AS rank FROM s WHERE score >= 0.2) t WHERE rank <= 3""")
 register("ent33_tickers", lambda m: m.companies.select("id", R.ticker_of(F.concat("name", F.lit(" ("), F.substring("ticker", 1, 5), F.lit(")")), F.array("ticker")).alias("ticker")), "SELECT id, ticker[1:5] AS ticker FROM companies")
 register("ent44_placeholders", lambda m: m.conversations.groupBy("conv_id").agg(F.array_sort(R.without_placeholders(F.array(F.min("role"), F.lit(" Unknown "), F.lit("N/A")))).alias("a")).select("conv_id", F.array_join("a", ",").alias("names")), "SELECT conv_id, min(role) AS names FROM conversations GROUP BY 1")
+
+# more scalar functions, over strings made from the tables
+
+register("sca2_seen_date", lambda m: m.orders.select("o_orderkey", F.to_date(S.seen_date(F.concat(F.date_format("o_orderdate", "yyyyMMdd"), F.lit("T010203Z")))).alias("d")), "SELECT o_orderkey, o_orderdate::DATE AS d FROM orders")
+AGENCY = "element_at(array('US Navy', 'Federal Aviation Administration', 'NASA', 'City', ''), CAST(o_custkey % 5 AS INT) + 1)"
+register("sca8_agency_type", lambda m: m.orders.select("o_orderkey", S.agency_type(F.expr(AGENCY)).alias("kind")), "SELECT o_orderkey, ['defense', 'regulatory', 'civil', 'unknown', 'unknown'][o_custkey % 5 + 1] AS kind FROM orders")
+register("sca11_repo_id", lambda m: m.part.select("p_partkey", S.repo_id(F.concat(F.lit("owner/my-repo."), "p_partkey")).alias("id")), "SELECT p_partkey, 'my_repo_' || p_partkey AS id FROM part")
+register("sca14_docket", lambda m: m.part.select("p_partkey", S.docket(F.concat(F.lit("Text. Docket No. FAA-"), "p_partkey", F.lit(" more"))).alias("docket")), "SELECT p_partkey, 'FAA-' || p_partkey AS docket FROM part")
+ACTION = "element_at(array('Final rule; approval', 'Proposed rule', 'Denied', 'Type certification notice'), CAST(p_partkey % 4 AS INT) + 1)"
+register("sca15_document_type", lambda m: m.part.select("p_partkey", S.document_type(F.expr(ACTION)).alias("document_type"), S.decision_type(F.expr(ACTION)).alias("decision_type")), "SELECT p_partkey, ['final_rule', 'proposed_rule', 'notice', 'notice'][p_partkey % 4 + 1] AS document_type, ['approval', 'proposal', 'denial', 'certification'][p_partkey % 4 + 1] AS decision_type FROM part")
+register("sca18_email", lambda m: m.documents.select("doc_id", S.email(F.col("text")).alias("email")), "SELECT doc_id, nullif(regexp_extract(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+', 0), '') AS email FROM documents")
+register("sca21_sec_date", lambda m: m.orders.select("o_orderkey", S.sec_date(F.date_format("o_orderdate", "yyyyMMdd")).alias("iso")), "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso FROM orders")
+register("sca31_peer_reviewed", lambda m: m.part.select("p_partkey", S.peer_reviewed(F.expr("element_at(array('Journal of X', 'preprint server', 'Blog'), CAST(p_partkey % 3 AS INT) + 1)")).alias("reviewed")), "SELECT p_partkey, [true, false, NULL][p_partkey % 3 + 1] AS reviewed FROM part")
+register("sca33_short_summary", lambda m: m.documents.select("doc_id", F.length(S.short_summary(F.col("text"))).alias("n")), """
+h AS (SELECT doc_id, length(text) AS n, text[1:500] AS h FROM documents), p AS (SELECT doc_id, n, h, 500 - strpos(reverse(h), ' .') AS stop, strpos(reverse(h), ' .') AS k FROM h)
+SELECT doc_id, CASE WHEN n <= 500 THEN n WHEN k > 0 AND stop > 200 THEN stop ELSE 500 END::INT AS n FROM p""")
+register("src61_patent_number", lambda m: m.part.select("p_partkey", S.patent_number(F.concat(F.lit("0"), F.col("p_partkey").cast("string"), F.lit("-B")), F.expr("element_at(array('S1', 'P2', 'B2'), CAST(p_partkey % 3 AS INT) + 1)")).alias("number")), "SELECT p_partkey, ['D', 'PP', ''][p_partkey % 3 + 1] || CASE WHEN p_partkey = 0 THEN '' ELSE p_partkey::VARCHAR END AS number FROM part")
+register("src58_first_long", lambda m: m.documents.select("doc_id", F.length(S.first_long(F.substring("text", 1, 90), F.col("text"))).alias("n")), "SELECT doc_id, CASE WHEN length(text) >= 100 THEN length(text) END::INT AS n FROM documents")
+register("src62_sizes", lambda m: m.documents.groupBy("source").agg(F.sum("n_chars").alias("n")).select("source", S.readable_size(F.col("n")).alias("size")), "SELECT source, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', round(n / 1024, 1)) ELSE printf('%.1f MB', round(n / 1048576, 1)) END AS size FROM (SELECT source, sum(n_chars)::BIGINT AS n FROM documents GROUP BY 1) t")
+register("har3_money", lambda m: m.orders.select("o_orderkey", S.money(F.concat(F.lit("$"), F.format_number("o_totalprice", 2))).alias("value")), "SELECT o_orderkey, round(o_totalprice, 2) AS value FROM orders")
+register("har16_funders", lambda m: m.supplier.select("s_suppkey", S.funding_org(F.expr("element_at(array('NSF grant', 'US Department of Energy', 'the acme fund'), CAST(s_suppkey % 3 AS INT) + 1)")).alias("org")), "SELECT s_suppkey, ['NSF', 'DOE', 'The Acme Fund'][s_suppkey % 3 + 1] AS org FROM supplier")
+register("har29_accession", lambda m: m.orders.select("o_orderkey", S.accession(F.lpad(F.col("o_orderkey").cast("string"), 18, "0")).alias("accession")), "SELECT o_orderkey, a[1:10] || '-' || a[11:12] || '-' || a[13:18] AS accession FROM (SELECT o_orderkey, lpad(o_orderkey::VARCHAR, 18, '0') AS a FROM orders) t")
+register("src52_cik", lambda m: m.supplier.select("s_suppkey", S.cik(F.col("s_suppkey")).alias("cik")), "SELECT s_suppkey, lpad(s_suppkey::VARCHAR, 10, '0') AS cik FROM supplier")

@@ -78,7 +78,7 @@ def feed(spark: SparkSession, path: str, start: str, end: str) -> DataFrame:
     """Items of RSS files between two days; items without a date stay."""
     schema = "title string, link string, description string, pubDate string"
     df = spark.read.format("xml").option("rowTag", "item").schema(schema).load(path)
-    at = F.coalesce(F.try_to_timestamp("pubDate", F.lit("EEE, dd MMM yyyy HH:mm:ss Z")), parse_date(F.col("pubDate")))
+    at = F.coalesce(F.try_to_timestamp(F.regexp_replace("pubDate", r"^[A-Za-z]{3},\s*", ""), F.lit("d MMM yyyy HH:mm:ss Z")), parse_date(F.col("pubDate")))
     df = df.withColumn("published", at)
     return df.where(F.col("published").isNull() | F.to_date("published").between(start, end))
 
@@ -164,3 +164,24 @@ def get_run(spark: SparkSession, path: str, run: str) -> DataFrame:
 def with_errors(record_schema: str) -> T.StructType:
     """A record schema with the column that takes what can't be parsed."""
     return T.StructType.fromDDL(record_schema).add("_corrupt_record", T.StringType())
+
+
+def publish(results: DataFrame, path: str, threshold: float = 0.85) -> None:
+    """All records as one shard family, those of at least `threshold` quality as another."""
+    good = results.where(F.coalesce("quality_score", F.lit(0.0)) >= threshold)
+    results.write.mode("append").json(f"{path}/all")
+    good.write.mode("append").json(f"{path}/relevant")
+
+
+def catalog_variants(catalog: DataFrame) -> DataFrame:
+    """Catalogue rows with their aliases as variants of full similarity."""
+    alias = F.coalesce("aliases", F.array().cast("array<string>"))
+    return catalog.withColumn("variants", F.transform(alias, lambda a: F.struct(a.alias("name"), F.lit(1.0).alias("similarity_score"), F.lit("catalog").alias("method"))))
+
+
+def union_sources(frames: Sequence[DataFrame], ids: Sequence[str]) -> DataFrame:
+    """Rows of several sources, columns by name, the first row of each id (in the order of the sources) kept."""
+    from ..operators.harvest import dedupe
+
+    tagged = [f.withColumns({"_source": F.lit(i), "_at": F.monotonically_increasing_id()}) for i, f in enumerate(frames)]
+    return dedupe(merge_quarters(tagged), ids, ["_source", "_at"]).drop("_source", "_at")

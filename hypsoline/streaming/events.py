@@ -16,7 +16,10 @@ def source(spark: SparkSession, path: str, schema: str = EVENT, fmt: str = "parq
 
 
 def _late(df: DataFrame, delay: str) -> DataFrame:
-    return df.withWatermark("ts", delay) if df.isStreaming else df
+    """A watermark on streams. Event times without a zone are read in the session's."""
+    if not df.isStreaming:
+        return df
+    return df.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
 
 
 def tumbling(df: DataFrame, width: str = "1 day", delay: str = "1 hour") -> DataFrame:
