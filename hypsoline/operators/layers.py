@@ -89,7 +89,7 @@ def _before(as_of: str, days: int):
 def contracts(mention_docs: DataFrame, start: str, end: str, roles: Sequence[str] = ("deployed", "funded", "researched")) -> DataFrame:
     aggs = [
         F.count("*").alias("contract_count"), F.round(F.sum(F.coalesce("award_amount", F.lit(0.0))), 2).alias("total_value"),
-        F.round(F.avg(F.coalesce("award_amount", F.lit(0.0))), 2).alias("avg_value"), F.array_join(F.slice(F.array_sort(F.collect_set("agency")), 1, 10), ",").alias("agencies"),
+        F.round(F.avg(F.coalesce("award_amount", F.lit(0.0))), 6).alias("avg_value"), F.array_join(F.slice(F.array_sort(F.collect_set("agency")), 1, 10), ",").alias("agencies"),
     ]
     return doc_metrics(mention_docs, "government_contract", roles, start, end, aggs)
 
@@ -188,4 +188,4 @@ def cash_burn(company_tech: DataFrame, mention_docs: DataFrame) -> DataFrame:
     df = good(mention_docs).where((F.col("doc_type") == "sec_filing") & F.col("cash_burn").isNotNull() & F.col("cash_reserves").isNotNull() & F.col("published_at").isNotNull())
     df = df.select("tech_id", "cash_burn", "cash_reserves").join(company_tech.select("src", F.col("dst").alias("tech_id")), "tech_id")
     runway = F.when(F.col("cash_burn") <= 0, F.lit(999.0)).otherwise(F.col("cash_reserves") / F.col("cash_burn"))
-    return df.groupBy("tech_id").agg(F.countDistinct("src").alias("companies"), F.round(F.avg("cash_burn"), 4).alias("avg_burn"), F.round(F.avg(runway), 4).alias("avg_runway"), F.count_if(runway < 12).alias("short_runway"))
+    return df.groupBy("tech_id").agg(F.countDistinct("src").alias("companies"), F.round(F.avg("cash_burn"), 6).alias("avg_burn"), F.round(F.avg(runway), 6).alias("avg_runway"), F.count_if(runway < 12).alias("short_runway"))

@@ -65,7 +65,7 @@ coalesce(r, 0)::BIGINT AS repo_count, coalesce(s, 0)::BIGINT AS total_stars, coa
 FROM technologies t LEFT JOIN a ON a.tech_id = t.id LEFT JOIN c ON c.community = t.community""")
 
 register("ado1_contracts", lambda m: L.contracts(m.mention_docs, YEAR, AS_OF), f"""
-SELECT tech_id, count(*) AS contract_count, round(sum(award_amount), 2) AS total_value, round(avg(award_amount), 2) AS avg_value,
+SELECT tech_id, count(*) AS contract_count, round(sum(award_amount), 2) AS total_value, round(avg(award_amount), 6) AS avg_value,
 coalesce(array_to_string(list_sort(list_distinct(list(agency)))[1:10], ','), '') AS agencies
 FROM {MD} AND doc_type = 'government_contract' AND role IN ('deployed', 'funded', 'researched') AND {window(YEAR)} GROUP BY tech_id""")
 
@@ -155,7 +155,7 @@ for name, types, start in (("ris3_institutional_docs", ("13F-HR",), None), ("ris
     SELECT f.tech_id, count(*) AS filing_rows, count(DISTINCT f.doc_id) AS filings, array_to_string(list_sort(list_distinct(list(c.name)))[1:10], ',') AS companies FROM f JOIN company_tech e ON e.dst = f.tech_id
     JOIN companies c ON c.id = e.src WHERE filing_type IN ({", ".join(f"'{t}'" for t in types)}) {f"AND {window(start)}" if start else ""} GROUP BY f.tech_id""")
 register("ris5_cash_burn", lambda m: L.cash_burn(m.company_tech, m.mention_docs), f"""{FILINGS}
-SELECT f.tech_id, count(DISTINCT src) AS companies, round(avg(cash_burn), 4) AS avg_burn, round(avg(w), 4) AS avg_runway, count_if(w < 12)::BIGINT AS short_runway
+SELECT f.tech_id, count(DISTINCT src) AS companies, round(avg(cash_burn), 6) AS avg_burn, round(avg(w), 6) AS avg_runway, count_if(w < 12)::BIGINT AS short_runway
 FROM (SELECT *, CASE WHEN cash_burn <= 0 THEN 999.0::DOUBLE ELSE cash_reserves / cash_burn END AS w FROM f) f JOIN company_tech e ON e.dst = f.tech_id GROUP BY f.tech_id""")
 
 

@@ -15,7 +15,7 @@ DOMAIN = "regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]
 register("sca1_outlet_tier", lambda m: m.pages.select("page_id", S.outlet_tier(F.concat(F.when(F.col("page_id") % 3 == 0, "bbc.").when(F.col("page_id") % 3 == 1, "www.Reuters.").otherwise("x."), F.lit("com"))).alias("tier")), "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'Mainstream Media' WHEN 1 THEN 'Financial Authority' ELSE 'Niche/Aggregator' END AS tier FROM pages")
 register("sca3_article_id", lambda m: m.pages.select("page_id", S.md5_id("news_article_", F.col("url")).alias("doc_id")), "SELECT page_id, 'news_article_' || md5(url)[1:12] AS doc_id FROM pages")
 register("sca4_domain", lambda m: m.pages.select("page_id", S.domain_of(F.col("url")).alias("domain")), f"SELECT page_id, {DOMAIN} AS domain FROM pages")
-register("sca5_publisher", lambda m: m.pages.select("page_id", S.publisher_name(S.domain_of(F.col("url")), {}).alias("publisher")), f"SELECT page_id, upper(p[1]) || p[2:] AS publisher FROM (SELECT page_id, split_part({DOMAIN}, '.', 1) AS p FROM pages) t")
+register("sca5_publisher", lambda m: m.pages.select("page_id", S.publisher_name(S.domain_of(F.col("url")), {}).alias("publisher")), f"SELECT page_id, array_to_string([upper(x[1]) || x[2:] FOR x IN string_split(p, '-')], '-') AS publisher FROM (SELECT page_id, split_part({DOMAIN}, '.', 1) AS p FROM pages) t")
 register("sca6_duration", lambda m: m.orders.select("o_orderkey", S.days_between(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("2001-08-01")).alias("days")), "SELECT o_orderkey, (DATE '2001-08-01' - o_orderdate::DATE)::INT AS days FROM orders")
 register("sca7_contract_size", lambda m: m.orders.select("o_orderkey", S.contract_size(F.col("o_totalprice")).alias("size")), "SELECT o_orderkey, CASE WHEN o_totalprice < 100000 THEN 'small' WHEN o_totalprice < 1000000 THEN 'medium' ELSE 'large' END AS size FROM orders")
 register("sca9_award_id", lambda m: m.part.select("p_partkey", S.award_id(F.concat("p_brand", F.lit("/"), "p_type", F.lit("-1 a"))).alias("id")), "SELECT p_partkey, translate(p_brand || '/' || p_type || '-1 a', '/- ', '___') AS id FROM part")
