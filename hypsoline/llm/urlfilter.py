@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from .common import col, map_arrow
 
-BUCKETS = 1 << 14
+BUCKETS = 1 << 13
 GRAMS = (3, 4, 5)
 #: The longest host or path whose n-grams are held at once; longer ones are added up in parts that overlap.
 PART = 1 << 16
@@ -21,36 +21,53 @@ PART = 1 << 16
 #: The rules of the contract.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
-#: A small labelled table: words of hosts and paths that crawls keep (0) and drop (1). Rows are made by rule below.
-GOOD_HOSTS = ("news", "docs", "wiki", "blog", "library", "museum", "school", "weather", "garden", "science", "history", "www", "m", "city", "recipes")
-GOOD_PATHS = ("/en/articles/", "/de/123", "/fr/2045.html", "/es/31/", "/about", "/guide/start.html", "/en/7713", "/topics/music/", "/")
-BAD_HOSTS = ("casino", "xxx", "porn", "torrent", "warez", "viagra", "betting", "escort", "hotgirls", "freecracks", "loan-payday", "jackpot")
-BAD_PATHS = ("/win/bonus", "/adult/video", "/download/crack.exe", "/poker/slots", "/cheap-pills/", "/xxx/cams", "/keygen", "/")
+#: Words of hosts that crawls keep and that they drop (gambling, adult, pharmacy, advertising, malware, lures). The small
+#: labelled table is made from them by rule, with the same prefixes, endings and paths for both classes.
+KEEP = (
+    "news", "docs", "wiki", "library", "museum", "school", "weather", "garden", "science", "history", "city", "recipes", "music", "travel", "health", "sports", "forum", "university", "theatre", "nature",
+    "kitchen", "journal", "review", "archive", "press", "community", "gallery", "research", "church", "village", "mountain", "river", "physics", "poetry", "railway", "council", "harbour", "orchestra", "bakery", "institute",
+)
+DROP = (
+    "casino", "win", "jackpot", "poker", "slots", "bets", "betting", "lottery", "free", "bonus", "adult", "xxx", "porn", "sex", "cams", "escort", "cheap", "pills", "viagra", "pharma",
+    "meds", "ads", "adserver", "track", "clicks", "popup", "spam", "farm-links", "link-farm", "warez", "torrent", "crack", "keygen", "phish", "payday", "loans", "prize", "gift-cards", "replica", "hotgirls",
+)
+#: Syllables of invented names, which are kept: a host that says nothing is not dropped.
+SYLLABLES = ("an", "ber", "con", "der", "en", "for", "ger", "hin", "ing", "jor", "ken", "lan", "mer", "ner", "on", "per", "quin", "ren", "son", "tion", "the", "ur", "ver", "yor", "zen", "ou", "st", "ly", "ra", "ti", "al", "is")
+INVENTED = 480
+PREFIXES, ENDINGS = ("", "www.", "m.", "blog."), ("example.com", "example.org", "example.net", "test")
+PATHS = ("/en/{}", "/de/{}/", "/fr/{}.html", "/es/{}", "/", "/index.html", "/articles/{}", "/{}")
 
 
 @functools.lru_cache(maxsize=1)
 def labelled() -> tuple[tuple[str, str, int], ...]:
-    """(host, path, label) rows: each host word with each path of its class, under changing endings."""
-    ends = ("example.com", "example.org", "example.net", "test")
+    """(host, path, label) rows: each word alone and joined with two others of its class, under changing places;
+    and invented names, kept."""
     rows = []
-    for hosts, paths, y in ((GOOD_HOSTS, GOOD_PATHS, 0), (BAD_HOSTS, BAD_PATHS, 1)):
-        rows += [(f"{h}.{ends[(i + j) % 4]}", p, y) for i, h in enumerate(hosts) for j, p in enumerate(paths)]
+    for words, y in ((KEEP, 0), (DROP, 1)):
+        for i, word in enumerate(words):
+            for j, name in enumerate((word, f"{word}-{words[(i + 1) % len(words)]}", f"{words[(i + 7) % len(words)]}-{word}", f"{word}{words[(i + 3) % len(words)]}")):
+                k = 4 * i + j
+                rows.append((f"{PREFIXES[(k + i) % 4]}{name}.{ENDINGS[(k + i // 3) % 4]}", PATHS[k * 3 % 8].format(k * 37 % 4999), y))
+    n = len(SYLLABLES)
+    for k in range(INVENTED):
+        name = "".join(SYLLABLES[(k * m + k // n * (m - 2)) % n] for m in (1, 5, 11)[: 2 + k % 2])
+        rows.append((f"{PREFIXES[k % 4]}{name}.{ENDINGS[k // 4 % 4]}", PATHS[k // 3 % 8].format(k * 91 % 9973), 0))
     return tuple(rows)
 
 
 def features(host: str, path: str) -> np.ndarray:
-    """L2-scaled counts of the hashed n-grams of ^host$ and ^path$, kept apart by a tag."""
+    """L2-scaled counts of the hashed n-grams of ^host$, which count twice, and ^path$, kept apart by a tag."""
     counts = np.zeros(BUCKETS)
-    for tag, value in ((b"h", host), (b"p", path)):
+    for tag, value, weight in ((b"h", host, 2.0), (b"p", path, 1.0)):
         data = b"^" + value.encode("utf-8", "replace") + b"$"
         for n in GRAMS:
             for at in range(0, max(1, len(data) - n + 1), PART):
                 grams = [zlib.crc32(tag + data[i : i + n]) % BUCKETS for i in range(at, min(at + PART, len(data) - n + 1))]
-                counts += np.bincount(grams, minlength=BUCKETS) if grams else 0
+                counts += weight * np.bincount(grams, minlength=BUCKETS) if grams else 0
     return counts / max(1.0, np.sqrt(counts @ counts))
 
 
-def train(rows, rounds: int = 3000, rate: float = 4.0, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+def train(rows, rounds: int = 1000, rate: float = 8.0, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Full-batch gradient descent from zero: the same weights on every run. Weights stay sums of the rows' features,
     so the steps are taken on the factors of the rows."""
     x, y = np.array([features(h, p) for h, p, _ in rows]), np.array([y for _, _, y in rows], dtype=float)
