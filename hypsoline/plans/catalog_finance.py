@@ -51,8 +51,8 @@ register("fin13_insider_months", lambda m: rounded(N.insider_metrics(m.insider.w
 register("fin14_top_insiders", lambda m: rounded(N.top_insiders(m.insider, "P"), avg_price=4, value=0, pct=6), f"""SELECT owner, shares, round(avg_price, 4) AS avg_price, trades, round(value, 0) AS value, round(shares / total * 100, 6) AS pct FROM (SELECT *, sum(shares) OVER () AS total FROM
 (SELECT owner, sum(shares) AS shares, avg(price) AS avg_price, count(*) AS trades, sum({PRICED}) AS value FROM insider WHERE code = 'P' GROUP BY 1) t) u ORDER BY shares DESC, owner LIMIT 10""")
 register("fin11_roles", lambda m: m.insider.select("relationship", N.role_text(F.col("relationship")).alias("role")).distinct(), "SELECT DISTINCT relationship, CASE WHEN relationship IS NULL THEN 'Unknown' WHEN relationship = 'OFFICER' THEN 'Officer' WHEN relationship = 'DIRECTOR' THEN 'Director' ELSE 'Director, 10% Owner' END AS role FROM insider")
-register("fin15_details", lambda m: rounded(N.trade_details(m.insider.where("code IN ('P', 'S') AND ticker <= 20"), F.when(F.col("line") == 1, "E").when(F.col("line") == 2, "L")), value=2), f"""SELECT ticker, owner, trans_date, CASE code WHEN 'P' THEN 'Purchase' ELSE 'Sale' END AS kind, CASE line WHEN 1 THEN 'Early' WHEN 2 THEN 'Late' ELSE 'On-time' END AS timeliness, round({PRICED}, 2)::DOUBLE AS value,
-CASE WHEN relationship IS NULL THEN 'Unknown' WHEN relationship = 'OFFICER' THEN 'Officer' WHEN relationship = 'DIRECTOR' THEN 'Director' ELSE 'Director, 10% Owner' END AS role FROM insider WHERE code IN ('P', 'S') AND ticker <= 20""")
+register("fin15_details", lambda m: rounded(N.trade_details(m.insider.where("code IN ('P', 'S')"), F.when(F.col("line") == 1, "E").when(F.col("line") == 2, "L")), value=2), f"""SELECT ticker, owner, trans_date, CASE code WHEN 'P' THEN 'Purchase' ELSE 'Sale' END AS kind, CASE line WHEN 1 THEN 'Early' WHEN 2 THEN 'Late' ELSE 'On-time' END AS timeliness, round({PRICED}, 2)::DOUBLE AS value,
+CASE WHEN relationship IS NULL THEN 'Unknown' WHEN relationship = 'OFFICER' THEN 'Officer' WHEN relationship = 'DIRECTOR' THEN 'Director' ELSE 'Director, 10% Owner' END AS role FROM insider WHERE code IN ('P', 'S')""")
 register("fin9_trades_by_ticker", lambda m: m.insider.where(F.col("ticker").isin(1, 2, 3) & F.col("code").isin("P", "S") & F.col("trans_date").between("1996-01-01", "1999-12-31")).join(m.supplier.select(F.col("s_suppkey").alias("owner"), F.col("s_name").alias("owner_name")), "owner").select("ticker", "owner_name", "code", "trans_date", "shares", "accession", "line"),
          "SELECT ticker, s_name AS owner_name, code, trans_date, shares, accession, line FROM insider JOIN supplier ON s_suppkey = owner WHERE ticker IN (1, 2, 3) AND code IN ('P', 'S') AND trans_date BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'")
 register("fin10_code_stats", lambda m: m.insider.groupBy("code").agg(F.count("*").alias("n"), F.min("trans_date").alias("first_date"), F.max("trans_date").alias("last_date")), "SELECT code, count(*) AS n, min(trans_date) AS first_date, max(trans_date) AS last_date FROM insider GROUP BY code")
@@ -63,7 +63,7 @@ def scholarly(m):
     rel = m.part.select(F.col("p_partkey").alias("lens_id"), (F.col("p_partkey") % 101 / 10.0).alias("relevance_score"), (F.col("p_partkey") % 3 != 0).alias("is_relevant"))
     pick = lambda n, *vs: F.element_at(F.array(*[F.lit(v) for v in vs]), (F.col("p_partkey") % n).cast("int") + 1)
     sig = m.part.select(F.col("p_partkey").alias("lens_id"), pick(4, "very_high", "high", "medium", "low").alias("impact_potential"), pick(5, "breakthrough", "incremental_breakthrough", "incremental", "none", "other").alias("innovation_type"))
-    meta = m.part.where("p_partkey % 7 <> 0").select(F.col("p_partkey").alias("lens_id"), (F.col("p_partkey") % 150).alias("references_count"))
+    meta = m.part.select(F.col("p_partkey").alias("lens_id"), F.when(F.col("p_partkey") % 7 != 0, F.col("p_partkey") % 150).alias("references_count"))
     return papers, rel, sig, meta
 
 
@@ -74,8 +74,8 @@ FROM part WHERE p_partkey % 3 <> 0 AND p_partkey % 101 / 10.0::DOUBLE >= 8) t OR
 register("fin17_relevance_range", lambda m: scholarly(m)[1].where(F.col("relevance_score").between(8.0, 9.0)).join(scholarly(m)[0], "lens_id").select("lens_id", "relevance_score"), "SELECT p_partkey AS lens_id, p_partkey % 101 / 10.0::DOUBLE AS relevance_score FROM part WHERE p_partkey % 101 BETWEEN 80 AND 90")
 register("fin18_subgraph", lambda m: m.company_tech.join(m.technologies.where("id <= 10").select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst", "doc_ref"), "SELECT src, dst, doc_ref FROM company_tech WHERE dst <= 10")
 register("fin19_relevance_stats", lambda m: scholarly(m)[1].agg(F.count("*").alias("total"), F.count_if("is_relevant").alias("relevant"), F.min("relevance_score").alias("least"), F.max("relevance_score").alias("most"), F.round(F.avg("relevance_score"), 6).alias("mean")), "SELECT count(*) AS total, count_if(p_partkey % 3 <> 0)::BIGINT AS relevant, min(p_partkey % 101 / 10.0::DOUBLE) AS least, max(p_partkey % 101 / 10.0::DOUBLE) AS most, round(avg(p_partkey % 101 / 10.0::DOUBLE), 6) AS mean FROM part")
-register("fin20_top_patents", lambda m: N.top_patents(m.orders.where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("patent_id"), F.to_date("o_orderdate").alias("filed"), (F.col("o_custkey") % 30).alias("family"), (F.col("o_custkey") % 50).alias("citations"))), """
-a AS (SELECT o_orderkey AS patent_id, o_orderdate::DATE - DATE '1970-01-01' AS d, ln(1 + o_custkey % 30) AS f, ln(1 + o_custkey % 50) AS c FROM orders WHERE o_orderkey % 7 = 0), b AS (SELECT min(d) AS d0, max(d) AS d1, max(f) AS f1, max(c) AS c1 FROM a)
+register("fin20_top_patents", lambda m: N.top_patents(m.documents_g.where("doc_type = 'patent'").select(F.col("doc_id").alias("patent_id"), F.col("published_at").alias("filed"), (F.col("stars") % 30).alias("family"), F.col("citation_count").alias("citations"))), """
+a AS (SELECT doc_id AS patent_id, published_at - DATE '1970-01-01' AS d, ln(1 + stars % 30) AS f, ln(1 + citation_count) AS c FROM documents_g WHERE doc_type = 'patent'), b AS (SELECT min(d) AS d0, max(d) AS d1, max(f) AS f1, max(c) AS c1 FROM a)
 SELECT patent_id, round(0.4::DOUBLE * ((d - d0) / (d1 - d0)) + 0.3::DOUBLE * (f / f1) + 0.3::DOUBLE * (c / c1), 9) AS score FROM a, b ORDER BY score DESC, patent_id LIMIT 100""")
 register("fin21_composite_stats", lambda m: N.composite_papers(*scholarly(m)).agg(F.round(F.min("composite_score"), 6).alias("least"), F.round(F.max("composite_score"), 6).alias("most"), F.count("*").alias("n")))
 register("fin22_ticker_map", lambda m: m.insider.select("ticker").distinct().join(m.part.select(F.col("p_partkey").alias("ticker"), F.concat(F.lit("CU"), F.lpad(F.col("p_partkey").cast("string"), 7, "0")).alias("cusip")).where("ticker % 2 = 0"), "ticker", "left"), "SELECT DISTINCT ticker, CASE WHEN ticker % 2 = 0 THEN 'CU' || lpad(ticker::VARCHAR, 7, '0') END AS cusip FROM insider")

@@ -51,7 +51,7 @@ register("ups15_duplicate_keys", lambda m: U.duplicates(m.lineitem, ["l_partkey"
 register("ups17_statistics", lambda m: U.statistics({"Technology": m.technologies, "Company": m.companies, "Document": m.documents_g}, {"MENTIONED_IN": m.tech_mentions, "RELATED_TO_TECH": m.company_tech}), """SELECT 'node' AS kind, 'Technology' AS label, count(*) AS n FROM technologies UNION ALL SELECT 'node', 'Company', count(*) FROM companies UNION ALL SELECT 'node', 'Document', count(*) FROM documents_g
 UNION ALL SELECT 'edge', 'MENTIONED_IN', count(*) FROM tech_mentions UNION ALL SELECT 'edge', 'RELATED_TO_TECH', count(*) FROM company_tech""")
 register("ups20_memberships", lambda m: m.technologies.select("community", F.col("id").alias("node_id")), "SELECT community, id AS node_id FROM technologies")
-register("src13_dangling", lambda m: U.dangling(m.mention_rows, m.technologies.where("id % 10 <> 0"), "tech_id", "id").groupBy("tech_id").agg(F.count("*").alias("n")), "SELECT tech_id, count(*) AS n FROM mention_rows WHERE tech_id % 10 = 0 GROUP BY 1")
+register("src13_dangling", lambda m: U.dangling(m.mention_rows, m.technologies.where("domain <> 'ECONOMY'"), "tech_id", "id").groupBy("tech_id").agg(F.count("*").alias("n")), "SELECT tech_id, count(*) AS n FROM mention_rows WHERE tech_id NOT IN (SELECT id FROM technologies WHERE domain <> 'ECONOMY') GROUP BY 1")
 
 # diagnostics
 
@@ -89,13 +89,21 @@ register("gra2_degree", lambda m: G.degree(nodes(m), edges(m)), f"{GRAPH} SELECT
 ROUNDS = 6
 PAGERANK = ", ".join(f"p{i + 1} AS (SELECT n.id, 0.15::DOUBLE + 0.85::DOUBLE * coalesce(f, 0) AS p FROM n LEFT JOIN (SELECT dst, sum(p{i}.p * s) AS f FROM l JOIN p{i} ON p{i}.id = l.src GROUP BY dst) t ON t.dst = n.id)" for i in range(ROUNDS))
 register("gra1_pagerank", lambda m: G.pagerank(nodes(m), edges(m), ROUNDS, tolerance=0).select("id", F.round("pagerank", 6).alias("pagerank")), f"{GRAPH}, o AS (SELECT src, count(*) AS o FROM e GROUP BY 1), l AS (SELECT e.src, e.dst, count(*) / any_value(o.o) AS s FROM e JOIN o USING (src) GROUP BY e.src, e.dst), p0 AS (SELECT id, 0.15::DOUBLE AS p FROM n), {PAGERANK} SELECT id, round(p, 6) AS pagerank FROM p{ROUNDS}")
-register("gra3_betweenness", lambda m: G.betweenness(edges(m), nodes(m).where("id < 0 AND id >= -20")).select("id", F.round("betweenness", 6).alias("betweenness")))
+
+
+def places(m):
+    """Customers to their nation, nations to their region; nations and regions have negative ids."""
+    up = m.customer.select(F.col("c_custkey").cast("long").alias("src"), (-1 - F.col("c_nationkey")).cast("long").alias("dst"))
+    return up.unionByName(m.nation.select((-1 - F.col("n_nationkey")).cast("long").alias("src"), (-1000 - F.col("n_regionkey")).cast("long").alias("dst")))
+
+
+register("gra3_betweenness", lambda m: G.betweenness(places(m), places(m).select(F.col("src").alias("id"))), """
+c AS (SELECT c_nationkey, count(*)::DOUBLE AS n FROM customer GROUP BY 1) SELECT (-1 - c_nationkey)::BIGINT AS id, n AS betweenness FROM c UNION ALL SELECT DISTINCT (-1000 - n_regionkey)::BIGINT, 0.0::DOUBLE FROM nation""")
 register("gra4_top_nodes", lambda m: G.degree(nodes(m), edges(m)).orderBy(F.desc("degree"), "id").limit(5), f"{GRAPH} SELECT id, count(*) AS degree FROM e JOIN n ON id = src GROUP BY 1 ORDER BY degree DESC, id LIMIT 5")
 register("gra5_label_propagation", lambda m: G.label_propagation(edges(m), 3))
 register("gra7_community_counts", lambda m: m.technologies.agg(F.countDistinct("community").alias("v1"), F.countDistinct("domain").alias("v2")), "SELECT count(DISTINCT community) AS v1, count(DISTINCT domain) AS v2 FROM technologies")
-register("gra8_components", lambda m: G.connected_components(m.company_tech.where("doc_ref % 97 = 0").select((-1 - F.col("src")).alias("src"), "dst")), """
-e AS (SELECT -1 - src AS a, dst AS b FROM company_tech WHERE doc_ref % 97 = 0), g AS (SELECT a, b FROM e UNION SELECT b, a FROM e), w(id, r) AS (SELECT * FROM (WITH RECURSIVE x(id, r) AS (SELECT a, a FROM g UNION SELECT g.b, x.r FROM x JOIN g ON g.a = x.id AND x.r <= g.b) SELECT * FROM x) y)
-SELECT id, min(r)::BIGINT AS component FROM w GROUP BY id""")
+register("gra8_components", lambda m: G.connected_components(m.customer.select(F.col("c_custkey").cast("long").alias("src"), (-1 - F.col("c_nationkey")).cast("long").alias("dst"))), """
+SELECT c_custkey::BIGINT AS id, (-1 - c_nationkey)::BIGINT AS component FROM customer UNION ALL SELECT DISTINCT (-1 - c_nationkey)::BIGINT, (-1 - c_nationkey)::BIGINT FROM customer""")
 register("gra9_neighbourhood", lambda m: G.neighbourhood(m.company_tech, 5), "SELECT 'out' AS way, src AS node, dst AS other, relation_type FROM company_tech WHERE src = 5 UNION ALL SELECT 'in', dst, src, relation_type FROM company_tech WHERE dst = 5")
 register("gra10_lookup", lambda m: m.technologies.where("id = 7").select("id", "name", "community"), "SELECT id, name, community FROM technologies WHERE id = 7")
 register("gra13_colours", lambda m: m.documents_g.select("doc_type").distinct().select("doc_type", G.colour(F.lit("Document")).alias("colour")), "SELECT DISTINCT doc_type, '#76b7b2' AS colour FROM documents_g")
@@ -115,6 +123,6 @@ def log(m):
 
 
 register("str3_progress", lambda m: E.progress(log(m)), "SELECT 'run' || (user_id % 7) AS run_id, count_if(event_type = 'purchase')::BIGINT AS done, 500 AS total, (100 * count_if(event_type = 'purchase') // 500)::INT AS pct FROM events GROUP BY 1")
-register("str6_not_done", lambda m: E.not_done(m.events.select("event_id", "user_id"), m.events.where("event_id % 50 = 7").select("user_id"), "user_id"), "SELECT user_id, event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_id % 50 = 7)")
+register("str6_not_done", lambda m: E.not_done(m.events.select("event_id", "user_id"), m.events.where("value > 489").select("user_id"), "user_id"), "SELECT user_id, event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE value > 489)")
 register("dia4_good_documents", lambda m: m.documents_g.agg(*[F.count_if(F.col("quality_score") >= q).alias(f"at_least_{int(q * 100)}") for q in (0.5, 0.75, 0.85)]), "SELECT count_if(quality_score >= 0.5)::BIGINT AS at_least_50, count_if(quality_score >= 0.75)::BIGINT AS at_least_75, count_if(quality_score >= 0.85)::BIGINT AS at_least_85 FROM documents_g")
 register("dia6_strata", lambda m: H.top_k(m.mention_docs.groupBy("doc_type", "tech_id").agg(F.count("*").alias("n")), ["doc_type"], [F.desc("n"), F.col("tech_id")], 10).select("doc_type", "tech_id", "n"), "SELECT doc_type, tech_id, n FROM (SELECT doc_type, tech_id, count(*) AS n, row_number() OVER (PARTITION BY doc_type ORDER BY count(*) DESC, tech_id) AS r FROM tech_mentions JOIN documents_g USING (doc_id) GROUP BY 1, 2) t WHERE r <= 10")

@@ -59,7 +59,7 @@ SELECT label, round(s, 5) AS score, row_number() OVER (ORDER BY s DESC, label)::
 
 
 def catalog(m):
-    return m.part.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.array(F.concat(F.lit("P"), "p_partkey")).alias("aliases"))
+    return m.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.array(F.concat(F.lit("P"), "p_partkey")).alias("aliases"))
 
 
 def mentions(m):
@@ -67,15 +67,26 @@ def mentions(m):
     return m.part.select(odd.alias("name"), F.concat(F.lit("r"), (F.col("p_partkey") % 3).cast("string")).alias("role"), (F.col("p_partkey") % 100).alias("doc_id"), (F.col("p_size") / 50).alias("strength"))
 
 
-MENTIONS = "k AS (SELECT lower(trim(p_name)) AS key, min(p_partkey) AS id FROM part WHERE p_partkey % 2 = 0 GROUP BY 1 UNION ALL SELECT lower('P' || p_partkey), p_partkey FROM part WHERE p_partkey % 2 = 0), m AS (SELECT CASE p_partkey % 5 WHEN 0 THEN ' ' || upper(p_name) || ' ' WHEN 1 THEN p_name || 'x' ELSE p_name END AS name, 'r' || (p_partkey % 3) AS role, p_partkey % 100 AS doc_id, p_size / 50 AS strength FROM part)"
+MENTIONS = "k AS (SELECT lower(trim(p_name)) AS key, min(p_partkey) AS id FROM part GROUP BY 1 UNION ALL SELECT lower('P' || p_partkey), p_partkey FROM part), m AS (SELECT CASE p_partkey % 5 WHEN 0 THEN ' ' || upper(p_name) || ' ' WHEN 1 THEN p_name || 'x' ELSE p_name END AS name, 'r' || (p_partkey % 3) AS role, p_partkey % 100 AS doc_id, p_size / 50 AS strength FROM part)"
 register("ent1_exact", lambda m: R.exact(mentions(m), R.alias_table(catalog(m))).select("name", "id"), f"{MENTIONS} SELECT m.name, k.id FROM m LEFT JOIN k ON k.key = lower(trim(m.name))")
 register("ent2_unmatched", lambda m: R.unmatched(mentions(m), R.alias_table(catalog(m))), f"{MENTIONS} SELECT name, count(*) AS n FROM m WHERE lower(trim(name)) NOT IN (SELECT key FROM k) GROUP BY 1 ORDER BY n DESC, name LIMIT 10")
 register("ent3_normalize", lambda m: m.conversations.select("conv_id", "turn", F.md5(S.normalize_name(F.col("text")).cast("binary")).alias("md5")), "SELECT conv_id, turn, md5(trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(text)), '\\s+', ' ', 'g'), '[^a-z0-9\\s\\-()/+]', '', 'g'), '\\s+', ' ', 'g'))) AS md5 FROM conversations")
 register("ent4_normalized_mentions", lambda m: R.normalized_mentions(mentions(m)), f"""{MENTIONS}, z AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(name)), '\\s+', ' ', 'g'), '[^a-z0-9\\s\\-()/+]', '', 'g'), '\\s+', ' ', 'g')) AS normalized FROM m),
 o AS (SELECT normalized, name, row_number() OVER (PARTITION BY normalized ORDER BY count(*) DESC, name) AS r FROM z GROUP BY 1, 2) SELECT z.normalized, count(*) AS n, array_to_string(list_sort(list_distinct(list(role))), ',') AS roles, count(DISTINCT doc_id) AS documents, round(avg(strength), 6) AS avg_strength, any_value(o.name) AS original
 FROM z JOIN o ON o.normalized = z.normalized AND o.r = 1 WHERE z.normalized <> '' GROUP BY z.normalized""")
-register("ent8_cascade", lambda m: R.cascade(mentions(m).limit(300), catalog(m)).groupBy("method").agg(F.count("*").alias("n")))
-register("ent10_clusters", lambda m: R.clusters(m.part.where("p_partkey <= 150").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))))
+
+
+def supplier_catalog(m):
+    return m.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.array(F.concat(F.lit("S"), "s_suppkey")).alias("aliases"))
+
+
+def supplier_mentions(m):
+    n = F.col("s_suppkey") % 4
+    return m.supplier.select(F.when(n == 0, F.upper("s_name")).when(n == 1, F.concat("s_name", F.lit("s"))).when(n == 2, F.concat(F.lit("Somewhere else "), "s_suppkey")).otherwise(F.col("s_name")).alias("name"))
+
+
+register("ent8_cascade", lambda m: R.cascade(supplier_mentions(m), supplier_catalog(m)).groupBy("method").agg(F.count("*").alias("n")))
+register("ent10_clusters", lambda m: R.clusters(supplier_mentions(m).select(F.xxhash64("name").alias("id"), "name")))
 register("ent13_tech_id", lambda m: m.part.select("p_partkey", S.slug(F.col("p_name")).alias("tech_id")), "SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g'), '_') AS tech_id FROM part")
 register("ent21_decisions", lambda m: m.part.select("p_partkey", R.merge_decision(F.col("p_partkey") % 100 / 100.0, F.col("p_size") % 2 == 0, F.col("p_size") / 50).alias("decision")), "SELECT p_partkey, CASE WHEN p_partkey % 100 / 100.0::DOUBLE < 0.75 THEN 'reject' WHEN p_size % 2 = 0 AND p_size / 50 >= 0.3::DOUBLE THEN 'auto_merge' ELSE 'review' END AS decision FROM part")
 
@@ -88,9 +99,10 @@ MERGED = """a AS (SELECT p_partkey % 50 AS cluster, p_name AS name, p_size AS oc
 v AS (SELECT cluster, list_sort(list_distinct(list(x))) AS v FROM (SELECT cluster, unnest([p_brand, p_type]) AS x FROM a) t GROUP BY 1), g AS (SELECT a.cluster, max(CASE WHEN r = 1 THEN name END) AS name, sum(occurrences)::BIGINT AS occurrences FROM a GROUP BY 1)"""
 register("ent22_merged", lambda m: R.merged(members(m)).withColumn("variants", F.array_join("variants", ",")).drop("tech_id"), f"{MERGED} SELECT g.cluster, name, array_to_string(v, ',') AS variants, occurrences FROM g JOIN v USING (cluster)")
 register("ent27_catalog_report", lambda m: R.catalog_report(R.merged(members(m)), 60000).select("names", "duplicate_names", "ambiguous_variants"), f"{MERGED} SELECT (SELECT count(*) FROM g) AS names, (SELECT count(*) FROM (SELECT name FROM g GROUP BY 1 HAVING count(*) > 1) t) AS duplicate_names, (SELECT count(*) FROM (SELECT x FROM (SELECT g.name, unnest(v) AS x FROM g JOIN v USING (cluster)) t GROUP BY x HAVING count(DISTINCT name) > 1) u) AS ambiguous_variants")
-register("ent31_semantic", lambda m: R.semantic(m.embeddings.where("vec_id < 20").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv")), m.embeddings.where("vec_id >= 20 AND vec_id < 220").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 0.2), """
-s AS (SELECT a.vec_id AS qid, b.vec_id AS id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id < 20 AND b.vec_id BETWEEN 20 AND 219)
-SELECT qid, id, score, rank, CASE WHEN score >= 0.9 THEN 'high' WHEN score >= 0.75 THEN 'medium' ELSE 'low' END AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INT AS rank FROM s WHERE score >= 0.2) t WHERE rank <= 3""")
+register("ent31_semantic", lambda m: R.semantic(m.embeddings.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv")), Q.centres(m.embeddings).select(F.col("label").alias("id"), F.col("centre").alias("v")), 0.2).withColumn("score", F.round("score", 5)), """
+k AS (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) t GROUP BY 1, 2), v AS (SELECT label AS id, list(x ORDER BY i) AS v FROM k GROUP BY 1),
+s AS (SELECT a.vec_id AS qid, v.id, round(list_dot_product(a.embedding::DOUBLE[], v.v) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(v.v, v.v))), 6) AS s FROM embeddings a, v)
+SELECT qid, id, round(s, 5) AS score, rank, CASE WHEN s >= 0.9 THEN 'high' WHEN s >= 0.75 THEN 'medium' ELSE 'low' END AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id)::INT AS rank FROM s WHERE s >= 0.2) t WHERE rank <= 3""")
 register("ent33_tickers", lambda m: m.companies.select("id", R.ticker_of(F.concat("name", F.lit(" ("), F.substring("ticker", 1, 5), F.lit(")")), F.array("ticker")).alias("ticker")), "SELECT id, ticker[1:5] AS ticker FROM companies")
 register("ent44_placeholders", lambda m: m.conversations.groupBy("conv_id").agg(F.array_sort(R.without_placeholders(F.array(F.min("role"), F.lit(" Unknown "), F.lit("N/A")))).alias("a")).select("conv_id", F.array_join("a", ",").alias("names")), "SELECT conv_id, min(role) AS names FROM conversations GROUP BY 1")
 
