@@ -64,23 +64,31 @@ def ratio(a: Column, b: Column) -> Column:
     return F.pandas_udf(_ratios, "double")(a, b)
 
 
-def grams(name: Column, n: int = 3) -> Column:
+def grams(name: Column, n: int = 2) -> Column:
     """The distinct n-grams of a padded name, the blocks in which similar names meet."""
     padded = F.concat(F.lit(" "), F.lower(F.trim(name)), F.lit(" "))
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(padded) - n + 1)), lambda i: F.substr(padded, i, F.lit(n))))
 
 
 def candidate_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """(l, r, shared) for names of left (l) and right (r) with close lengths and a shared trigram.
+    """(l, r, shared) for names of left (l) and right (r) with close lengths that share one of their rarest bigrams.
 
-    Lengths a, b with 2 * min / (a + b) under the threshold can't reach it. Each of the d letters inserted or deleted
-    breaks three trigrams at most, so for names of like length a ratio of 0.85 or more leaves a shared one; below that
-    threshold the trigram is a blocking rule, and pairs without one are not compared.
+    Lengths a, b with 2 * min / (a + b) under the threshold can't reach it, so at most d = 2a (1 - t) / t letters are
+    inserted or deleted, of which each breaks two bigrams of a name at most. Names that agree in all but 2d of their
+    bigrams share one among the 2d + 1 rarest of each, which keeps frequent bigrams out of the join. Above a threshold
+    of 0.8 this loses no pair; below, the bigrams are a blocking rule.
     """
-    a = left.select("l", F.length("l").alias("la"), F.explode(grams(F.col("l"))).alias("g"))
-    b = right.select("r", F.length("r").alias("lb"), F.explode(grams(F.col("r"))).alias("g"))
+    a = left.select(F.col("l").alias("name"), F.explode(grams(F.col("l"))).alias("g"))
+    b = right.select(F.col("r").alias("name"), F.explode(grams(F.col("r"))).alias("g"))
+    often = a.unionByName(b).groupBy("g").agg(F.count("*").alias("often"))
+
+    def rarest(names: DataFrame, side: str, size: str) -> DataFrame:
+        most = F.floor(4 * F.length("name") * ((1 - threshold) / threshold)).cast("int") + 1
+        listed = names.join(often, "g").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("often", "g"))).alias("gs"))
+        return listed.select(F.col("name").alias(side), F.length("name").alias(size), F.explode(F.slice("gs", F.lit(1), most)).alias("x")).select(side, size, "x.g")
+
     close = 2 * F.least("la", "lb") >= threshold * (F.col("la") + F.col("lb"))
-    return a.join(b, "g").where(close).groupBy("l", "r").agg(F.count("*").alias("shared"))
+    return rarest(a, "l", "la").join(rarest(b, "r", "lb"), "g").where(close).groupBy("l", "r").agg(F.count("*").alias("shared"))
 
 
 def fuzzy(mentions: DataFrame, catalog_names: DataFrame, threshold: float = 0.85) -> DataFrame:

@@ -155,3 +155,15 @@ def test_upsert_and_diagnostics(spark):
     df = spark.createDataFrame([("x", 1), ("x", None), ("y", None)], "doc_type string, v int")
     assert values(diagnostics.completeness(df, ["v"]), "doc_type", "filled", "pct") == [("x", 1, 50.0), ("y", 0, 0.0)]
     assert spark.range(1).select(diagnostics.status(F.lit(None).cast("double"))).first()[0] == "N/A"
+
+
+def test_candidate_pairs_lose_nothing(spark):
+    import random
+
+    rng = random.Random(8)
+    names = sorted({"".join(rng.choice("abcd ") for _ in range(rng.randint(3, 14))).strip() or "a" for _ in range(40)})
+    names += sorted({n[:i] + rng.choice("abxy") + n[i + rng.randint(0, 1) :] for n in names for i in [rng.randrange(len(n))]} - set(names))
+    left, right = spark.createDataFrame([(n,) for n in names], "l string"), spark.createDataFrame([(n,) for n in names], "r string")
+    for t in (0.85, 0.9):
+        got = {(r.l, r.r) for r in resolution.candidate_pairs(left, right, t).collect()}
+        assert {(a, b) for a in names for b in names if resolution.indel_ratio(a, b) >= t} <= got
