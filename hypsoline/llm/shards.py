@@ -26,16 +26,10 @@ def _position(key: Column, splitters: list[tuple]) -> Column:
     """How many splitters are <= key, by binary search in a literal array."""
     if not splitters:
         return F.lit(0)
-    fields = "array(" + ",".join(f"struct({a}L,{b}L)" for a, b in splitters) + ")"
-    values, n = F.expr(fields), len(splitters)
-    at = F.lit(0)
-    step = 1 << (n.bit_length() - 1)
-    while step:
-        new = at + F.lit(step)
-        hit = F.when(new <= n, F.try_element_at(values, new) <= key).otherwise(False)
-        at = F.when(hit, new).otherwise(at)
-        step >>= 1
-    return at
+    values, n = F.expr("array(" + ",".join(f"struct({a}L,{b}L)" for a, b in splitters) + ")"), len(splitters)
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(n.bit_length()))])
+    # beyond the last splitter get() is null, and so no step
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(values, at + step - 1) <= key, at + step).otherwise(at))
 
 
 def ranges(df: DataFrame, a: str, b: str, weight: str, parts: int, within: DataFrame | None = None) -> list[tuple]:
