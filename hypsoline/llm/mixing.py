@@ -127,7 +127,7 @@ class Mix:
         rest = {p["source"]: p["rest"] for p in self.plan}
         rows = {p["source"]: p["rows"] for p in self.plan}
         while state and any(rows[s] > WINDOW_ROWS and v[1] > 10 for s, v in state.items()):
-            found = self._within(spark, state).groupBy("source", F.shiftright(F.col("u") - F.col("low"), F.col("bits") - 10).alias("at"))
+            found = self._within(spark, state).groupBy("source", F.expr("shiftright(u - low, bits - 10)").alias("at"))
             by: dict = {}
             for s, at, size, count in found.agg(F.sum("size"), F.count("*")).collect():  # at most 1024 rows a source
                 by.setdefault(s, []).append((at, size, count))
