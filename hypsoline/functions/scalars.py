@@ -20,24 +20,34 @@ def first_rule(c: Column, rules: list[tuple[tuple[str, ...], str]], default: str
     return out
 
 
-#: Words of outlet domains and the tier they stand for, in this order.
+#: Parts of outlet domains and the tier they stand for, in this order.
 OUTLETS = [
-    (("aviationweek", "flightglobal", "ainonline", "evtol.com"), "Industry Authority"),
-    (("bloomberg", "reuters", "wsj", "ft.com", "cnbc"), "Financial Authority"),
-    (("nytimes", "bbc", "cnn", "theguardian", "washingtonpost"), "Mainstream Media"),
-    (("prnewswire", "businesswire", "globenewswire"), "Press Release/Wire"),
+    (("aviationweek.com", "ainonline.com", "flightglobal.com", "aerospaceamerica.aiaa.org", "verticalmag.com", "rotorcraft.com", "ieee.org", "nature.com", "science.org"), "Industry Authority"),
+    (("bloomberg.com", "reuters.com", "wsj.com", "ft.com", "forbes.com", "barrons.com", "marketwatch.com", "cnbc.com"), "Financial Authority"),
+    (("prnewswire.com", "businesswire.com", "globenewswire.com", "accesswire.com", "prweb.com", "marketscreener.com"), "Press Release/Wire"),
+    (("benzinga.com", "yahoo.com", "fool.com", "seekingalpha.com", "investing.com", "finance.yahoo.com", "msn.com", "google.com/finance"), "Mainstream Media"),
 ]
-#: Words of agencies and the type they stand for, in this order.
+#: Words of agencies and the type they stand for, in this order; others are civil.
 AGENCIES = [
-    (("defense", "army", "navy", "air force", "darpa"), "defense"),
-    (("federal aviation", "faa", "transportation", "environmental protection"), "regulatory"),
-    (("nasa", "aeronautics", "energy", "science foundation", "commerce"), "civil"),
+    (("defense", "air force", "navy", "army", "military", "marines"), "defense"),
+    (("transportation", "faa", "federal aviation"), "regulatory"),
 ]
 #: Words of funding bodies and the name they get, in this order.
 FUNDERS = [
-    (("national science foundation", "nsf"), "NSF"), (("nasa", "aeronautics and space"), "NASA"), (("department of energy",), "DOE"), (("department of defense", "darpa"), "DOD"),
-    (("national institutes of health",), "NIH"), (("european commission", "horizon 2020"), "EU"), (("national natural science foundation of china",), "NSFC"),
-]
+    (("nasa", "aeronautics and space"), "NASA"),
+    (("nsf", "national science foundation"), "NSF"),
+    (("doe", "department of energy"), "DOE"),
+    (("darpa", "defense advanced research"), "DARPA"),
+    (("nih", "national institutes of health"), "NIH"),
+    (("department of defense",), "DOD"),
+    (("european commission", "ec "), "European Commission"),
+]
+#: Domains and their publishers.
+PUBLISHERS = {
+    "fool.com": "The Motley Fool", "benzinga.com": "Benzinga", "finance.yahoo.com": "Yahoo Finance", "yahoo.com": "Yahoo", "seekingalpha.com": "Seeking Alpha", "forbes.com": "Forbes",
+    "bloomberg.com": "Bloomberg", "reuters.com": "Reuters", "wsj.com": "The Wall Street Journal", "aviationweek.com": "Aviation Week", "ainonline.com": "AIN Online",
+    "flightglobal.com": "Flight Global", "prnewswire.com": "PR Newswire", "businesswire.com": "Business Wire", "globenewswire.com": "GlobeNewswire",
+}
 
 
 def outlet_tier(domain: Column) -> Column:
@@ -45,7 +55,7 @@ def outlet_tier(domain: Column) -> Column:
 
 
 def agency_type(agency: Column) -> Column:
-    return F.when(F.coalesce(agency, F.lit("")) == "", "unknown").otherwise(first_rule(F.lower(agency), AGENCIES, "unknown"))
+    return F.when(F.coalesce(agency, F.lit("")) == "", "unknown").otherwise(first_rule(F.lower(agency), AGENCIES, "civil"))
 
 
 def title_case(c: Column) -> Column:
@@ -55,7 +65,10 @@ def title_case(c: Column) -> Column:
 
 
 def funding_org(name: Column) -> Column:
-    return F.coalesce(first_rule(F.lower(name), FUNDERS, None), title_case(name))
+    """The name of a known funder, DOD for names that begin so, else the name in title case; Unknown without one."""
+    known = first_rule(F.lower(name), FUNDERS, None)
+    dod = F.when(F.lower(name).startswith("dod"), F.lit("DOD"))
+    return F.when(F.coalesce(name, F.lit("")) == "", "Unknown").otherwise(F.coalesce(known, dod, title_case(name)))
 
 
 def seen_date(c: Column) -> Column:
@@ -76,11 +89,14 @@ def md5_id(prefix: str, url: Column) -> Column:
     return F.concat(F.lit(prefix), F.substring(F.md5(url.cast("binary")), 1, 12))
 
 
-def publisher_name(domain: Column, known: dict[str, str]) -> Column:
-    """An exact known name, else the title-cased first part of the domain."""
-    out = title_case(F.substring_index(domain, ".", 1))
+def publisher_name(domain: Column, known: dict[str, str] = PUBLISHERS) -> Column:
+    """The publisher of a known domain, then of one that contains a known one, else the domain's words in title case."""
+    low = F.lower(domain)
+    out = title_case(F.replace(F.replace(domain, F.lit(".com"), F.lit("")), F.lit("."), F.lit(" ")))
+    for k, v in reversed(known.items()):
+        out = F.when(low.contains(k), v).otherwise(out)
     for k, v in known.items():
-        out = F.when(domain == k, v).otherwise(out)
+        out = F.when(low == k, v).otherwise(out)
     return out
 
 
@@ -139,13 +155,20 @@ def docket(content: Column) -> Column:
 
 def document_type(action: Column) -> Column:
     a = F.lower(action)
-    return F.when(a.contains("final rule"), "final_rule").when(a.contains("proposed rule"), "proposed_rule").when(a.contains("guidance") | a.contains("advisory"), "guidance").otherwise("notice")
+    proposed = a.contains("proposed rule") | a.contains("notice of proposed")
+    return F.when(a.contains("final rule"), "final_rule").when(proposed, "proposed_rule").when(a.contains("guidance"), "guidance").otherwise("notice")
 
 
-def decision_type(action: Column) -> Column:
-    """The first class whose word the text contains; `disapproval` counts as approval, as it always did."""
+def decision_type(action: Column, content: Column | None = None) -> Column:
+    """The first class one of whose words the action holds; `disapproval` holds `approval`, so it counts as that.
+    A certification may also be named in the first three thousand characters of the content; the rest are proposals."""
     a = F.lower(action)
-    return F.when(a.contains("approv"), "approval").when(a.contains("den"), "denial").when(a.contains("certif"), "certification").when(a.contains("propos"), "proposal")
+    says = lambda *words: any_of(a, words)
+    named = F.lower(F.substring(content, 1, 3000)).contains("certification") if content is not None else F.lit(False)
+    return (
+        F.when(says("approval", "approved"), "approval").when(says("denial", "denied", "disapproval"), "denial")
+        .when(says("certification", "requirement") | F.coalesce(named, F.lit(False)), "certification_requirement").otherwise("proposal")
+    )
 
 
 def email(content: Column) -> Column:
@@ -163,7 +186,7 @@ def legal_status(granted: Column, discontinued: Column, expires: Column, as_of:
 
 def peer_reviewed(venue: Column) -> Column:
     v = F.lower(venue)
-    return F.when(any_of(v, ("journal", "conference", "proceedings")), True).when(any_of(v, ("preprint", "working paper", "dissertation")), False)
+    return F.when(any_of(v, ("journal", "article", "conference", "proceedings")), True).when(any_of(v, ("preprint", "book", "thesis", "dissertation", "report")), False)
 
 
 def filing_title(company: Column, filing_type: Column, date: Column) -> Column:

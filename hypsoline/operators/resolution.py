@@ -125,7 +125,7 @@ def clusters(names: DataFrame, threshold: float = 0.85) -> DataFrame:
 
 
 #: Domains that count as related, either way round.
-RELATED = (("Aviation", "Aerospace"), ("Energy", "Battery"), ("Software", "AI"), ("Materials", "Manufacturing"))
+RELATED = (("Energy Storage", "Propulsion"), ("Avionics", "Safety"), ("Airframe", "Manufacturing"), ("Infrastructure", "Avionics"))
 
 
 def domains_agree(a: Column, b: Column) -> Column:
@@ -188,8 +188,11 @@ def annotate(docs: DataFrame, matches: DataFrame, names: str = "names") -> DataF
 
 
 #: Names that stand for no company.
-PLACEHOLDERS = ("unknown", "n/a", "none", "not specified", "the company", "company", "issuer", "registrant", "various", "multiple companies", "undisclosed")
+PLACEHOLDERS = (
+    "Another Retail Company", "Another Customer", "Another Supplier", "Certain Customers", "Certain Suppliers", "Major Customers",
+    "Major Suppliers", "Various Customers", "Other Companies", "Third Party", "Unnamed Entity",
+)
 
 
 def without_placeholders(names: Column) -> Column:
-    return F.filter(names, lambda n: ~F.lower(F.trim(n)).isin(list(PLACEHOLDERS)))
+    return F.filter(names, lambda n: ~n.isin(list(PLACEHOLDERS)))

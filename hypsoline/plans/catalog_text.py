@@ -12,10 +12,10 @@ from ..registry import register
 # scalar functions
 
 DOMAIN = "regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^www\\.', '')"
-register("sca1_outlet_tier", lambda m: m.pages.select("page_id", S.outlet_tier(F.concat(F.when(F.col("page_id") % 3 == 0, "bbc.").when(F.col("page_id") % 3 == 1, "www.Reuters.").otherwise("x."), F.lit("com"))).alias("tier")), "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'Mainstream Media' WHEN 1 THEN 'Financial Authority' ELSE 'Niche/Aggregator' END AS tier FROM pages")
+register("sca1_outlet_tier", lambda m: m.pages.select("page_id", S.outlet_tier(F.concat(F.when(F.col("page_id") % 3 == 0, "fool.").when(F.col("page_id") % 3 == 1, "www.Reuters.").otherwise("x."), F.lit("com"))).alias("tier")), "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'Mainstream Media' WHEN 1 THEN 'Financial Authority' ELSE 'Niche/Aggregator' END AS tier FROM pages")
 register("sca3_article_id", lambda m: m.pages.select("page_id", S.md5_id("news_article_", F.col("url")).alias("doc_id")), "SELECT page_id, 'news_article_' || md5(url)[1:12] AS doc_id FROM pages")
 register("sca4_domain", lambda m: m.pages.select("page_id", S.domain_of(F.col("url")).alias("domain")), f"SELECT page_id, {DOMAIN} AS domain FROM pages")
-register("sca5_publisher", lambda m: m.pages.select("page_id", S.publisher_name(S.domain_of(F.col("url")), {}).alias("publisher")), f"SELECT page_id, array_to_string([upper(x[1]) || x[2:] FOR x IN string_split(p, '-')], '-') AS publisher FROM (SELECT page_id, split_part({DOMAIN}, '.', 1) AS p FROM pages) t")
+register("sca5_publisher", lambda m: m.pages.select("page_id", S.publisher_name(S.domain_of(F.col("url"))).alias("publisher")), f"SELECT page_id, array_to_string([array_to_string([upper(y[1]) || y[2:] FOR y IN string_split(x, '-')], '-') FOR x IN string_split(p, ' ')], ' ') AS publisher FROM (SELECT page_id, replace(replace({DOMAIN}, '.com', ''), '.', ' ') AS p FROM pages) t")
 register("sca6_duration", lambda m: m.orders.select("o_orderkey", S.days_between(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("2001-08-01")).alias("days")), "SELECT o_orderkey, (DATE '2001-08-01' - o_orderdate::DATE)::INT AS days FROM orders")
 register("sca7_contract_size", lambda m: m.orders.select("o_orderkey", S.contract_size(F.col("o_totalprice")).alias("size")), "SELECT o_orderkey, CASE WHEN o_totalprice < 100000 THEN 'small' WHEN o_totalprice < 1000000 THEN 'medium' ELSE 'large' END AS size FROM orders")
 register("sca9_award_id", lambda m: m.part.select("p_partkey", S.award_id(F.concat("p_brand", F.lit("/"), "p_type", F.lit("-1 a"))).alias("id")), "SELECT p_partkey, translate(p_brand || '/' || p_type || '-1 a', '/- ', '___') AS id FROM part")
@@ -104,17 +104,17 @@ k AS (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(embedding)::DOUBLE
 s AS (SELECT a.vec_id AS qid, v.id, round(list_dot_product(a.embedding::DOUBLE[], v.v) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(v.v, v.v))), 6) AS s FROM embeddings a, v)
 SELECT qid, id, round(s, 5) AS score, rank, CASE WHEN s >= 0.9 THEN 'high' WHEN s >= 0.75 THEN 'medium' ELSE 'low' END AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id)::INT AS rank FROM s WHERE s >= 0.2) t WHERE rank <= 3""")
 register("ent33_tickers", lambda m: m.companies.select("id", R.ticker_of(F.concat("name", F.lit(" ("), F.substring("ticker", 1, 5), F.lit(")")), F.array("ticker")).alias("ticker")), "SELECT id, ticker[1:5] AS ticker FROM companies")
-register("ent44_placeholders", lambda m: m.conversations.groupBy("conv_id").agg(F.array_sort(R.without_placeholders(F.array(F.min("role"), F.lit(" Unknown "), F.lit("N/A")))).alias("a")).select("conv_id", F.array_join("a", ",").alias("names")), "SELECT conv_id, min(role) AS names FROM conversations GROUP BY 1")
+register("ent44_placeholders", lambda m: m.conversations.groupBy("conv_id").agg(F.array_sort(R.without_placeholders(F.array(F.min("role"), F.lit("Third Party"), F.lit("Unnamed Entity")))).alias("a")).select("conv_id", F.array_join("a", ",").alias("names")), "SELECT conv_id, min(role) AS names FROM conversations GROUP BY 1")
 
 # more scalar functions, over strings made from the tables
 
 register("sca2_seen_date", lambda m: m.orders.select("o_orderkey", F.to_date(S.seen_date(F.concat(F.date_format("o_orderdate", "yyyyMMdd"), F.lit("T010203Z")))).alias("d")), "SELECT o_orderkey, o_orderdate::DATE AS d FROM orders")
 AGENCY = "element_at(array('US Navy', 'Federal Aviation Administration', 'NASA', 'City', ''), CAST(o_custkey % 5 AS INT) + 1)"
-register("sca8_agency_type", lambda m: m.orders.select("o_orderkey", S.agency_type(F.expr(AGENCY)).alias("kind")), "SELECT o_orderkey, ['defense', 'regulatory', 'civil', 'unknown', 'unknown'][o_custkey % 5 + 1] AS kind FROM orders")
+register("sca8_agency_type", lambda m: m.orders.select("o_orderkey", S.agency_type(F.expr(AGENCY)).alias("kind")), "SELECT o_orderkey, ['defense', 'regulatory', 'civil', 'civil', 'unknown'][o_custkey % 5 + 1] AS kind FROM orders")
 register("sca11_repo_id", lambda m: m.part.select("p_partkey", S.repo_id(F.concat(F.lit("owner/my-repo."), "p_partkey")).alias("id")), "SELECT p_partkey, 'my_repo_' || p_partkey AS id FROM part")
 register("sca14_docket", lambda m: m.part.select("p_partkey", S.docket(F.concat(F.lit("Text. Docket No. FAA-"), "p_partkey", F.lit(" more"))).alias("docket")), "SELECT p_partkey, 'FAA-' || p_partkey AS docket FROM part")
 ACTION = "element_at(array('Final rule; approval', 'Proposed rule', 'Denied', 'Type certification notice'), CAST(p_partkey % 4 AS INT) + 1)"
-register("sca15_document_type", lambda m: m.part.select("p_partkey", S.document_type(F.expr(ACTION)).alias("document_type"), S.decision_type(F.expr(ACTION)).alias("decision_type")), "SELECT p_partkey, ['final_rule', 'proposed_rule', 'notice', 'notice'][p_partkey % 4 + 1] AS document_type, ['approval', 'proposal', 'denial', 'certification'][p_partkey % 4 + 1] AS decision_type FROM part")
+register("sca15_document_type", lambda m: m.part.select("p_partkey", S.document_type(F.expr(ACTION)).alias("document_type"), S.decision_type(F.expr(ACTION)).alias("decision_type")), "SELECT p_partkey, ['final_rule', 'proposed_rule', 'notice', 'notice'][p_partkey % 4 + 1] AS document_type, ['approval', 'proposal', 'denial', 'certification_requirement'][p_partkey % 4 + 1] AS decision_type FROM part")
 register("sca18_email", lambda m: m.documents.select("doc_id", S.email(F.col("text")).alias("email")), "SELECT doc_id, nullif(regexp_extract(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+', 0), '') AS email FROM documents")
 register("sca21_sec_date", lambda m: m.orders.select("o_orderkey", S.sec_date(F.date_format("o_orderdate", "yyyyMMdd")).alias("iso")), "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso FROM orders")
 register("sca31_peer_reviewed", lambda m: m.part.select("p_partkey", S.peer_reviewed(F.expr("element_at(array('Journal of X', 'preprint server', 'Blog'), CAST(p_partkey % 3 AS INT) + 1)")).alias("reviewed")), "SELECT p_partkey, [true, false, NULL][p_partkey % 3 + 1] AS reviewed FROM part")

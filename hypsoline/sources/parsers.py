@@ -63,12 +63,12 @@ def rules(df: DataFrame, agency: str, extractor: Extractor | None = None) -> Dat
     """(fr_doc, title, text, published) rows of rules and notices."""
     text = F.col("text")
     action = F.coalesce(S.header_field(text, "ACTION"), F.lit(""))
-    return record(df, "regulation", F.concat_ws("_", F.lit("regulatory"), F.lit(agency), "fr_doc"), F.col("title"), S.parse_date(F.col("published")), text, extractor, document_type=S.document_type(action), decision_type=S.decision_type(action), docket_number=S.docket(text), contact=S.email(text))
+    return record(df, "regulation", F.concat_ws("_", F.lit("regulatory"), F.lit(agency), "fr_doc"), F.col("title"), S.parse_date(F.col("published")), text, extractor, document_type=S.document_type(action), decision_type=S.decision_type(action, text), docket_number=S.docket(text), contact=S.email(text))
 
 
 def news(df: DataFrame, extractor: Extractor | None = None, publisher_strength: float = 0.10) -> DataFrame:
     """Articles (url, title, domain, seendate, text); the publisher is added to the companies unless it is there."""
-    name = S.publisher_name(F.col("domain"), {})
+    name = S.publisher_name(F.col("domain"))
     out = record(df, "news", S.md5_id("news_article_", F.col("url")), F.col("title"), S.seen_date(F.col("seendate")), F.col("text"), extractor, url=F.col("url"), outlet_tier=S.outlet_tier(F.col("domain")), publisher=name)
     me = F.struct(F.col("publisher").alias("name"), F.lit("publisher").alias("role"), F.lit(publisher_strength).alias("strength"), F.lit(1.0).alias("evidence_confidence"), F.lit(None).cast("string").alias("evidence_text"))
     there = F.exists("company_mentions", lambda m: m["name"] == F.col("publisher"))

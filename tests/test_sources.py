@@ -49,8 +49,8 @@ def test_scored_papers_flatten(spark, tmp_path):
 def test_feed_and_names(spark, tmp_path):
     (tmp_path / "f.xml").write_text("<rss><channel><item><title>a</title><pubDate>Tue, 02 Jan 2024 10:00:00 +0000</pubDate></item><item><title>b</title></item><item><title>c</title><pubDate>Tue, 02 Jan 2018 10:00:00 +0000</pubDate></item></channel></rss>")
     assert sorted(r.title for r in readers.feed(spark, str(tmp_path / "f.xml"), "2024-01-01", "2024-12-31").collect()) == ["a", "b"]
-    row = spark.range(1).select(readers.filing_name(F.lit("/x/JOBY_10-K_2024-01-31_0001_24.txt")).alias("f")).first().f
-    assert (row.ticker, row.filing_type, row.date, row.accession) == ("JOBY", "10-K", "2024-01-31", "0001_24")
+    row = spark.range(1).select(readers.filing_name(F.lit("/x/ABCD_10-K_2024-01-31_0001_24.txt")).alias("f")).first().f
+    assert (row.ticker, row.filing_type, row.date, row.accession) == ("ABCD", "10-K", "2024-01-31", "0001_24")
 
 
 def test_paged_source(spark, tmp_path):
@@ -72,7 +72,7 @@ def test_runs(spark, tmp_path):
 def test_parsers(spark):
     news = spark.createDataFrame([("http://x/1", "t", "reuters.com", "20240102T030405Z", "body"), ("http://x/2", None, "my-site.org", "bad", None)], "url string, title string, domain string, seendate string, text string")
     got = {r.url: r for r in parsers.news(news).collect()}
-    assert got["http://x/1"].outlet_tier == "Financial Authority" and got["http://x/1"].company_mentions[0].name == "Reuters" and got["http://x/2"].published_at is None and got["http://x/2"].company_mentions[0].name == "My-Site"
+    assert got["http://x/1"].outlet_tier == "Financial Authority" and got["http://x/1"].company_mentions[0].name == "Reuters" and got["http://x/2"].published_at is None and got["http://x/2"].company_mentions[0].name == "My-Site Org"
     text = "CONFORMED SUBMISSION TYPE:\t10-Q\nCONFORMED PERIOD OF REPORT: 20240331\nFILED AS OF DATE: 20240501\nCOMPANY CONFORMED NAME: ACME\nCENTRAL INDEX KEY: 123\n" + "<p>body</p> " * 20
     r = parsers.filings(spark.createDataFrame([("/a/ACME_10-Q.txt", text)], "path string, text string")).first()
     assert (r.title, r.cik, r.fiscal_year, r.fiscal_quarter, r.filing_type, r.quality_score) == ("ACME - 10-Q - 2024-05-01", "0000000123", 2024, "Q1", "10-Q", 0.0)
