@@ -236,8 +236,22 @@ def train(docs: DataFrame, model_file: str, text: str = "text", lang: str = "lan
     """A model of docs' labelled rows: at most per_lang whole texts of each language, those whose crc32 of doc_id
     comes first. Null labels and texts are left out; without any labelled row the model knows no language."""
     i, g, h, n = unused(docs, "_i", "_g", "_h", "_n")
-    thin = docs.where(col(lang).isNotNull() & col(text).isNotNull()).select(col(doc_id).alias(i), col(lang).alias(g), F.crc32(F.reverse(col(doc_id).cast("string")).cast("binary")).alias(h))
-    first = thin.withColumn(n, F.expr(f"row_number() over (partition by {g} order by {h}, {i})")).where(col(n) <= per_lang)
+    hashed = F.crc32(F.reverse(col(doc_id).cast("string")).cast("binary"))
+    thin = docs.where(col(lang).isNotNull() & col(text).isNotNull()).select(col(doc_id).alias(i), col(lang).alias(g), hashed.alias(h))
+    # counts by the hash's first ten bits tell how far each language must be read, so that no task gets all its rows
+    counts: dict[str, list] = {}
+    for name, bucket, many in thin.where(col(h).isNotNull()).groupBy(g, F.shiftright(h, 22)).count().collect():
+        counts.setdefault(name, []).append((bucket, many))
+    most = {}
+    for name, own in counts.items():
+        total = 0
+        for most[name], many in sorted(own):
+            total += many
+            if total >= per_lang:
+                break
+    reach = F.create_map(*[F.lit(x) for kv in most.items() for x in kv]) if most else F.create_map().cast("map<string,bigint>")
+    near = thin.where(F.shiftright(h, 22) <= F.try_element_at(reach, col(g)))
+    first = near.withColumn(n, F.expr(f"row_number() over (partition by {g} order by {h}, {i})")).where(col(n) <= per_lang)
     ids = [r[0] for r in first.select(i).distinct().collect()]  # at most per_lang for each language
     rows = docs.where(col(doc_id).isin(ids) & col(lang).isNotNull() & col(text).isNotNull()).select(col(text), col(lang)).collect() if ids else []
     rows = sorted((tuple(r) for r in rows), key=lambda r: (r[1], r[0]))
