@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -62,6 +64,27 @@ def small_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
 
 
+#: Rows of an Arrow batch: texts are long, and a batch stands in the executor and in its Python worker at once.
+BATCH_ROWS = 1024
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows a batch to BATCH_ROWS where it allows more."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: Python workers outlive their task, and the next one needs its own."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def map_arrow(df: DataFrame, kept: list[str], inputs: list[Column], outputs: list[T.StructField], make: Callable[[pa.RecordBatch, list[pa.Array]], Iterator[tuple[pa.RecordBatch, list[pa.Array]]]]) -> DataFrame:
     """df's columns `kept` and new ones, made in Arrow batches.
 
@@ -77,5 +100,7 @@ def map_arrow(df: DataFrame, kept: list[str], inputs: list[Column], outputs: lis
         for b in batches:
             for rows, made in make(b.select(range(n)), b.columns[n:]):
                 yield pa.RecordBatch.from_arrays([*rows.columns, *made], names=schema.names)
+        give_back()
 
+    bounded_batches(df.sparkSession)
     return fed.mapInArrow(run, schema).toDF(*kept, *[f.name for f in outputs])

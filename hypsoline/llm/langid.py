@@ -28,7 +28,7 @@ DOCS_PER_LANG = 300
 PRIOR = 200.0
 #: Longer words are scored in parts of this many characters, so that products stay within doubles.
 PART = 40
-KEPT_WORDS = 200_000
+KEPT_WORDS = 100_000
 
 
 @functools.lru_cache(maxsize=2)
