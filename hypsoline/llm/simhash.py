@@ -194,7 +194,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     found = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept"))
     ids = cut(found)
-    distinct = ids.distinct()
+    # a merge join at every size: the ids grow with the documents, so they are not to be broadcast while they happen to be few
+    distinct = ids.distinct().hint("merge")
     stay = docs.join(distinct, docs["doc_id"] == distinct["kept"], "left_semi")
     if ids.count() > distinct.count():
         stay = stay.dropDuplicates(["doc_id"])
