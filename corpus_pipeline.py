@@ -10,7 +10,7 @@ import uuid
 import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hypsoline.llm import bpe, langid, mixing, pii, simhash
+from hypsoline.llm import bpe, langid, mixing, nearcopies, pii, simhash
 from hypsoline.llm.common import shared_dir, table
 from hypsoline.llm.queries import PIECES, RANKS
 
@@ -21,8 +21,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document with the smallest id stays."""
-    return simhash.keep_one(docs)
+    """Of each component of near copies (five-word shingles, Jaccard 0.8 or more) the document with the smallest id stays."""
+    return simhash.keep_one(docs, nearcopies.near_copies(docs))
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

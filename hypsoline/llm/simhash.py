@@ -47,11 +47,11 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprint(text: bytes | None, words: int = 3, seed: int = 42) -> int:
-    """The 64-bit SimHash of a text's word shingles, repeats included; 0 without words."""
+def shingle_hashes(text: bytes | None, words: int, seed: int = 42) -> Iterator[np.ndarray]:
+    """Hashes of a text's word shingles, repeats included, some at a time; a text of fewer words is one shingle."""
     tokens = (text or b"").lower().split()  # of bytes: A-Z only, and split at \\x20 and \\x09-\\x0D only
     if not tokens:
-        return 0
+        return
     line, n = b" ".join(tokens), len(tokens)
     ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
     begins = [0, *(ends[:-1] + 1).tolist()]
@@ -60,12 +60,18 @@ def fingerprint(text: bytes | None, words: int = 3, seed: int = 42) -> int:
         begins, ends = [0], [len(line)]
     else:
         begins, ends = begins[: n - words + 1], ends[words - 1 :]
-    digest, total, ones = xxhash.xxh64_intdigest, 0, np.zeros(64, np.int64)
+    digest = xxhash.xxh64_intdigest
     for at in range(0, len(begins), 1 << 16):
-        hashes = np.array([digest(line[a:b], seed) for a, b in zip(begins[at : at + (1 << 16)], ends[at : at + (1 << 16)], strict=True)], dtype="<u8")
+        yield np.array([digest(line[a:b], seed) for a, b in zip(begins[at : at + (1 << 16)], ends[at : at + (1 << 16)], strict=True)], dtype="<u8")
+
+
+def fingerprint(text: bytes | None, words: int = 3, seed: int = 42) -> int:
+    """The 64-bit SimHash of a text's word shingles, repeats included; 0 without words."""
+    total, ones = 0, np.zeros(64, np.int64)
+    for hashes in shingle_hashes(text, words, seed):
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         total += len(hashes)
-    return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0]) if total else 0
 
 
 def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "fingerprint") -> DataFrame:
@@ -187,12 +193,15 @@ def hexadecimal(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, placed: DataFrame | None = None) -> DataFrame:
     """docs less all but one document of each component: the one with the smallest doc_id stays.
 
+    `placed` has a row (doc_id, component_id) for each row of docs; without it, the components are those of op3.
+
     Rows with a null doc_id can't be told apart from others and stay. Where a kept doc_id has several rows, one stays.
     """
-    found = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept"))
+    placed = near_duplicates(docs) if placed is None else placed
+    found = placed.where("doc_id = component_id").select(F.col("doc_id").alias("kept"))
     ids = cut(found)
     # a merge join at every size: the ids grow with the documents, so they are not to be broadcast while they happen to be few
     distinct = ids.distinct().hint("merge")
