@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -39,15 +40,17 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: floa
     return ranks
 
 
-def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
+def label_propagation(edges: DataFrame, rounds: int | None = 10) -> DataFrame:
     """(id, community): each node takes the label of most weight among its neighbours and itself, ties to the least.
 
-    Deterministic, all nodes at once; weights count parallel edges. Stops when no label changes.
+    Deterministic, all nodes at once; weights count parallel edges. Stops when no label changes, or
+    without a number of rounds also when all labels are as after an earlier round, from where they would go in a circle.
     """
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst")
     links = cut(both.groupBy("src", "dst").agg(F.count("*").alias("w")))
     labels = cut(links.select(F.col("src").alias("id"), F.col("src").alias("community")).distinct())
-    for _ in range(rounds):
+    seen = set()
+    for _ in itertools.count() if rounds is None else range(rounds):
         votes = links.join(labels, links.dst == labels.id).select(F.col("src").alias("node"), "community", "w")
         votes = votes.unionByName(labels.select(F.col("id").alias("node"), "community", F.lit(1).cast("long").alias("w")))
         tally = votes.groupBy("node", "community").agg(F.sum("w").alias("w"))
@@ -56,6 +59,11 @@ def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
         labels = new
         if not changed:
             break
+        if rounds is None:
+            state = labels.agg(F.sum(F.xxhash64("id", "community").cast("decimal(38,0)"))).first()[0]
+            if state in seen:
+                break
+            seen.add(state)
     return labels
 
 

@@ -90,6 +90,9 @@ ROUNDS = 6
 PAGERANK = ", ".join(f"p{i + 1} AS (SELECT n.id, 0.15::DOUBLE + 0.85::DOUBLE * coalesce(f, 0) AS p FROM n LEFT JOIN (SELECT dst, sum(p{i}.p * s) AS f FROM l JOIN p{i} ON p{i}.id = l.src GROUP BY dst) t ON t.dst = n.id)" for i in range(ROUNDS))
 register("gra1_pagerank", lambda m: G.pagerank(nodes(m), edges(m), ROUNDS, tolerance=0).select("id", F.round("pagerank", 6).alias("pagerank")), f"{GRAPH}, o AS (SELECT src, count(*) AS o FROM e GROUP BY 1), l AS (SELECT e.src, e.dst, count(*) / any_value(o.o) AS s FROM e JOIN o USING (src) GROUP BY e.src, e.dst), p0 AS (SELECT id, 0.15::DOUBLE AS p FROM n), {PAGERANK} SELECT id, round(p, 6) AS pagerank FROM p{ROUNDS}")
 
+#: gra1_pagerank has the depth of its SQL; this one has the operator's 20 rounds and tolerance, and no SQL.
+register("gra1_pagerank_full", lambda m: G.pagerank(nodes(m), edges(m)).select("id", F.round("pagerank", 6).alias("pagerank")))
+
 
 def places(m):
     """Customers to their nation, nations to their region; nations and regions have negative ids."""
@@ -100,7 +103,7 @@ def places(m):
 register("gra3_betweenness", lambda m: G.betweenness(places(m), places(m).select(F.col("src").alias("id"))), """
 c AS (SELECT c_nationkey, count(*)::DOUBLE AS n FROM customer GROUP BY 1) SELECT (-1 - c_nationkey)::BIGINT AS id, n AS betweenness FROM c UNION ALL SELECT DISTINCT (-1000 - n_regionkey)::BIGINT, 0.0::DOUBLE FROM nation""")
 register("gra4_top_nodes", lambda m: G.degree(nodes(m), edges(m)).orderBy(F.desc("degree"), "id").limit(5), f"{GRAPH} SELECT id, count(*) AS degree FROM e JOIN n ON id = src GROUP BY 1 ORDER BY degree DESC, id LIMIT 5")
-register("gra5_label_propagation", lambda m: G.label_propagation(edges(m), 3))
+register("gra5_label_propagation", lambda m: G.label_propagation(edges(m), rounds=None))
 register("gra7_community_counts", lambda m: m.technologies.agg(F.countDistinct("community").alias("v1"), F.countDistinct("domain").alias("v2")), "SELECT count(DISTINCT community) AS v1, count(DISTINCT domain) AS v2 FROM technologies")
 register("gra8_components", lambda m: G.connected_components(m.customer.select(F.col("c_custkey").cast("long").alias("src"), (-1 - F.col("c_nationkey")).cast("long").alias("dst"))), """
 SELECT c_custkey::BIGINT AS id, (-1 - c_nationkey)::BIGINT AS component FROM customer UNION ALL SELECT DISTINCT (-1 - c_nationkey)::BIGINT, (-1 - c_nationkey)::BIGINT FROM customer""")
