@@ -61,11 +61,36 @@ t AS (
 ), x AS (
   SELECT k.source, k.u, (r.rest > 0 AND cum * 2 + z <= r.rest * 2)::INT AS extra, r.source_size, r.target, r.passes
   FROM k JOIN r ON k.source IS NOT DISTINCT FROM r.source
+), w AS (SELECT greatest(1, (sum(source_size)::BIGINT + {blocks} - 1) // {blocks}) AS words FROM s),
+e AS (SELECT source, max(u) AS last FROM x WHERE extra = 1 GROUP BY source),
+b AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS s, greatest(1, (source_size + words - 1) // words) AS blocks FROM r, w),
+tree0 AS (
+  SELECT b.source, b.s, b.blocks, '0' AS node, b.passes::BIGINT * b.blocks + coalesce((((e.last >> 24) * b.blocks) >> 36) + 1, 0) AS n
+  FROM b LEFT JOIN e ON b.source IS NOT DISTINCT FROM e.source
+), {levels}, dealt AS (
+  SELECT source, blocks, row_number() OVER (PARTITION BY s ORDER BY node) - 1 AS shard, sum(n) OVER (PARTITION BY s ORDER BY node) AS upto, n FROM tree3
+), copies AS (
+  SELECT d.doc_id, d.u, d.source, t.shard FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source AND d.u = x.u JOIN range(3) k(k) ON k < x.passes + x.extra
+  JOIN dealt t ON t.source IS NOT DISTINCT FROM d.source AND k * t.blocks + (((d.u >> 24) * t.blocks) >> 36) >= t.upto - t.n
+    AND k * t.blocks + (((d.u >> 24) * t.blocks) >> 36) < t.upto
+), taken AS (
+  SELECT doc_id, source, u, count(*) AS many, string_agg(shard, ',' ORDER BY shard) AS shards FROM (SELECT DISTINCT * FROM copies) GROUP BY ALL
 )
-SELECT d.doc_id, d.size, x.source_size, x.target, (d.size * (x.passes + x.extra))::BIGINT AS taken
+SELECT d.doc_id, d.size, x.source_size, x.target, (d.size * (x.passes + x.extra))::BIGINT AS taken, coalesce(t.shards, '') AS shards
 FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source AND d.u = x.u
+LEFT JOIN taken t ON t.doc_id IS NOT DISTINCT FROM d.doc_id AND t.source IS NOT DISTINCT FROM d.source AND t.u = d.u
 """
 
+#: One level of the splitting tree: each node's balls in the order of their hashes, the first half to the left.
+_LEVEL = """tree{at} AS (
+  SELECT source, s, blocks, node || side AS node, count(*) FILTER (side = (2 * r > t - t % 2)::INT::VARCHAR AND i IS NOT NULL) AS n
+  FROM (
+    SELECT p.*, i, row_number() OVER (PARTITION BY node ORDER BY i IS NULL, md5('10|' || node || '|' || s || '|' || i), s) AS r, count(i) OVER (PARTITION BY node) AS t
+    FROM tree{before} p LEFT JOIN (SELECT s AS s2, node AS node2, unnest(range(n)) AS i FROM tree{before}) ON s = s2 AND node = node2
+  ), (VALUES ('0'), ('1')) sides(side) GROUP BY ALL
+)"""
+_MIX = _MIX.replace("{blocks}", str(mixing.BLOCKS)).replace("{levels}", ", ".join(_LEVEL.format(at=i, before=i - 1) for i in (1, 2, 3)))
+
 
 def _canonical_sql(value: str) -> str:
     out = f"translate({value}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

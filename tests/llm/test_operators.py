@@ -434,13 +434,67 @@ def test_targets_and_tree():
         weights = [float(i % 3 + 1) for i in range(len(sizes))]
         if sum(sizes):
             assert np.allclose(mixing.targets(sizes, weights), brute_targets(sizes, weights))
-        quotas = [rng.randint(0, 9000) for _ in sizes]
-        tree = mixing.split_tree(quotas, 8, rng)
+        quotas = [rng.randint(0, 900) for _ in sizes]
+        tree = mixing.split_tree(quotas, 8, str(rng.random()))
         assert [sum(c) for c in zip(*tree)] == quotas and min(min(t) for t in tree) >= 0
         totals = [sum(t) for t in tree]
         assert max(totals) - min(totals) <= 8
 
 
+def test_draws_are_multivariate_hypergeometric():
+    counts, draws, many = [40, 25, 5, 0, 30], 50, 4000
+    got = np.array([mixing.drawn(counts, draws, f"n{i}") for i in range(many)])
+    assert (got.sum(axis=1) == draws).all() and (got <= counts).all() and not got[:, 3].any()
+    for kind, n in enumerate(counts):
+        mean, var = draws * n / 100, draws * n / 100 * (1 - n / 100) * (100 - draws) / 99
+        assert abs(got[:, kind].mean() - mean) < 5 * (var / many) ** 0.5 + 1e-9 and abs(got[:, kind].var() - var) < 0.15 * var + 1e-9
+    assert mixing.drawn(counts, 0, "x") == [0] * 5 and mixing.drawn(counts, 100, "x") == counts and mixing.drawn([], 0, "x") == []
+
+
+def brute_shards(plan, rows, shards=8):
+    """Each row's shards, block by block: the shards' lists of drawn (pass, block) of each source, spelled out."""
+    shares = mixing.split_tree([p["quota"] for p in plan.plan], shards)
+    drawn = {}
+    for s, p in enumerate(plan.plan):
+        blocks = iter([(k, b) for k in range(4) for b in range(p["blocks"])])
+        for j in range(shards):
+            for _ in range(shares[j][s]):
+                drawn.setdefault((p["source"], *next(blocks)), []).append(j)
+    out = []
+    for source, u in rows:
+        p = next(p for p in plan.plan if p["source"] == source)
+        block = (u >> 24) * p["blocks"] >> 36
+        passes = [k for k in range(4) if k < p["passes"] or k == p["passes"] and u < p["end"]]
+        out.append([j for k in passes for j in drawn.get((source, k, block), [])])
+    return out
+
+
+def test_mixing_takes_what_the_tree_deals(spark, docs, monkeypatch):
+    rows = sorted(tuple(r) for r in mixing.op10(docs).collect())
+    words = [sum(r[1] for r in rows for x in r[5].split(",") if x == str(j)) for j in range(8)]
+    assert max(words) < 3 * min(words)
+    own = docs.select("doc_id", "source", "text")
+    plan = mixing.Mix(own)
+    with_place = own.withColumn("u", mixing.permuted(F.col("doc_id"), F.col("text")))
+    got = plan.copies(with_place).collect()
+    assert [r.shards for r in got] == brute_shards(plan, [(r.source, r.u) for r in got])
+    monkeypatch.setattr(mixing, "split_tree", lambda quotas, shards: [quotas] + [[0] * len(quotas)] * (shards - 1))
+    lopsided = sorted(tuple(r) for r in mixing.op10(docs).collect())
+    assert lopsided != rows and all(set(r[5]) <= set("0,") for r in lopsided)
+    tree = [p["quota"] for p in plan.plan]
+    monkeypatch.setattr(mixing, "split_tree", lambda quotas, shards: [[q // 10 for q in tree]] * shards)
+    lost = mixing.op10(docs)
+    assert lost.groupBy().sum("taken").first()[0] < 0.9 * sum(r[4] for r in rows)
+
+
+def test_mixed_rows_lie_by_shard_and_place(spark, docs):
+    plan = mixing.Mix(docs)
+    want = [(r.doc_id, r.source) for r in sorted(plan.draw(docs).collect(), key=lambda r: (r.shard, r.place))]
+    assert [(r.doc_id, r.source) for r in mixing.mixed(docs).collect()] == want
+    sources = [s for _, s in want]
+    assert sum(a != b for a, b in zip(sources, sources[1:])) > len(sources) / 3
+
+
 def test_mixing(spark, docs, odd):
     for frame in (docs, clashing(odd)):
         rows = mixing.op10(frame).collect()
