@@ -1,6 +1,7 @@
 """Each operator against brute force, on small frames with nulls, empty and long texts, ties, repeats and clashing names."""
 
 import hashlib
+import math
 import re
 import zlib
 
@@ -86,7 +87,7 @@ def brute_top_k(rows, k=10):
     for i, v in rows:
         if i is None or v is None or any(x is None or not np.isfinite(x) for x in v):
             continue
-        w = tuple(int(np.floor(1024 * float(np.float32(x)))) for x in v)
+        w = tuple(math.floor(1024 * float(np.float32(x))) for x in v)
         if (i, w) not in usable:
             usable.append((i, w))
     out = []
@@ -114,13 +115,39 @@ def test_top_k_with_few_rows_other_lengths_and_large_values(spark):
     assert got[(100, 0)] == 2**63 - 1 and (0, 2) not in got
 
 
+def test_top_k_floors_towards_minus_infinity(spark):
+    edge = [-1e-22, 1e-22, -0.0, 0.0, -5e-324, 0.9999999 / 1024, -1 / 1024, 2.0**43, -(2.0**43) - 2**-9, 2.0**60]
+    rows = [(i, [x, 0.5]) for i, x in enumerate(edge)] + [(100, [2.0, -1e-22])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    made = {r.vec_id: r.v for r in vafile.vectors_of(df).collect()}
+    assert made == {i: [float(math.floor(1024 * x)) for x in v] for i, v in rows} and made[0][0] == -1.0 and made[100] == [2048.0, -1.0]
+    scores = {(r.query_id, r.vec_id): r.score for r in vafile.op2(df).collect()}
+    want = {(q, c): sum(math.floor(1024 * a) * math.floor(1024 * b) for a, b in zip(x, y)) for q, x in rows if q % 100 == 0 for c, y in rows if c != q}
+    assert len(scores) == 20 and all(s == min(max(want[x], -(2**63)), 2**63 - 1) for x, s in scores.items())
+
+
+def test_top_k_over_many_pages_of_copies_and_clashing_columns(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.normal(0, 0.2, 6)]) for i in range(400)]
+    rows += [(i, rows[7][1]) for i in range(1000, 1400)] + [(i, []) for i in (1500, 1501, 1502)] + [(1600, [0.5]), (1601, [0.25])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(7)
+    for c in ("v", "variant", "dim", "least", "kth", "g", "ids", "a.b"):
+        df = df.withColumn(c, F.lit("kept"))
+    got = vafile.top_k(df, lambda i: F.pmod(i, F.lit(100)) == 0, page_rows=16)
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got.collect()) == brute_top_k(rows)
+
+
 def test_bounds_hold_every_score():
     rng = np.random.default_rng(2)
     vectors, queries_ = np.floor(rng.normal(0, 300, (500, 16))), np.floor(rng.normal(0, 300, (20, 16)))
     numbers, low, width = vafile.quantise(vectors)
     lower, upper = vafile.bounds(queries_, numbers, low, width)
     exact = queries_ @ vectors.T
-    assert (lower <= exact).all() and (exact <= upper).all() and numbers.max() < vafile.CELLS
+    assert (lower <= exact).all() and (exact <= upper).all() and numbers.dtype == np.uint8
+    page = {"ids": np.arange(500), "dim": 16, "low": low, "width": width, "cells": numbers.tobytes()}
+    left = list(vafile.scan(page, {"ids": np.arange(1000, 1020), "v": queries_, "least": np.full(20, -np.inf)}, 5))
+    read = {(int(q), int(c)) for rows, at, _, _ in left for q, c in zip(rows, at)}
+    assert {(q, int(c)) for q in range(20) for c in np.argsort(-exact[q])[:5]} <= read and len(read) < 20 * 50
 
 
 def brute_fingerprint(text):
