@@ -57,6 +57,39 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of a row's columns, maps left out: rows that are told apart by nothing else agree in it."""
+    return F.xxhash64(*[col(f.name) for f in df.schema if not isinstance(f.dataType, T.MapType)])
+
+
+#: Bits of a sieve: at least 32 times the keys, up to this many (32 MB); beyond, it lets more rows through.
+SIEVE_BITS = 1 << 28
+
+
+def sieved(df: DataFrame, hashed: str, keys: DataFrame, out: str) -> DataFrame:
+    """df with `out` boolean: false where the long `hashed` is surely not in keys' one long column.
+
+    The keys' bitmap, of a size that SIEVE_BITS bounds, is broadcast, so no row of df moves. Null: false.
+    """
+    bits = 1 << 16
+    while bits < min(SIEVE_BITS, 32 * keys.count()):
+        bits *= 2
+    place = F.pmod(col(hashed), F.lit(bits))
+    own = keys.select(F.pmod(col(keys.columns[0]), F.lit(bits)).alias("at")).where("at is not null")
+    b, m = unused(df, "_b", "_m")
+    chunks = own.groupBy(F.shiftright("at", 15).alias(b)).agg(F.expr("bitmap_construct_agg(at % 32768)").alias(m))
+    both = df.join(F.broadcast(chunks), F.shiftright(place, 15) == col(b), "left")
+    bit = place % 32768
+    byte = F.conv(F.hex(F.substr(col(m), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return both.select(*[col(c) for c in df.columns], F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False)).alias(out))
+
+
+def sieve(df: DataFrame, hashed: str, keys: DataFrame) -> DataFrame:
+    """df's rows whose `hashed` is among keys, and few others."""
+    (flag,) = unused(df, "_flag")
+    return sieved(df, hashed, keys, flag).where(col(flag)).select(*[col(c) for c in df.columns])
+
+
 def small_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """A few driver-side rows as a DataFrame, by JSON in the plan instead of an RDD."""
     import json

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
-from .common import col, cut, map_arrow
+from .common import col, cut, map_arrow, row_hash, sieved, unused
 from .components import components
 
 RADIUS = 2
@@ -65,11 +65,20 @@ def shingle_hashes(text: bytes | None, words: int, seed: int = 42) -> Iterator[n
         yield np.array([digest(line[a:b], seed) for a, b in zip(begins[at : at + (1 << 16)], ends[at : at + (1 << 16)], strict=True)], dtype="<u8")
 
 
+def bit_sums(hashes: np.ndarray) -> np.ndarray:
+    """How many of the 64-bit numbers have each bit, the lowest first."""
+    bits = np.unpackbits(hashes.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    out = np.zeros(64, np.int64)
+    for at in range(0, len(bits), 255):  # as many as a byte can count
+        out += np.add.reduce(bits[at : at + 255], axis=0, dtype=np.uint8)
+    return out
+
+
 def fingerprint(text: bytes | None, words: int = 3, seed: int = 42) -> int:
     """The 64-bit SimHash of a text's word shingles, repeats included; 0 without words."""
     total, ones = 0, np.zeros(64, np.int64)
     for hashes in shingle_hashes(text, words, seed):
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        ones += bit_sums(hashes)
         total += len(hashes)
     return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0]) if total else 0
 
@@ -174,19 +183,21 @@ def links(prints: DataFrame, fp: str = "fp", limit: int = CELL) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp long, component_id): each row's fingerprint, and the smallest doc_id that links reach from it.
+    """(doc_id, row, fp long, root, component_id): each row with a hash of it, its fingerprint, its component, and the
+    smallest doc_id that links reach from it.
 
     Equal fingerprints are one node, whose links stand for those of all its rows, so copies are never paired. Null
     and wordless texts have fingerprint 0 and link like others. Rows with a null id get the component of their
-    fingerprint (null if no row of the component has an id); repeated rows are repeated in the result.
+    fingerprint (component_id null if no row of the component has an id); repeated rows are repeated in the result.
     """
-    made = cut(fingerprints(docs, text, (doc_id,), "fp").toDF("doc_id", "fp"))
+    thin = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"), row_hash(docs).alias("row"))
+    made = cut(fingerprints(thin, "text", ("doc_id", "row"), "fp"))
     nodes = cut(made.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(nodes.select("fp")))
     placed = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.join(least, "root").select("fp", "component_id")
-    return made.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = placed.join(least, "root").select("fp", "root", "component_id")
+    return made.join(named, "fp").select("doc_id", "row", "fp", "root", "component_id")
 
 
 def hexadecimal(fp: Column) -> Column:
@@ -194,21 +205,28 @@ def hexadecimal(fp: Column) -> Column:
 
 
 def keep_one(docs: DataFrame, placed: DataFrame | None = None) -> DataFrame:
-    """docs less all but one document of each component: the one with the smallest doc_id stays.
-
-    `placed` has a row (doc_id, component_id) for each row of docs; without it, the components are those of op3.
+    """docs less all but one row of each component: of those with the smallest doc_id, the one whose row has the smallest
+    hash. Rows that agree in all columns are one. Rows with a null doc_id can't be told apart from others and stay.
 
-    Rows with a null doc_id can't be told apart from others and stay. Where a kept doc_id has several rows, one stays.
+    `placed` has a row (doc_id, row, root) for each row of docs, as near_duplicates() gives (its default) or near_copies().
+    Rows that go, and heads that occur again, pass a sieve that is broadcast; only what it holds is shuffled to settle it,
+    so that most texts stay where they lie. Empty input, empty output.
     """
-    placed = near_duplicates(docs) if placed is None else placed
-    found = placed.where("doc_id = component_id").select(F.col("doc_id").alias("kept"))
-    ids = cut(found)
-    # a merge join at every size: the ids grow with the documents, so they are not to be broadcast while they happen to be few
-    distinct = ids.distinct().hint("merge")
-    stay = docs.join(distinct, docs["doc_id"] == distinct["kept"], "left_semi")
-    if ids.count() > distinct.count():
-        stay = stay.dropDuplicates(["doc_id"])
-    return stay.unionByName(docs.where(F.col("doc_id").isNull()))
+    placed = cut((near_duplicates(docs) if placed is None else placed).select("doc_id", "row", "root").where("doc_id is not null"))
+    heads = placed.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("head"))
+    rows = placed.groupBy("root", "doc_id", "row").agg(F.count("*").alias("many")).join(heads, "root")
+    is_head = F.struct("doc_id", "row") == F.col("head")
+    touched = cut(rows.where(~is_head | (F.col("many") > 1)).select(F.col("row").alias("r"), is_head.alias("again")))
+    names = docs.columns
+    row, flag = unused(docs, "_row", "_flag")
+    marked = sieved(docs.withColumn(row, F.when(col("doc_id").isNotNull(), row_hash(docs))), row, touched.select("r"), flag)
+    settled = marked.where(col(flag)).join(touched.select("r"), col(row) == F.col("r"), "left_anti").select(*[col(c) for c in names])
+    out = marked.where(~col(flag)).select(*[col(c) for c in names]).unionByName(settled)
+    again = touched.where("again")
+    if again.isEmpty():
+        return out
+    repeated = marked.where(col(flag)).join(again, col(row) == F.col("r"), "left_semi").dropDuplicates([row])
+    return out.unionByName(repeated.select(*[col(c) for c in names]))
 
 
 def op3(docs: DataFrame) -> DataFrame:

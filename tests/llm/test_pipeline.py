@@ -6,7 +6,8 @@ import public_tokenizers as tokenizers
 
 from hypsoline.llm import bpe, mixing, queries
 
-from .test_operators import SF, brute_components, brute_fingerprint, brute_pii
+from .test_nearcopies import brute_components
+from .test_operators import SF, brute_pii
 
 
 def test_stages_and_order():
@@ -18,8 +19,8 @@ def test_each_stage(spark):
     first = P.language_id(spark, docs, SF)
     assert first.columns == docs.columns and first.count() == docs.count()
     second = P.near_dedup(spark, first, SF)
-    prints = {r.doc_id: brute_fingerprint(r.text) for r in first.collect()}
-    assert sorted(r.doc_id for r in second.collect()) == sorted(set(brute_components(prints).values())) and second.columns == docs.columns
+    heads = set(brute_components({r.doc_id: r.text for r in first.collect()}).values())
+    assert sorted(r.doc_id for r in second.collect()) == sorted(heads) and second.columns == docs.columns
     third = P.redact_pii(spark, second, SF)
     before = {r.doc_id: r for r in second.collect()}
     for r in third.collect():
