@@ -95,19 +95,21 @@ _MIX = _MIX.replace("{blocks}", str(mixing.BLOCKS)).replace("{levels}", ", ".joi
 def _canonical_sql(value: str) -> str:
     out = f"translate({value}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     out = f"regexp_replace({out}, '(?m)^[ \\t]*(?:copyright|\\(c\\)|\\x{{A9}}|all rights reserved)[^\\n]*$', ' ', 'g')"
-    out = f"trim(regexp_replace({out}, '[\\x00-/:-`{{-\\x7F]+', ' ', 'g'))"
+    out = f"' ' || replace(trim(regexp_replace({out}, '[\\x00-/:-`{{-\\x7F]+', ' ', 'g')), ' ', '  ') || ' '"
     for a, b in licenses.SPELLINGS:
-        out = f"replace({out}, '{a}', '{b}')"
-    return out
+        out = f"replace({out}, ' {a.replace(' ', '  ')} ', ' {b} ')"
+    return f"trim(replace({out}, '  ', ' '))"
 
 
 def _licenses_sql() -> str:
     rows = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in licenses.KNOWN)
+    given = ", ".join(f"('{a}', '{b}')" for a, b in licenses.DIGESTS)
     return f"""
-WITH known AS (SELECT md5({_canonical_sql("t")}) AS digest, min(license) AS license FROM (VALUES {rows}) AS v(license, t) GROUP BY 1),
+WITH texts AS (SELECT md5({_canonical_sql("t")}) AS digest, min(license) AS license FROM (VALUES {rows}) AS v(license, t) GROUP BY 1),
+known AS (SELECT digest, min(license) AS license FROM (SELECT * FROM texts UNION ALL SELECT digest, license FROM (VALUES {given}) AS g(license, digest)) GROUP BY 1),
 lines AS (
   SELECT DISTINCT d.doc_id, k.license FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) d
-  JOIN known k ON md5({_canonical_sql("line")}) = k.digest
+  JOIN texts k ON md5({_canonical_sql("line")}) = k.digest
 ), notices AS (SELECT doc_id, string_agg(license, ',' ORDER BY license) AS notices FROM lines GROUP BY doc_id),
 whole AS (SELECT doc_id, text, md5({_canonical_sql("text")}) AS digest FROM documents)
 SELECT w.doc_id, w.digest, k.license, CASE WHEN w.text IS NULL THEN NULL ELSE coalesce(n.notices, '') END AS notices

@@ -400,6 +400,21 @@ def test_license_digests(spark, docs):
     assert len(got) == 7 and licenses.op8(empty(docs)).count() == 0
 
 
+def test_license_lines_of_any_known_text(spark):
+    free = "All works here are free software."
+    rows = [(1, f"x\n{free.upper()}\ny"), (2, "x"), (3, None), (4, "Une œuvre libre"), (5, "A LICENCE of one's own"), (6, "sub-licence licences, licence licence!")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    known = (("X", free), ("Y", "une œuvre libre!"), ("Z", "a license of one s own"), ("W", "sublicense licenses license license"), ("V", "  !"))
+    got = {r.doc_id: r for r in licenses.scan(df, known=known).collect()}
+    assert got[1].notices == ["X"] and got[2].notices == [] and got[3].notices is None and got[4].license == "Y" and got[5].license == "Z"
+    assert got[6].license == "W"  # spellings apply in turn: sub licence, sub license, sublicense
+    bare = licenses.scan(df, known=()).collect()
+    assert len(bare) == 6 and all(r.license is None and not r.notices for r in bare)
+    assert licenses.scan(df, known=(), digests=(("D", got[2].digest), ("E", hashlib.md5(b"").hexdigest()))).where("license = 'D'").count() == 1
+    words = licenses.needed_words(["a license b", "permission x", "per cent"])
+    assert "license" in words and "licence" in words and licenses.needed_words(["ü"]) == [] and licenses.needed_words([]) == []
+
+
 def brute_marginal(word, p, vocab):
     """Sum over all segmentations, spelled out."""
     if not word:
