@@ -22,13 +22,18 @@ from .common import col, map_arrow, unused
 MARK = "▁"
 LONGEST = 16
 ROUNDS = 4
-#: Training reads at most this many documents of each language, those with the smallest hash of doc_id.
+#: Training reads at most this many distinct documents of each language, those with the smallest hash of their text, of at
+#: most so many characters, of at most so many languages.
 DOCS_PER_LANG = 300
+LONGEST_TEXT = 1 << 16
+MOST_LANGS = 200
 #: Pseudo-counts, in proportion to the pooled counts of all languages, that each language's counts get.
 PRIOR = 200.0
 #: Longer words are scored in parts of this many characters, so that products stay within doubles.
 PART = 40
 KEPT_WORDS = 100_000
+#: How many times as improbable as in training a text's letters may be, and the excess in nats that a text may have.
+SURPRISE, EVIDENCE = 2.5, 12.0
 
 
 @functools.lru_cache(maxsize=2)
@@ -160,8 +165,10 @@ def flat_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
 class Model:
     """languages, vocabulary and log-probability tables; scores words and keeps the scores of those seen."""
 
-    def __init__(self, model_file: str, languages: list[str], tables: np.ndarray):
+    def __init__(self, model_file: str, languages: list[str], tables: np.ndarray, typical: np.ndarray | None = None):
+        """`typical`: each language's mean log-probability of a letter, over its training words."""
         self.model_file, self.languages, self.tables = model_file, languages, tables
+        self.typical = np.zeros(len(languages)) if typical is None else typical
         self._forget()
 
     def _forget(self) -> None:
@@ -194,20 +201,24 @@ class Model:
             self.known = np.concatenate(made)
         return self.known[np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words))]
 
-    def predict(self, texts: pa.Array) -> tuple[list[str], list[float]]:
-        """The most likely language and its share among the languages; `und` and 0 for a text with no letter."""
+    def predict(self, texts: pa.Array) -> tuple[list[str], list[float], list[bool]]:
+        """The most likely language, its share among the languages, and whether the text can be of it: its letters are
+        not SURPRISE times as improbable as those of the language's training words, by more than EVIDENCE in all, which
+        spares short texts. `und`, 0 and False for a text with no letter."""
         if not len(texts):
-            return [], []
+            return [], [], []
         rows, numbers, names = flat_words(texts)
         n, k = len(texts), len(self.languages)
         if not k or not len(rows):
-            return ["und"] * n, [0.0] * n
+            return ["und"] * n, [0.0] * n, [False] * n
         scores = self.word_scores(names)
         sums = np.stack([np.bincount(rows, scores[numbers, i], minlength=n) for i in range(k)], axis=1)
-        counts = np.bincount(rows, minlength=n)
+        letters = np.bincount(rows, np.fromiter(map(len, names), float, len(names))[numbers], minlength=n)
         best = sums.argmax(axis=1)
         share = 1 / np.exp(np.minimum(700, sums - sums.max(axis=1, keepdims=True))).sum(axis=1)
-        return [self.languages[b] if c else "und" for b, c in zip(best, counts, strict=True)], [float(s) if c else 0.0 for s, c in zip(share, counts, strict=True)]
+        known = (letters > 0) & (sums.max(axis=1) >= SURPRISE * self.typical[best] * letters - EVIDENCE)
+        some = letters > 0
+        return [self.languages[b] if c else "und" for b, c in zip(best, some, strict=True)], np.where(some, share, 0.0).tolist(), known.tolist()
 
 
 def fit(texts: list[str], langs: list[str], model_file: str, rounds: int = ROUNDS) -> Model:
@@ -229,50 +240,64 @@ def fit(texts: list[str], langs: list[str], model_file: str, rounds: int = ROUND
         pooled = used.sum(axis=0) + 0.01
         used = used + PRIOR * pooled / pooled.sum()
         tables = used / used.sum(axis=1, keepdims=True)
-    return Model(model_file, languages, tables)
-
-
-def train(docs: DataFrame, model_file: str, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_lang: int = DOCS_PER_LANG) -> Model:
-    """A model of docs' labelled rows: at most per_lang whole texts of each language, those whose crc32 of doc_id
-    comes first. Null labels and texts are left out; without any labelled row the model knows no language."""
-    i, g, h, n = unused(docs, "_i", "_g", "_h", "_n")
-    hashed = F.crc32(F.reverse(col(doc_id).cast("string")).cast("binary"))
-    thin = docs.where(col(lang).isNotNull() & col(text).isNotNull()).select(col(doc_id).alias(i), col(lang).alias(g), hashed.alias(h))
-    # counts by the hash's first ten bits tell how far each language must be read, so that no task gets all its rows
-    counts: dict[str, list] = {}
-    for name, bucket, many in thin.where(col(h).isNotNull()).groupBy(g, F.shiftright(h, 22)).count().collect():
-        counts.setdefault(name, []).append((bucket, many))
-    most = {}
-    for name, own in counts.items():
+    typical = np.zeros(len(languages))
+    if len(names):
+        sizes = np.fromiter(map(len, names), float, len(names))
+        for i, (table, own) in enumerate(zip(tables, counts, strict=True)):
+            logs = np.bincount(owner, np.log(np.maximum(lattice.forward(table)[lattice.last], 1e-300)), minlength=len(names))
+            typical[i] = (own @ logs) / max(1.0, own @ sizes)
+    return Model(model_file, languages, tables, typical)
+
+
+def train(docs: DataFrame, model_file: str, text: str = "text", lang: str = "lang", per_lang: int = DOCS_PER_LANG, most: int = MOST_LANGS) -> Model:
+    """A model of docs' labelled rows: at most per_lang distinct whole texts of each language, those with the smallest
+    hashes, of at most LONGEST_TEXT characters each; so many, and no more, reach the driver, however often rows repeat.
+    Null labels and texts are left out; without any labelled row the model knows no language. Of more than `most`
+    languages, those with the most distinct texts are learned (ties by name). doc_id and source are not read."""
+    value = col(text)
+    rows = docs.where(col(lang).isNotNull() & value.isNotNull() & (F.length(value) <= LONGEST_TEXT))
+    rows = rows.select(col(lang).cast("string").alias("lang"), F.xxhash64(value).alias("h"), value.cast("string").alias("text"))
+    rows = rows.withColumn("bucket", F.shiftright(F.col("h"), 54))
+    # distinct texts by the first ten bits of their hash tell how far each language must be read
+    counts = rows.select("lang", "bucket", "h").distinct().groupBy("lang", "bucket").count()
+    found = counts.groupBy("lang").agg(F.sum("count").alias("n"), F.collect_list(F.struct("bucket", "count")).alias("own"))
+    reach = {}
+    for r in found.orderBy(F.desc("n"), "lang").limit(most).collect():
         total = 0
-        for most[name], many in sorted(own):
+        for last, many in sorted(map(tuple, r.own)):
             total += many
+            reach[r.lang] = last
             if total >= per_lang:
                 break
-    reach = F.create_map(*[F.lit(x) for kv in most.items() for x in kv]) if most else F.create_map().cast("map<string,bigint>")
-    near = thin.where(F.shiftright(h, 22) <= F.try_element_at(reach, col(g)))
-    first = near.withColumn(n, F.expr(f"row_number() over (partition by {g} order by {h}, {i})")).where(col(n) <= per_lang)
-    ids = [r[0] for r in first.select(i).distinct().collect()]  # at most per_lang for each language
-    rows = docs.where(col(doc_id).isin(ids) & col(lang).isNotNull() & col(text).isNotNull()).select(col(text), col(lang)).collect() if ids else []
-    rows = sorted((tuple(r) for r in rows), key=lambda r: (r[1], r[0]))
-    return fit([r[0] for r in rows], [r[1] for r in rows], model_file)
+    if not reach:
+        return fit([], [], model_file)
+    last = F.try_element_at(F.create_map(*[F.lit(x) for kv in sorted(reach.items()) for x in kv]), F.col("lang"))
+    near = rows.where(F.col("bucket") <= last).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    first = near.withColumn("n", F.expr("row_number() over (partition by lang order by h)")).where(F.col("n") <= per_lang)
+    got = sorted((r.lang, r.text) for r in first.select("lang", "text").collect())
+    return fit([t for _, t in got], [g for g, _ in got], model_file)
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Adds lang_pred string and score double (the share of the best language among all learned ones).
+def identify(docs: DataFrame, model: Model, text: str = "text", known: str | None = None) -> DataFrame:
+    """Adds lang_pred string and score double (the share of the best language among all learned ones), and, if a name is
+    given, `known` boolean: whether the text can be of that language at all.
 
     Whole texts are scored. A text that is null or has no letter is `und` with score 0; equal scores go to the
-    language first by name. Input columns of these names are replaced; repeated rows agree.
+    language first by name. Input columns of these names are replaced; repeated rows agree; empty input, empty output.
     """
-    kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    fields += [T.StructField(known, T.BooleanType())] if known else []
+    made = {f.name.lower() for f in fields}
+    kept = [c for c in docs.columns if c.lower() not in made]
 
     def make(rows: pa.RecordBatch, arrays: list[pa.Array]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         for at in range(0, rows.num_rows, 1024):
             raw = arrays[0].slice(at, 1024).to_pylist()
-            langs, scores = model.predict(pa.array([None if x is None else x.decode("utf-8", "replace") for x in raw], pa.large_string()))
-            yield rows.slice(at, 1024), [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
+            got = model.predict(pa.array([None if x is None else x.decode("utf-8", "replace") for x in raw], pa.large_string()))
+            kinds = (pa.string(), pa.float64(), pa.bool_())
+            yield rows.slice(at, 1024), [pa.array(x, t) for x, t in zip(got, kinds)][: len(fields)]
 
-    return map_arrow(docs, kept, [col(text).cast("binary")], [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], make)
+    return map_arrow(docs, kept, [col(text).cast("binary")], fields, make)
 
 
 def held_out(doc_id) -> Column:
@@ -285,10 +310,12 @@ def op9(docs: DataFrame, model_file: str) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, model_file: str, least: float = 0.5) -> DataFrame:
-    """docs less those whose language the method rejects: no letter, or no language with a share of `least`."""
+    """docs less those whose language the method rejects: no letter (so null and empty texts), no language with a share of
+    `least`, or letters too improbable for the best language, as in languages that were not learned or in random text.
+    Repeated rows share their fate; an empty table stays empty; without any label no language is known, and all go."""
     names = docs.columns
-    p, s = unused(docs, "_pred", "_share")
-    model = train(docs.where(~held_out(F.col("doc_id"))), model_file)
     inner = [f"c{i}" for i in range(len(names))]
-    found = identify(docs.toDF(*inner), model, f"c{names.index('text')}").toDF(*names, p, s)
-    return found.where((F.col(p) != "und") & (F.col(s) >= least)).select(*[col(c) for c in names])
+    model = train(docs.where(~held_out(F.col("doc_id"))), model_file)
+    found = identify(docs.toDF(*inner), model, f"c{names.index('text')}", "known")
+    stays = (F.col("lang_pred") != "und") & (F.col("score") >= least) & F.col("known")
+    return found.where(stays).select(*inner).toDF(*names)

@@ -450,12 +450,69 @@ def test_language_id_held_out(spark, docs, odd):
     assert all(0 <= r.score <= 1 for r in rows)
     assert len(rows) == both.where("doc_id in (1, 2, 7, 9) or doc_id is null").count()
     model = langid.fit([], [], queries.PIECES)
-    assert model.predict(pa.array(["a", None])) == (["und", "und"], [0.0, 0.0])
+    assert model.predict(pa.array(["a", None])) == (["und", "und"], [0.0, 0.0], [False, False])
     kept = langid.keep_known(clashing(both), queries.PIECES)
     assert kept.columns == clashing(both).columns and kept.where("text is null or text = ''").count() == 0
     assert langid.keep_known(docs, queries.PIECES).count() == docs.count()
 
 
+def plain_marginal(word, p, vocab):
+    """The same sum, from the end of the word."""
+    tail = [1.0] * (len(word) + 1)
+    for at in range(len(word) - 1, -1, -1):
+        tail[at] = sum(p[i] * tail[at + n] for n in range(1, min(16, len(word) - at) + 1) if (i := vocab.get(word[at : at + n], len(vocab) if n == 1 else None)) is not None)
+    return tail[0]
+
+
+def test_language_id_against_plain_sums(docs):
+    rows = [r for r in docs.collect() if r.text]
+    own = [r for r in rows if r.lang and zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    model = langid.fit([r.text for r in own], [r.lang for r in own], queries.PIECES)
+    vocab, seen = langid.vocabulary(queries.PIECES), {}
+    got = model.predict(pa.array([r.text for r in rows[:60]]))
+    for text, lang, share in zip((r.text for r in rows[:60]), *got[:2]):
+        sums = [0.0] * len(model.languages)
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            if w not in seen:
+                marked = [("▁" + w)[i : i + langid.PART] for i in range(0, len(w) + 1, langid.PART)]
+                seen[w] = [sum(math.log(plain_marginal(x, t, vocab)) for x in marked) for t in model.tables]
+            sums = [a + b for a, b in zip(sums, seen[w])]
+        best = max(range(len(sums)), key=lambda i: sums[i])
+        assert lang == model.languages[best] and math.isclose(share, 1 / sum(math.exp(min(700, s - sums[best])) for s in sums), rel_tol=1e-6)
+
+
+UNLEARNED = (
+    "Il gatto dorme sulla sedia mentre fuori piove e i bambini giocano nella stanza accanto con le loro macchinine colorate e ridono forte",
+    "Kissa nukkuu tuolilla, kun ulkona sataa ja lapset leikkivät viereisessä huoneessa värikkäillä autoillaan ja nauravat kovaa",
+    "De kat slaapt op de stoel terwijl het buiten regent en de kinderen in de kamer ernaast spelen met hun gekleurde autootjes",
+    "Кот спит на стуле, а на улице идёт дождь, и дети играют в соседней комнате",
+    " ".join("qxzvkwjpfhbm"[i % 12] * (i % 5 + 1) + "wq" for i in range(80)),
+)
+
+
+def test_language_id_rejects_what_was_not_learned_and_keeps_short_texts(spark, docs):
+    words = [w for w in "the of and to der die und le la et el los de".split()]
+    extra = [(10_000 + i, t, None, "x", 0) for i, t in enumerate(UNLEARNED)] + [(20_000 + i, w, None, "x", 0) for i, w in enumerate(words)]
+    kept = {r.doc_id for r in langid.keep_known(docs.unionByName(spark.createDataFrame(extra, DOC)), queries.PIECES, least=0.3).collect()}
+    assert not kept & set(range(10_000, 10_005))
+    assert {w for i, w in enumerate(words) if 20_000 + i not in kept} == set()
+    assert {r.doc_id for r in docs.collect()} <= kept
+
+
+def test_language_training_is_bounded(spark, docs, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid, "fit", lambda texts, langs, file: seen.append((texts, langs)))
+    hot = docs.where("doc_id = 0").select("doc_id", "text", "lang").crossJoin(spark.range(5000).select(F.lit(1).alias("k")))
+    langid.train(hot.drop("k").unionByName(docs.select("doc_id", "text", "lang")), "", per_lang=7)
+    texts, langs = seen[0]
+    assert len(texts) == len(set(zip(texts, langs))) == 7 * 4 and max(langs.count(x) for x in langs) == 7
+    many = spark.range(900).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"), (F.col("id") % 300).cast("string").alias("lang"))
+    langid.train(many, "", per_lang=2, most=5)
+    assert len(set(seen[1][1])) == 5 and len(seen[1][0]) == 10
+    langid.train(many.where("doc_id < 0"), "")
+    assert seen[2] == ([], [])
+
+
 def brute_targets(sizes, weights):
     held, out = set(), [0.0] * len(sizes)
     while True:
