@@ -327,6 +327,33 @@ def test_shards(spark, docs, odd):
     assert shards.op6(empty(docs)).count() == 0
 
 
+def test_shards_against_a_plain_order(spark, docs, odd):
+    """The whole result from the order of keys: hash of the text, hash of the row, then shards by running sizes."""
+    for frame in (docs, odd):
+        thin = frame.select("doc_id", F.coalesce(F.length(F.col("text").cast("binary")), F.lit(0)).alias("z"), F.xxhash64("text").alias("th"))
+        keyed = thin.select("*", F.xxhash64("th").alias("h"), F.xxhash64("doc_id", "z", "th").alias("o")).collect()
+        total, at, want, slots = sum(r.z for r in keyed), 0, [], {}
+        for r in sorted(keyed, key=lambda r: (r.h, r.o)):
+            s = min(7, at * 8 // max(1, total))
+            want.append((r.doc_id, r.z, s, slots.get(s, 0)))
+            slots[s], at = slots.get(s, 0) + 1, at + r.z
+        for split in (thin, thin.repartition(6)):
+            got = [(r.doc_id, r.z, r.shard, r.slot) for r in shards.shard(split, 8, "z", "th").collect()]
+            assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_shards_divide_until_no_range_is_overfull(spark, monkeypatch):
+    monkeypatch.setattr(shards, "SAMPLE", 1)  # a poor sample
+    monkeypatch.setattr(shards, "RANGE_ROWS", 50)
+    seen = []
+    plain = shards.divide
+    monkeypatch.setattr(shards, "divide", lambda *a: seen.append(len(a[4])) or plain(*a))
+    same = spark.range(4000).select(F.lit(1).alias("g"), F.lit(3).alias("z"))  # one group of rows that agree in all columns
+    rows = shards.shard(same, 8, "z", "g").collect()
+    assert [sum(r.shard == s for r in rows) for s in range(8)] == [500] * 8 and len(seen) > 1
+    assert all(sorted(r.slot for r in rows if r.shard == s) == list(range(500)) for s in range(8))
+
+
 def test_shards_divide_a_hot_group(spark):
     df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("g"), (F.col("id") % 13).alias("z"))
     rows = shards.shard(df, 8, "z", "g").collect()
