@@ -38,24 +38,59 @@ WIDE_HINT = (r"(?i)@|\Wat\W", r":[0-9A-Fa-f]{1,4}:", r"[0-9][\x20./_-]{0,2}[0-9]
 CONTEXT = r"(?i)(phone|tel|call|mobile|fax|whatsapp|card|visa|master|amex|payment|mail|contact|write|reach|host|server|addr|login|from)"
 AGAINST = r"(?i)(version|isbn|order|invoice|date|price|page|section|chapter|build|serial|ref|doi|total|figure|table)"
 
-SPAN = "struct<a:int,k:int,b:int,t:string>"
+SPAN = "struct<a:int,k:int,b:int,t:string,c:string>"
+#: Code points before a match that a span carries as its context, and those of a piece in which redaction cuts a text.
+BEFORE, PIECE = 24, 256
+#: Items that one array grows to before it is set aside.
+CHUNK = 256
+
+
+def bound(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def running(items: Column, state: dict[str, Column], step, kind: str) -> Column:
+    """array<kind>: what step(state, item) -> (new state, made) makes of each item in turn.
+
+    An array that grows is copied at every step, so items go in chunks, whose results are joined at the end: the work is in
+    proportion to the items (their square / CHUNK**2 references, besides).
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def add(acc: Column, x: Column) -> Column:
+        new, made = step(acc, x)
+        return F.struct(*[new[n].alias(n) for n in state], F.array_append(acc["out"], made).alias("out"))
+
+    def chunk(acc: Column, part: Column) -> Column:
+        inner = F.aggregate(part, F.struct(*[acc[n].alias(n) for n in state], none.alias("out")), add)
+        return bound(inner, lambda r: F.struct(*[r[n].alias(n) for n in state], F.array_append(acc["out"], r["out"]).alias("out")))
+
+    def whole(every: Column) -> Column:
+        last = F.greatest(F.lit(0), F.ceil(F.size(every) / CHUNK).cast("int") - 1)
+        parts = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(every, i * CHUNK + 1, F.lit(CHUNK)))
+        start = F.struct(*[v.alias(n) for n, v in state.items()], F.array().cast(f"array<array<{kind}>>").alias("out"))
+        return F.flatten(F.aggregate(parts, start, chunk, lambda acc: acc["out"]))
+
+    return bound(items, whole)
 
 
 def matches(text: Column, pattern: str, hint: str, kind: int) -> Column:
-    """array<struct a, k, b, t>: leftmost non-overlapping matches with their code point offsets, end exclusive."""
+    """array<SPAN>: leftmost non-overlapping matches with their code point offsets (end exclusive), kind, text, and the
+    BEFORE code points before them."""
     found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
-    pairs = F.zip_with(found, gaps, lambda t, g: F.struct(t.alias("t"), F.length(g).alias("g")))
-    none = F.array().cast(f"array<{SPAN}>")
+    gaps = F.split(text, pattern, -1)
+    pairs = bound(found, lambda f: F.zip_with(f, F.slice(gaps, F.lit(1), F.size(f)), lambda t, g: F.struct(t.alias("t"), g.alias("g"))))
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["g"]
+    def step(acc: Column, x: Column):
+        start = acc["at"] + F.length(x["g"])
         end = start + F.length(x["t"])
-        span = F.struct(start.alias("a"), F.lit(kind).alias("k"), end.alias("b"), x["t"].alias("t"))
-        return F.struct(end.alias("at"), F.array_append(acc["out"], span).alias("out"))
+        tail = F.right(F.concat(acc["tail"], F.right(x["g"], F.lit(BEFORE))), F.lit(BEFORE))
+        span = F.struct(start.alias("a"), F.lit(kind).alias("k"), end.alias("b"), x["t"].alias("t"), tail.alias("c"))
+        return {"at": end, "tail": F.right(F.concat(tail, F.right(x["t"], F.lit(BEFORE))), F.lit(BEFORE))}, span
 
-    run = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda acc: acc["out"])
-    return F.when(text.rlike(hint), run).otherwise(none)
+    run = running(pairs, {"at": F.lit(0), "tail": F.lit("")}, step, SPAN)
+    return F.when(text.rlike(hint), run).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def digits(t: Column) -> Column:
@@ -93,10 +128,9 @@ def count_of(t: Column, pattern: str) -> Column:
 FEATURES = ("kind", "n_digits", "length", "letters", "seps", "dots", "plus", "parens", "at", "bracket", "luhn", "longest", "zero", "for_it", "against", "quad", "year")
 
 
-def features(text: Column, s: Column) -> Column:
-    """array<double> in the order of FEATURES, of a candidate's own form and the 24 code points before it."""
-    t, d = s["t"], digits(s["t"])
-    before = F.substr(text, F.greatest(F.lit(1), s["a"] - 23), F.least(F.lit(24), s["a"]))
+def features(s: Column) -> Column:
+    """array<double> in the order of FEATURES, of a candidate's own form and its context."""
+    t, d, before = s["t"], digits(s["t"]), s["c"]
     n = F.length(d)
     longest = F.array_max(F.transform(F.split(t, "[^0-9]+"), lambda x: F.length(x)))
     values = (
@@ -110,7 +144,7 @@ def features(text: Column, s: Column) -> Column:
 def candidates(text: Column) -> Column:
     """Wide spans with their features."""
     every = F.concat(*[matches(text, p, h, k) for k, (p, h) in enumerate(zip(WIDE, WIDE_HINT, strict=True))])
-    return F.transform(every, lambda s: F.struct(s["a"].alias("a"), s["k"].alias("k"), s["b"].alias("b"), s["t"].alias("t"), features(text, s).alias("f")))
+    return F.transform(every, lambda s: F.struct(s["a"].alias("a"), s["k"].alias("k"), s["b"].alias("b"), s["t"].alias("t"), features(s).alias("f")))
 
 
 def examples(n: int = 60, seed: int = 7) -> list[dict]:
@@ -264,8 +298,8 @@ def find(docs: DataFrame, text: str = "text", model: Model | None = None) -> Dat
     """Adds base and spans, array<struct a, k, b> in order: offsets in code points (end exclusive), k into KINDS.
 
     spans holds base and what the model adds. Null and empty texts have empty arrays. Each row is searched by itself
-    and whole, so no row moves between tasks; columns of these two names are replaced. Work is linear in a text's
-    length but for texts of very many spans, whose list is copied as it grows.
+    and whole, so no row moves between tasks and repeated rows agree; columns of these two names are replaced. Work is in
+    proportion to a text's length and spans. Empty input, empty output.
     """
     model = model or train(docs.sparkSession)
     kept = [c for c in docs.columns if c.lower() not in ("base", "spans")]
@@ -291,26 +325,42 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["k"]), s["a"], s["b"])), ",")
 
 
+def redacted(text: Column, spans: Column) -> Column:
+    """The text with a mark in brackets for each run of spans that overlap. It is cut by pieces, so that a place is found
+    without counting from its beginning."""
+    marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+
+    def step(acc: Column, s: Column):
+        kept = F.struct(acc["reach"].alias("x"), s["a"].alias("y"), (s["a"] >= acc["reach"]).alias("fresh"), s["k"].alias("k"))
+        return {"reach": F.greatest(acc["reach"], s["b"])}, kept
+
+    def put(pieces: Column) -> Column:
+        def between(x: Column, y: Column) -> Column:
+            """The code points from x to y."""
+            i, j = F.floor(x / PIECE).cast("int"), F.floor((y - 1) / PIECE).cast("int")
+            first, last = F.get(pieces, i), F.get(pieces, j)
+            near = F.substr(first, x % PIECE + 1, y - x)
+            far = F.concat(F.substr(first, x % PIECE + 1, F.lit(PIECE)), F.array_join(F.slice(pieces, i + 2, F.greatest(F.lit(0), j - i - 1)), ""), F.substr(last, F.lit(1), (y - 1) % PIECE + 1))
+            return F.when(y <= x, "").when(i == j, near).otherwise(far)
+
+        parts = running(spans, {"reach": F.lit(0)}, step, "struct<x:int,y:int,fresh:boolean,k:int>")
+        shown = F.transform(F.filter(parts, lambda p: p["fresh"]), lambda p: F.concat(between(p["x"], p["y"]), F.get(marks, p["k"])))
+        end = F.array_max(F.transform(spans, lambda s: s["b"]))
+        return F.concat(F.array_join(shown, ""), between(end, F.length(text)))
+
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s)(.{{1,{PIECE}}})"), F.lit(1))
+    return F.when(F.size(spans) > 0, bound(pieces, put)).otherwise(text)
+
+
 def redact(docs: DataFrame, text: str = "text", model: Model | None = None) -> DataFrame:
     """docs with each found span of `text` replaced by its kind in brackets; spans that overlap become one, named by
-    the first. Null texts stay null, and texts without spans stay as they are."""
+    the first. Null texts stay null, and texts without spans stay as they are. Repeated rows agree."""
     names = docs.columns
     spans, base = unused(docs, "_spans", "_base0")
     inner = [f"c{i}_" for i in range(len(names))]
     t = f"c{names.index(text)}_"
     out = find(docs.toDF(*inner), t, model).withColumnsRenamed({"spans": spans, "base": base})
-    marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-
-    def add(acc: Column, s: Column) -> Column:
-        fresh = s["a"] >= acc["at"]
-        gap = F.substr(F.col(t), acc["at"] + 1, F.greatest(F.lit(0), s["a"] - acc["at"]))
-        parts = F.when(fresh, F.concat(acc["out"], F.array(gap, F.get(marks, s["k"])))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["b"]).alias("at"), parts.alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    done = F.aggregate(F.col(spans), start, add, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(F.col(t), acc["at"] + 1, F.length(F.col(t)))))
-    new = F.when(F.size(spans) > 0, done).otherwise(F.col(t))
-    return out.select(*[(new if n == text else F.col(i)).alias(n) for n, i in zip(names, inner, strict=True)])
+    return out.select(*[(redacted(F.col(t), F.col(spans)) if n == text else F.col(i)).alias(n) for n, i in zip(names, inner, strict=True)])
 
 
 def op7(docs: DataFrame) -> DataFrame:

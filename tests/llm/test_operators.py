@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -417,6 +418,50 @@ def test_pii_redaction(spark):
     assert got[2].text is None and got[2].n_chars is None and got[3].text == "nothing here" and got[4].text == ""
 
 
+def test_pii_contexts_and_spans_over_many_chunks(spark):
+    text = "".join(f"é{i} call a{i}@b.co, then 10.0.0.{i % 256} 😀 " for i in range(700))
+    df = spark.createDataFrame([(1, text), (2, "a@b.co"), (3, "")], "doc_id long, text string")
+    rows = df.select("doc_id", "text", pii.base_spans(F.col("text")).alias("s")).collect()
+    assert [(s.a, s.k, s.b) for s in rows[0].s] == brute_pii(text) and len(rows[0].s) == 1400
+    assert all(s.t == text[s.a : s.b] and s.c == text[max(0, s.a - 24) : s.a] for s in rows[0].s)
+    assert [(s.a, s.c) for s in rows[1].s] == [(0, "")] and rows[2].s == []
+
+
+def plain_redaction(text, spans):
+    out, at = "", 0
+    for a, k, b in sorted(spans):
+        if a >= at:
+            out += text[at:a] + f"[{pii.KINDS[k].upper()}]"
+        at = max(at, b)
+    return out + text[at:]
+
+
+def test_pii_redaction_cuts_at_any_place(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, "".join(rng.choice(list("aé😀 \n"), int(rng.integers(1, 1500)))), []) for i in range(60)]
+    for i, text, spans in rows[1:]:
+        for a in rng.integers(0, len(text), int(rng.integers(0, 9))).tolist():
+            spans.append((a, int(rng.integers(0, 4)), min(len(text), a + 1 + int(rng.integers(0, 600) ** 2 // 600))))
+        spans.sort()
+    df = spark.createDataFrame(rows, "i int, text string, spans array<struct<a:int,k:int,b:int>>")
+    got = {r.i: r.x for r in df.select("i", pii.redacted(F.col("text"), F.col("spans")).alias("x")).collect()}
+    assert got == {i: plain_redaction(text, spans) for i, text, spans in rows}
+
+
+def test_pii_work_is_linear_in_spans(spark):
+    def seconds(n):
+        df = spark.createDataFrame([(1, "".join(f"u{i}@mail.example.org " for i in range(n)))], "doc_id long, text string")
+        start = time.perf_counter()
+        row = pii.op7(df).collect()[0]
+        redacted = pii.redact(df).collect()[0].text
+        assert row.n_email == n and redacted == "[EMAIL] " * n
+        return time.perf_counter() - start
+
+    seconds(1000)
+    small, large = seconds(10_000), seconds(40_000)
+    assert large < 8 * small + 2
+
+
 def test_license_digests(spark, docs):
     mit = licenses.KNOWN[0][1]
     rows = [(1, "Copyright (c) 2020 Someone\n" + mit.upper().replace(",", " ,")), (2, mit + " extra"), (3, None), (4, ""), (5, "x\nReleased under the MIT Licence!\ny\nLicensed under CC BY 4.0"), (6, mit.replace("sublicense", "sub-license")), (5, "dup")]
