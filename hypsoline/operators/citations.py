@@ -34,8 +34,10 @@ def evidence_distribution(mention_docs: DataFrame, as_of: str, days: int = 730,
     """Documents of each type a technology has lately, with the first few as a sample."""
     now = F.lit(as_of).cast("date")
     df = good(mention_docs).where((F.col("published_at") >= F.date_sub(now, days)) & (F.col("published_at") <= now))
-    first = F.slice(F.array_sort(F.collect_list("doc_id")), 1, sample)
-    return df.groupBy("tech_id", "doc_type").agg(F.count("*").alias("n"), F.array_join(first.cast("array<string>"), ",").alias("sample"))
+    keys = ["tech_id", "doc_type"]
+    first = top_k(df.select(*keys, "doc_id"), keys, [F.col("doc_id")], sample)
+    listed = first.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("doc_id")).cast("array<string>"), ",").alias("sample"))
+    return df.groupBy(*keys).agg(F.count("*").alias("n")).join(listed, keys)
 
 
 def co_mentions(mention_docs: DataFrame, as_of: str, days: int = 730, k: int = 10) -> DataFrame:

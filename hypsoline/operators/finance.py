@@ -44,9 +44,11 @@ def by_quarter(holdings: DataFrame, keys: Sequence[str] = ("cusip",), parity: bo
 
 
 def top_holders(holdings: DataFrame, keys: Sequence[str] = ("cusip", "period"), k: int = 10) -> DataFrame:
+    """The k institutions with most shares of each group, with their part of all its shares."""
     per = holdings.groupBy(*keys, "institution").agg(F.sum("shares").alias("shares"))
-    total = F.sum("shares").over(Window.partitionBy(*keys))
-    return top_k(per.withColumn("pct", F.col("shares") / total * 100), keys, [F.desc("shares"), F.col("institution")], k)
+    total = holdings.groupBy(*keys).agg(F.sum("shares").alias("_all"))
+    first = top_k(per, keys, [F.desc("shares"), F.col("institution")], k)
+    return first.join(total, list(keys)).withColumn("pct", F.col("shares") / F.col("_all") * 100).drop("_all")
 
 
 def signals(quarters: DataFrame, keys: Sequence[str] = ("cusip",)) -> DataFrame:

@@ -19,7 +19,7 @@ def degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: float = 0.85, tolerance: float = 1e-7, every: int = 3) -> DataFrame:
     """(id, pagerank): (1 - d) + d * what flows in, ranks starting at 1 - d; parallel edges each carry their share.
 
-    Edges are counted by (src, dst) once and kept partitioned by src. Shares are summed before the shuffle by dst.
+    Edges are counted by (src, dst) once. A round shuffles links and ranks by src, and shares, summed before, by dst.
     Lineage is cut every few rounds, and the loop ends when no rank moves by more than the tolerance.
     """
     pairs = edges.groupBy("src", "dst").agg(F.count("*").alias("n"))

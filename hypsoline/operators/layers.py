@@ -67,16 +67,18 @@ def innovation_metrics(mention_docs: DataFrame, technologies: DataFrame, as_of:
     """The composed innovation record of every technology; absent parts count 0. Community papers are taken as two
     thirds of the community's patents."""
     start = str(_before(as_of, days))
-    parts = [
-        patent_count(mention_docs, start, as_of).select("tech_id", "patent_count", F.col("total_citations").alias("patent_citations")),
-        paper_count(mention_docs, start, as_of).select("tech_id", "paper_count", F.col("total_citations").alias("paper_citations")),
-        repo_count(mention_docs, start, as_of).select("tech_id", "repo_count", "total_stars"),
-        community_documents(mention_docs, technologies, "patent", start, as_of).select("tech_id", F.col("community_docs").alias("community_patents")),
-    ]
-    out = technologies.select(F.col("id").alias("tech_id"))
-    for p in parts:
-        out = out.join(p, "tech_id", "left")
-    out = out.fillna(0)
+    df = good(mention_docs).where(between(F.col("published_at"), start, as_of))
+    patent = (F.col("doc_type") == "patent") & (F.col("role") == "invented")
+    paper = (F.col("doc_type") == "technical_paper") & F.col("role").isin("invented", "studied")
+    repo = F.col("doc_type") == "github"
+    total = lambda c, v: F.sum(F.when(c, F.coalesce(v, F.lit(0))))
+    own = df.where(patent | paper | repo).groupBy("tech_id").agg(
+        F.count_if(patent).alias("patent_count"), total(patent, "citation_count").alias("patent_citations"),
+        F.count_if(paper).alias("paper_count"), total(paper, "citation_count").alias("paper_citations"),
+        F.count_if(repo).alias("repo_count"), total(repo, "stars").alias("total_stars"),
+    )
+    near = community_documents(mention_docs, technologies, "patent", start, as_of).select("tech_id", F.col("community_docs").alias("community_patents"))
+    out = technologies.select(F.col("id").alias("tech_id")).join(own, "tech_id", "left").join(near, "tech_id", "left").fillna(0)
     return out.withColumn("community_papers", F.floor(F.col("community_patents") * 0.67).cast("long"))
 
 
@@ -100,6 +102,15 @@ def approvals(mention_docs: DataFrame, start: str, end: str) -> DataFrame:
     return doc_metrics(mention_docs, "regulation", ["regulated"], start, end, aggs)
 
 
+def agency_metrics(mention_docs: DataFrame, contracts_from: str, approvals_from: str, end: str, roles: Sequence[str] = ("deployed", "funded", "researched")) -> DataFrame:
+    """Contracts, their value, and approvals of each technology in one pass; the two have windows of their own."""
+    df = good(mention_docs).where(F.col("doc_type").isin("government_contract", "regulation"))
+    contract = (F.col("doc_type") == "government_contract") & F.col("role").isin(list(roles)) & between(F.col("published_at"), contracts_from, end)
+    approval = (F.col("doc_type") == "regulation") & (F.col("role") == "regulated") & between(F.col("published_at"), approvals_from, end)
+    value = F.sum(F.when(contract, F.coalesce("award_amount", F.lit(0.0))))
+    return df.where(contract | approval).groupBy("tech_id").agg(F.count_if(contract).alias("contract_count"), F.round(value, 2).alias("total_value"), F.count_if(approval).alias("approval_count"))
+
+
 def revenue_mentions(company_tech: DataFrame, mention_docs: DataFrame, companies: DataFrame, start: str, end: str, k: int = 20) -> DataFrame:
     """Companies of a technology and its filings whose evidence speaks of revenue or sales; an edge a source document
     keeps its own row."""

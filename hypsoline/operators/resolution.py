@@ -7,9 +7,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.scalars import cosine, normalize_name, slug
+from ..functions.scalars import normalize_name, slug
 from .basics import top_k
 from .graph import connected_components
+from .search import nearest
 
 
 def alias_table(catalog: DataFrame) -> DataFrame:
@@ -73,10 +74,11 @@ def grams(name: Column, n: int = 2) -> Column:
 def candidate_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """(l, r, shared) for names of left (l) and right (r) with close lengths that share one of their rarest bigrams.
 
-    Lengths a, b with 2 * min / (a + b) under the threshold can't reach it, so at most d = 2a (1 - t) / t letters are
-    inserted or deleted, of which each breaks two bigrams of a name at most. Names that agree in all but 2d of their
-    bigrams share one among the 2d + 1 rarest of each, which keeps frequent bigrams out of the join. Above a threshold
-    of 0.8 this loses no pair; below, the bigrams are a blocking rule.
+    Let names of a and b letters have L in common, in order. A ratio of t needs a + b <= 2L / t, so x = a - L deletions and
+    y = b - L insertions add up to 2L (1 - t) / t at most. Of the a + 1 bigrams of the padded name, a deletion breaks two and
+    an insertion one, so at most 2x + y <= 4a (1 - t) / t are not in the other name, and names share one among so many and
+    one more of the rarest of each, which keeps frequent bigrams out of the join. At least L + 1 - (x + y) are shared, which
+    is positive for t >= 2/3: from there on, no pair is lost.
     """
     a = left.select(F.col("l").alias("name"), F.explode(grams(F.col("l"))).alias("g"))
     b = right.select(F.col("r").alias("name"), F.explode(grams(F.col("r"))).alias("g"))
@@ -173,9 +175,8 @@ def ticker_of(name: Column, aliases: Column) -> Column:
 
 def semantic(queries: DataFrame, catalog: DataFrame, threshold: float = 0.75, k: int = 3) -> DataFrame:
     """The k most similar catalogue vectors (id, v) of each query (qid, qv), at or above the threshold, with a level of
-    confidence. The catalogue is a bounded configuration table; queries may be many."""
-    pairs = queries.join(catalog, F.size("qv") == F.size("v"))
-    scored = pairs.select("qid", "id", F.round(cosine(F.col("qv"), F.col("v")), 6).alias("score")).where(F.col("score") >= threshold)
+    confidence."""
+    scored = nearest(queries, catalog, k, threshold)
     level = F.when(F.col("score") >= 0.9, "high").when(F.col("score") >= 0.75, "medium").otherwise("low")
     return top_k(scored, ["qid"], [F.desc("score"), F.col("id")], k).withColumn("confidence", level)
 

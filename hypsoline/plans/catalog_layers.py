@@ -93,8 +93,7 @@ FROM (SELECT DISTINCT src, dst FROM company_tech WHERE relation_type IN ('adopts
 
 def adoption_metrics(m):
     parts = [
-        L.contracts(m.mention_docs, YEAR, AS_OF).select("tech_id", "contract_count", "total_value"),
-        L.approvals(m.mention_docs, START, AS_OF).select("tech_id", "approval_count"),
+        L.agency_metrics(m.mention_docs, YEAR, START, AS_OF),
         L.revenue_mentions(m.company_tech, m.mention_docs, m.companies, YEAR, AS_OF).groupBy("tech_id").agg(F.countDistinct("company").alias("revenue_companies")),
         L.developing_companies(m.company_tech, m.companies).groupBy("tech_id").agg(F.count("*").alias("developers")),
     ]

@@ -80,13 +80,16 @@ def supplier_catalog(m):
     return m.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.array(F.concat(F.lit("S"), "s_suppkey")).alias("aliases"))
 
 
-def supplier_mentions(m):
+def supplier_mentions(m, *more):
     n = F.col("s_suppkey") % 4
-    return m.supplier.select(F.when(n == 0, F.upper("s_name")).when(n == 1, F.concat("s_name", F.lit("s"))).when(n == 2, F.concat(F.lit("Somewhere else "), "s_suppkey")).otherwise(F.col("s_name")).alias("name"))
+    return m.supplier.select(F.when(n == 0, F.upper("s_name")).when(n == 1, F.concat("s_name", F.lit("s"))).when(n == 2, F.concat(F.lit("Somewhere else "), "s_suppkey")).otherwise(F.col("s_name")).alias("name"), *more)
 
 
-register("ent8_cascade", lambda m: R.cascade(supplier_mentions(m), supplier_catalog(m)).groupBy("method").agg(F.count("*").alias("n")))
-register("ent10_clusters", lambda m: R.clusters(supplier_mentions(m).select(F.xxhash64("name").alias("id"), "name")))
+register("ent8_cascade", lambda m: R.cascade(supplier_mentions(m), supplier_catalog(m)).groupBy("method").agg(F.count("*").alias("n")), """
+SELECT method, count(*) AS n FROM (SELECT CASE s_suppkey % 4 WHEN 1 THEN 'fuzzy' WHEN 2 THEN 'none' ELSE 'exact' END AS method FROM supplier) t GROUP BY 1""")
+#: Names of suppliers differ in a few digits and are linked all; so are the names that begin with `Somewhere else`.
+register("ent10_clusters", lambda m: R.clusters(supplier_mentions(m, "s_suppkey").withColumnRenamed("s_suppkey", "id")), """
+SELECT s_suppkey AS id, min(s_suppkey) OVER (PARTITION BY s_suppkey % 4 = 2) AS cluster FROM supplier""")
 register("ent13_tech_id", lambda m: m.part.select("p_partkey", S.slug(F.col("p_name")).alias("tech_id")), "SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g'), '_') AS tech_id FROM part")
 register("ent21_decisions", lambda m: m.part.select("p_partkey", R.merge_decision(F.col("p_partkey") % 100 / 100.0, F.col("p_size") % 2 == 0, F.col("p_size") / 50).alias("decision")), "SELECT p_partkey, CASE WHEN p_partkey % 100 / 100.0::DOUBLE < 0.75 THEN 'reject' WHEN p_size % 2 = 0 AND p_size / 50 >= 0.3::DOUBLE THEN 'auto_merge' ELSE 'review' END AS decision FROM part")
 
@@ -99,10 +102,10 @@ MERGED = """a AS (SELECT p_partkey % 50 AS cluster, p_name AS name, p_size AS oc
 v AS (SELECT cluster, list_sort(list_distinct(list(x))) AS v FROM (SELECT cluster, unnest([p_brand, p_type]) AS x FROM a) t GROUP BY 1), g AS (SELECT a.cluster, max(CASE WHEN r = 1 THEN name END) AS name, sum(occurrences)::BIGINT AS occurrences FROM a GROUP BY 1)"""
 register("ent22_merged", lambda m: R.merged(members(m)).withColumn("variants", F.array_join("variants", ",")).drop("tech_id"), f"{MERGED} SELECT g.cluster, name, array_to_string(v, ',') AS variants, occurrences FROM g JOIN v USING (cluster)")
 register("ent27_catalog_report", lambda m: R.catalog_report(R.merged(members(m)), 60000).select("names", "duplicate_names", "ambiguous_variants"), f"{MERGED} SELECT (SELECT count(*) FROM g) AS names, (SELECT count(*) FROM (SELECT name FROM g GROUP BY 1 HAVING count(*) > 1) t) AS duplicate_names, (SELECT count(*) FROM (SELECT x FROM (SELECT g.name, unnest(v) AS x FROM g JOIN v USING (cluster)) t GROUP BY x HAVING count(DISTINCT name) > 1) u) AS ambiguous_variants")
-register("ent31_semantic", lambda m: R.semantic(m.embeddings.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv")), Q.centres(m.embeddings).select(F.col("label").alias("id"), F.col("centre").alias("v")), 0.2).withColumn("score", F.round("score", 5)), """
+register("ent31_semantic", lambda m: R.semantic(m.embeddings.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv")), Q.centres(m.embeddings).select(F.col("label").alias("id"), F.col("centre").alias("v")), 0.2).withColumn("score", F.round("score", 4)), """
 k AS (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) t GROUP BY 1, 2), v AS (SELECT label AS id, list(x ORDER BY i) AS v FROM k GROUP BY 1),
-s AS (SELECT a.vec_id AS qid, v.id, round(list_dot_product(a.embedding::DOUBLE[], v.v) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(v.v, v.v))), 6) AS s FROM embeddings a, v)
-SELECT qid, id, round(s, 5) AS score, rank, CASE WHEN s >= 0.9 THEN 'high' WHEN s >= 0.75 THEN 'medium' ELSE 'low' END AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id)::INT AS rank FROM s WHERE s >= 0.2) t WHERE rank <= 3""")
+s AS (SELECT a.vec_id AS qid, v.id, round(list_dot_product(a.embedding::DOUBLE[], v.v) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(v.v, v.v))), 9) AS s FROM embeddings a, v)
+SELECT qid, id, round(s, 4) AS score, rank, CASE WHEN s >= 0.9 THEN 'high' WHEN s >= 0.75 THEN 'medium' ELSE 'low' END AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id)::INT AS rank FROM s WHERE s >= 0.2) t WHERE rank <= 3""")
 register("ent33_tickers", lambda m: m.companies.select("id", R.ticker_of(F.concat("name", F.lit(" ("), F.substring("ticker", 1, 5), F.lit(")")), F.array("ticker")).alias("ticker")), "SELECT id, ticker[1:5] AS ticker FROM companies")
 register("ent44_placeholders", lambda m: m.conversations.groupBy("conv_id").agg(F.array_sort(R.without_placeholders(F.array(F.min("role"), F.lit("Third Party"), F.lit("Unnamed Entity")))).alias("a")).select("conv_id", F.array_join("a", ",").alias("names")), "SELECT conv_id, min(role) AS names FROM conversations GROUP BY 1")
 

@@ -1,20 +1,30 @@
-"""Cutting lineage in iterative jobs: a table in the folder that driver and executors share."""
+"""Cutting lineage in iterative jobs: tables in the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to spark.checkpoint.dir and read back; a local folder is set only where the session names none."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of this application in the one that spark.checkpoint.dir names; it can be removed once the application
+    has ended. Where none is named, a local run gets a temporary one; a cluster's executors would not see it, so there it
+    is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="hypsoline-")
         spark.sparkContext.setCheckpointDir(found)
-    path = f"{found}/t-{uuid.uuid4().hex}"
+    return f"{found}/{spark.sparkContext.applicationId}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared folder as a table and read back: stable rows, no lineage, column pruning."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+

@@ -93,6 +93,8 @@ def prelude(sql: str) -> str:
     plain = {k: re.sub(r"\{(\w+)\}", r"\1", SQL[k]).replace(".0D", ".0::DOUBLE") for k in wanted}
     ctes = ", ".join(f"{k} AS ({v})" for k, v in plain.items())
     own = sql.strip()
+    if own.startswith("RECURSIVE "):
+        return f"WITH RECURSIVE {ctes}{', ' if ctes else ''}{own[len('RECURSIVE ') :]}"
     if own.upper().startswith("SELECT"):
         return f"WITH {ctes} {own}" if ctes else own
     return f"WITH {ctes}, {own}" if ctes else f"WITH {own}"

@@ -58,6 +58,8 @@ def json_records(spark: SparkSession, path: str | list[str], schema: str, skip:
 
 
 def limit_per_file(df: DataFrame, n: int) -> DataFrame:
+    """The first n rows of each file, of files that are read whole (as json_records does): their rows then have rising
+    numbers in the order of the file, however the files are dealt to tasks."""
     w = Window.partitionBy("_file").orderBy("_at")
     out = df.withColumns({"_file": F.input_file_name(), "_at": F.monotonically_increasing_id()}).withColumn("_n", F.row_number().over(w))
     return out.where(F.col("_n") <= n).drop("_file", "_at", "_n")
