@@ -1,3 +1,3 @@
 """Imports the modules that register queries."""
 
-from . import catalog_evidence, catalog_finance, catalog_layers, catalog_records, catalog_scoring, catalog_text  # noqa: F401
+from . import catalog_evidence, catalog_finance, catalog_layers, catalog_records, catalog_scoring, catalog_text, catalog_matching  # noqa: F401
