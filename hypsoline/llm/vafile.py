@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import col, cut
+from .common import col, cut, sieved
 
 PAGE_ROWS = 16384
 QUERY_ROWS = 4096
@@ -85,6 +85,17 @@ def vectors_of(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding",
     return rows.select("vec_id", F.xxhash64("v").alias("variant"), "v")
 
 
+def useful(usable: DataFrame, k: int) -> DataFrame:
+    """usable less all but the k + 1 smallest ids of equal vectors. Ranks are of hashes (128 bits) and ids alone; rows of
+    vectors with more ids are found through a sieve and settled by id, so that the others don't move."""
+    thin = usable.select("vec_id", "variant", F.xxhash64(F.lit(1), "v").alias("other"))
+    place = F.expr("row_number() over (partition by variant, other order by vec_id)")
+    least = cut(thin.withColumn("place", place).where(F.col("place") <= k + 1))
+    marked = sieved(usable, "variant", least.where(F.col("place") == k + 1).select("variant"), "flag")
+    kept = marked.where("flag").join(least.select("vec_id", "variant"), ["vec_id", "variant"], "left_semi")
+    return marked.where("not flag").drop("flag").unionByName(kept.drop("flag"))
+
+
 def matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     arrays = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
     return np.concatenate([np.empty((0, dim)), *[np.asarray(a.flatten(), np.float64).reshape(len(a), dim) for a in arrays]])
@@ -196,9 +207,8 @@ def top_k(
     input, empty output; columns other than the two are not read.
     """
     usable = cut(vectors_of(df, id_col, vector, scale))
-    same = F.expr("row_number() over (partition by v order by vec_id)")
-    base = cut(usable.withColumn("same", same).where(F.col("same") <= k + 1).drop("same"))
-    file = cut(pages(base, page_rows))
+    base = useful(usable, k)
+    file = cut(pages(base, page_rows))  # the sieve leaves exact vectors where they are; only cells go on
     queries = usable.where(is_query(F.col("vec_id")))
     n_pages, n_queries = file.count(), queries.count()
 
