@@ -2,7 +2,9 @@
 
 Long texts are split before the library sees them, at places where the split pattern always ends one
 match and starts another, so the ids are those of the whole text. A piece is at most about `PIECE`
-characters unless it holds no such place.
+characters unless it holds no such place. That such places are where a space follows a non-space is a
+property of patterns in which white space begins or is a match; splittable() says whether a pattern is
+known to be one, and texts are encoded whole under any other.
 """
 
 from __future__ import annotations
@@ -50,11 +52,23 @@ def pieces(text: str, size: int = PIECE) -> Iterator[str]:
     yield text[start:]
 
 
+#: The published forms of the split pattern in which no match has a space after a non-space.
+SPLITTABLE = (
+    r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
+    r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s""",
+    r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""",
+)
+
+
+def splittable(pattern: str) -> bool:
+    return pattern in SPLITTABLE
+
+
 def encode_text(text: str, rank_file: str, pattern: str) -> list[int]:
     """Ids of the whole text. A run of very many spaces would exhaust the library's stack, so its match, which is
     the run less its last character before a non-space, is encoded as one piece here."""
     enc = encoding(rank_file, pattern)
-    if len(text) < RUN:
+    if len(text) < RUN or not splittable(pattern):
         return enc.encode_ordinary(text)
     ids: list[int] = []
     for piece in pieces(text):
@@ -75,15 +89,17 @@ def decode_ids(ids: list[int], rank_file: str, pattern: str) -> bytes:
     return encoding(rank_file, pattern).decode_bytes(ids)
 
 
-def _map(df: DataFrame, source: Column, out: T.StructField, one) -> DataFrame:
-    """Adds column `out`, one(x) of each value of `source`, some rows at a time; an input column of that name is replaced."""
-    kind = to_arrow_type(out.dataType)
+def _map(df: DataFrame, source: Column, outputs: list[T.StructField], one) -> DataFrame:
+    """Adds `outputs`, the tuple one(x) of each value of `source`, some rows at a time; input columns of their names are replaced."""
+    kinds = [to_arrow_type(f.dataType) for f in outputs]
 
     def make(rows: pa.RecordBatch, arrays: list[pa.Array]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         for at in range(0, rows.num_rows, 256):
-            yield rows.slice(at, 256), [pa.array([one(x) for x in arrays[0].slice(at, 256).to_pylist()], kind)]
+            made = [one(x) for x in arrays[0].slice(at, 256).to_pylist()]
+            yield rows.slice(at, 256), [pa.array([m[i] for m in made], kind) for i, kind in enumerate(kinds)]
 
-    return map_arrow(df, [c for c in df.columns if c.lower() != out.name.lower()], [source], [out], make)
+    names = {f.name.lower() for f in outputs}
+    return map_arrow(df, [c for c in df.columns if c.lower() not in names], [source], outputs, make)
 
 
 def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
@@ -93,10 +109,10 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", out:
     encoded; an empty table stays empty; an input column named as `out` is replaced, every other one kept.
     """
 
-    def one(b: bytes | None) -> list[int]:
-        return encode_text(b.decode("utf-8", "replace"), rank_file, pattern) if b else []
+    def one(b: bytes | None) -> tuple[list[int]]:
+        return (encode_text(b.decode("utf-8", "replace"), rank_file, pattern) if b else [],)
 
-    return _map(df, col(text).cast("binary"), T.StructField(out, T.ArrayType(T.IntegerType())), one)
+    return _map(df, col(text).cast("binary"), [T.StructField(out, T.ArrayType(T.IntegerType()))], one)
 
 
 def decode(df: DataFrame, rank_file: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -105,16 +121,26 @@ def decode(df: DataFrame, rank_file: str, pattern: str, ids: str = "ids", out: s
     An id outside the rank file raises an error. Columns are treated as in encode().
     """
 
-    def one(x: list[int] | None) -> bytes:
-        return decode_ids([i for i in x if i is not None], rank_file, pattern) if x else b""
+    def one(x: list[int] | None) -> tuple[bytes]:
+        return (decode_ids([i for i in x if i is not None], rank_file, pattern) if x else b"",)
+
+    return _map(df, col(ids), [T.StructField(out, T.BinaryType())], one)
+
+
+def coded(df: DataFrame, rank_file: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """encode() and decode() in one pass: the ids of each whole text, and the bytes of these ids."""
+
+    def one(b: bytes | None) -> tuple[list[int], bytes]:
+        found = encode_text(b.decode("utf-8", "replace"), rank_file, pattern) if b else []
+        return found, decode_ids(found, rank_file, pattern) if found else b""
 
-    return _map(df, col(ids), T.StructField(out, T.BinaryType()), one)
+    fields = [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.BinaryType())]
+    return _map(df, col(text).cast("binary"), fields, one)
 
 
 def op1(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
-    """The digests of the contract, from the ids and the decoded bytes of the two operators."""
-    coded = decode(encode(docs.select("doc_id", "text"), rank_file, pattern), rank_file, pattern)
-    return coded.select(
+    """The digests of the contract, from the ids and the bytes that they decode to."""
+    return coded(docs.select("doc_id", "text"), rank_file, pattern).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
@@ -123,8 +149,8 @@ def op1(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
 
 
 def checked(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
-    """docs with ids and round_trip boolean: whether the decoded ids are the text's own bytes (null: none)."""
+    """docs with ids and round_trip boolean: whether the decoded ids are the text's own bytes (null: none). Null and empty
+    texts have no ids; repeated rows agree; an empty table stays empty; input columns of these names are replaced."""
     (raw,) = unused(docs, "_decoded")
-    coded = decode(encode(docs, rank_file, pattern), rank_file, pattern, out=raw)
-    same = col(raw) == F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))
-    return coded.withColumn("round_trip", same).drop(raw)
+    same = col(raw) == F.coalesce(col("text").cast("binary"), F.lit("").cast("binary"))
+    return coded(docs, rank_file, pattern, decoded=raw).withColumn("round_trip", same).drop(raw)
