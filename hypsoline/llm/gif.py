@@ -170,8 +170,9 @@ def _order(rows: int) -> np.ndarray:
     return np.concatenate([np.arange(a, rows, b) for a, b in ((0, 8), (4, 8), (2, 4), (1, 2))])
 
 
-def decode_gif(data: bytes, most_pixels: int = 1 << 26) -> Iterator[dict]:
-    """The frames as shown: rgba canvas, delay and start in milliseconds, the frame's own rectangle.
+def decode_gif(data: bytes, most_pixels: int = 1 << 26, copies: bool = True) -> Iterator[dict]:
+    """The frames as shown: rgba canvas, delay and start in milliseconds, the frame's own rectangle. Without copies, the
+    canvas is the decoder's own and holds until the next frame is asked for.
 
     Disposal: 0 and 1 leave the frame, 2 clears its rectangle to transparent, 3 puts back what was there before.
     Transparent indices leave the canvas. Raises ValueError on what is not a GIF, is cut off before its trailer,
@@ -251,7 +252,7 @@ def decode_gif(data: bytes, most_pixels: int = 1 << 26) -> Iterator[dict]:
             area[:] = opaque[seen]
         else:
             area[seen != clear] = opaque[seen[seen != clear]]
-        yield {"frame": number, "start_ms": start, "delay_ms": delay, "left": left, "top": top, "width": w, "height": h, "rgba": canvas.copy()}
+        yield {"frame": number, "start_ms": start, "delay_ms": delay, "left": left, "top": top, "width": w, "height": h, "rgba": canvas.copy() if copies else canvas}
         if disposal == 2:
             area[:] = 0
         elif disposal == 3:
@@ -268,7 +269,27 @@ def histogram(rgba: np.ndarray) -> np.ndarray:
     return np.bincount(bins[px[:, 3] > 0], minlength=64)
 
 
-FRAME = "frame int, start_ms long, delay_ms long, left_x int, top_y int, width int, height int, rgba binary, histogram array<long>"
+def brightness(rgba: np.ndarray) -> np.ndarray:
+    """Counts of 256 levels of brightness, 0.299 red + 0.587 green + 0.114 blue; transparent pixels don't count."""
+    px = rgba.reshape(-1, 4)
+    level = (px[:, 0] * np.uint32(299) + px[:, 1] * np.uint32(587) + px[:, 2] * np.uint32(114)) // 1000
+    return np.bincount(level[px[:, 3] > 0], minlength=256)
+
+
+def both_histograms(rgba: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """histogram() and brightness(); of pixels that are grey and opaque, both follow from the counts of one channel."""
+    px = np.ascontiguousarray(rgba).reshape(-1, 4)
+    words = px.view("<u4")[:, 0]
+    red = px[:, 0]
+    if not np.array_equal(words, red * np.uint32(0x010101) + np.uint32(0xFF000000)):
+        return histogram(rgba), brightness(rgba)
+    levels = np.bincount(red, minlength=256)
+    return np.bincount((np.arange(256) >> 6) * 21, levels, minlength=64).astype(np.int64), levels
+
+
+FRAME = (
+    "frame int, start_ms long, delay_ms long, left_x int, top_y int, width int, height int, rgba binary, histogram array<long>, brightness array<long>"
+)
 
 
 def _batched(df: DataFrame, source: Column, fields: list[T.StructField], one) -> DataFrame:
@@ -301,45 +322,65 @@ def frames(df: DataFrame, media: str = "media") -> DataFrame:
     def make(rows: pa.RecordBatch, arrays: list[pa.Array]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         for i, media_ in enumerate(arrays[0]):
             try:
-                for f in decode_gif(media_.as_py()) if media_.is_valid else ():
-                    row = [f["frame"], f["start_ms"], f["delay_ms"], f["left"], f["top"], f["width"], f["height"], f["rgba"].tobytes(), histogram(f["rgba"]).tolist(), None]
+                for f in decode_gif(media_.as_py(), copies=False) if media_.is_valid else ():
+                    row = [f["frame"], f["start_ms"], f["delay_ms"], f["left"], f["top"], f["width"], f["height"], f["rgba"].tobytes(), *[h.tolist() for h in both_histograms(f["rgba"])], None]
                     yield rows.slice(i, 1), [pa.array([v], k) for v, k in zip(row, kinds, strict=True)]
             except ValueError as e:
-                yield rows.slice(i, 1), [pa.array([v], k) for v, k in zip([None] * 9 + [str(e)], kinds, strict=True)]
+                yield rows.slice(i, 1), [pa.array([v], k) for v, k in zip([None] * 10 + [str(e)], kinds, strict=True)]
 
     names = {f.name.lower() for f in fields}
     return map_arrow(df, [c for c in df.columns if c.lower() not in names], [col(media)], fields, make)
 
 
+READ = "payload binary, n_frames int, duration_ms long, area long, histogram array<long>, brightness array<long>, error string"
+
+
+def read_back(data: bytes | None) -> tuple:
+    """The fields of READ of a GIF: what store() put in, and sums over its frames' own rectangles."""
+    if data is None:
+        return (None,) * 7
+    parts, colours, levels, n, ms, area = [], np.zeros(64, np.int64), np.zeros(256, np.int64), 0, 0, 0
+    error = None
+    try:
+        for f in decode_gif(bytes(data), copies=False):
+            own = f["rgba"][f["top"] : f["top"] + f["height"], f["left"] : f["left"] + f["width"]]
+            parts.append(own[:, :, 0].tobytes())
+            shown = both_histograms(own)
+            colours, levels = colours + shown[0], levels + shown[1]
+            n, ms, area = n + 1, ms + f["delay_ms"], area + f["width"] * f["height"]
+    except ValueError as e:
+        error = str(e)
+    return None if error else b"".join(parts), n, ms, area, colours.tolist(), levels.tolist(), error
+
+
 def samples(df: DataFrame, media: str = "media") -> DataFrame:
-    """Adds what store() put in, read back through the frames: payload binary, n_frames int, duration_ms long,
-    histogram array<long> over all frames, error. Null media give nulls."""
-    fields = T.StructType.fromDDL("payload binary, n_frames int, duration_ms long, histogram array<long>, error string").fields
-
-    def one(data):
-        if data is None:
-            return None, None, None, None, None
-        parts, counts, n, ms = [], np.zeros(64, np.int64), 0, 0
-        try:
-            for f in decode_gif(bytes(data)):
-                own = f["rgba"][f["top"] : f["top"] + f["height"], f["left"] : f["left"] + f["width"]]
-                parts.append(own[:, :, 0].tobytes())
-                counts += histogram(own)
-                n, ms = n + 1, ms + f["delay_ms"]
-        except ValueError as e:
-            return None, n, ms, counts.tolist(), str(e)
-        return b"".join(parts), n, ms, counts.tolist(), None
-
-    return _batched(df, col(media), fields, one)
+    """Adds the fields of READ, from the GIFs of the column `media`. Null media give nulls; a damaged file gives no payload,
+    the sums of the frames before the damage, and what is wrong."""
+    return _batched(df, col(media), T.StructType.fromDDL(READ).fields, read_back)
+
+
+def stored(df: DataFrame, payload: str, out: str = "media") -> DataFrame:
+    """store() and samples() in one pass: the GIF is read back from its own bytes where it is made."""
+    fields = [T.StructField(out, T.BinaryType()), *T.StructType.fromDDL(READ).fields]
+
+    def one(x: bytes | None) -> tuple:
+        media = None if x is None else encode_samples(bytes(x))
+        return media, *read_back(media)
+
+    return _batched(df, col(payload).cast("binary"), fields, one)
 
 
 def op5(docs: DataFrame) -> DataFrame:
-    """The contract's digests of each text's payload as stored in a GIF and read back."""
+    """The contract's digests of each text's payload as stored in a GIF and read back. The feature says how many frames of
+    what area and duration there are, and the counts of each brightness that occurs."""
     raw = F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))
     n = F.octet_length(raw)
     padded = (F.greatest(F.lit(1), F.ceil(n / F.lit(WIDTH)))) * WIDTH
     given = docs.select("doc_id", n.cast("long").alias("n_bytes"), F.concat(raw, F.repeat(F.lit(" "), (padded - n).cast("int")).cast("binary")).alias("given"))
-    back = samples(store(given, "given")).drop("given")
+    back = stored(given, "given").drop("given")
+    levels = F.transform("brightness", lambda n, i: F.struct(i.alias("i"), n.alias("n")))
+    seen = F.transform(F.filter(levels, lambda x: x["n"] > 0), lambda x: F.concat_ws("=", x["i"], x["n"]))
+    feature = F.concat_ws(";", F.concat_ws("/", "n_frames", "area", "duration_ms"), F.array_join(seen, ","))
     tail = F.expr("substring(payload, -16, 16)")
     return back.select(
         "doc_id",
@@ -349,7 +390,7 @@ def op5(docs: DataFrame) -> DataFrame:
         F.crc32(tail).alias("tail_crc32"),
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
-        F.array_join(F.col("histogram").cast("array<string>"), ",").alias("feature"),
+        feature.alias("feature"),
         "n_frames",
         "duration_ms",
     )
