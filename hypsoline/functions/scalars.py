@@ -255,3 +255,47 @@ def readable_size(n: Column) -> Column:
     for unit, power in (("GB", 3), ("MB", 2), ("KB", 1)):
         out = F.when(n < 1024.0 ** (power + 1), F.format_string(f"%.1f {unit}", n / 1024.0**power)).otherwise(out)
     return F.when(n < 1024, F.format_string("%d B", n.cast("long"))).otherwise(out)
+
+
+#: Agencies that are known by an abbreviation.
+AGENCY_NAMES = {
+    "Federal Aviation Administration": "FAA", "Environmental Protection Agency": "EPA", "National Aeronautics and Space Administration": "NASA",
+    "Federal Communications Commission": "FCC", "Department of Defense": "DoD", "Department of Transportation": "DOT",
+}
+
+
+def agency_info(content: Column) -> Column:
+    """struct(regulatory_body, sub_agency) of a notice: the agency of its AGENCY field by its usual abbreviation, else the
+    first line after the department, else the department; and the first other line between department and agency field.
+    Lines in brackets, which name dockets, don't count."""
+    some = lambda c: F.nullif(F.trim(c), F.lit(""))
+    department = some(F.regexp_extract(F.substring(content, 1, 2000), r"DEPARTMENT OF ([^\n]+)", 1))
+    agency = some(F.regexp_extract(F.substring(content, 1, 3000), r"\*\*AGENCY:\*\*\s+([^(\n]+)", 1))
+    lines = lambda c: F.filter(F.transform(F.split(c, "\n"), lambda x: F.replace(F.trim(x), F.lit("*"), F.lit(""))), lambda x: (x != "") & ~x.startswith("["))
+    after = F.regexp_extract(F.substring(content, 1, 2500), r"(?s)DEPARTMENT OF [^\n]+\n(.{0,500})", 1)
+    next_line = F.get(lines(F.array_join(F.slice(F.split(after, "\n"), 1, 5), "\n")), 0)
+    body = F.coalesce(agency, F.when(department.isNotNull(), F.coalesce(next_line, department)))
+    between = F.regexp_extract(F.substring(content, 1, 3000), r"(?s)DEPARTMENT OF [^\n]+\n(.*?)\*\*AGENCY:\*\*", 1)
+    sub = F.when(department.isNotNull() & agency.isNotNull(), F.get(F.filter(lines(between), lambda x: x != agency), 0))
+    short = body
+    for name, letters in AGENCY_NAMES.items():
+        short = F.when(body == name, letters).otherwise(short)
+    return F.struct(short.alias("regulatory_body"), sub.alias("sub_agency"))
+
+
+#: The patterns of dates in a DATES section, in this order.
+EFFECTIVE = (r"effective\s+(?:on\s+)?", r"effective\s+date[:\s]+", r"becomes?\s+effective\s+(?:on\s+)?")
+DEADLINE = (r"comments?\s+(?:must be received|due|should be submitted)\s+(?:by\s+)?", r"(?:on or )?before\s+")
+DAY = r"([A-Z][a-z]+\s+[0-9]{1,2},\s+[0-9]{4})"
+
+
+def rule_dates(content: Column) -> Column:
+    """struct(effective_date, comment_deadline) of the DATES section: by the first pattern whose date can be read."""
+    section = F.regexp_extract(F.substring(content, 1, 10000), r"(?s)\*\*DATES:\*\*\s+(.+?)(?=\n\n\*\*|\n\n[A-Z])", 1)
+    day = lambda p: F.try_to_date(F.regexp_replace(F.regexp_extract(section, f"(?i){p}{DAY}", 1), r"\s+", " "), "MMMM d, yyyy")
+    return F.struct(F.coalesce(*[day(p) for p in EFFECTIVE]).alias("effective_date"), F.coalesce(*[day(p) for p in DEADLINE]).alias("comment_deadline"))
+
+
+def fr_document(filename: Column) -> Column:
+    """The document number of a file name like agency_2024-25812.md; null without one."""
+    return F.nullif(F.regexp_extract(filename, r"_([0-9]{4}-[0-9]+)\.md$", 1), F.lit(""))

@@ -1,3 +1,12 @@
 """Imports the modules that register queries."""
 
-from . import catalog_evidence, catalog_finance, catalog_layers, catalog_records, catalog_scoring, catalog_text, catalog_matching  # noqa: F401
+from . import (  # noqa: F401
+    catalog_evidence,
+    catalog_finance,
+    catalog_layers,
+    catalog_matching,
+    catalog_records,
+    catalog_scoring,
+    catalog_sources,
+    catalog_text,
+)

@@ -4,6 +4,7 @@ added by giving the fetch function of a subclass."""
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -52,3 +53,58 @@ class PagedSource(DataSource):
 
     def reader(self, schema) -> PagedReader:
         return PagedReader(schema, dict(self.options), type(self).fetch)
+
+
+#: The statuses after which a request is made again, besides 500 to 599.
+AGAIN = (408, 429)
+
+
+class ServiceError(Exception):
+    """A failed request; status None: the network failed."""
+
+    def __init__(self, status: int | None, message: str = ""):
+        super().__init__(message or f"status {status}")
+        self.status = status
+
+
+def should_retry(error: Exception, attempt: int, most: int = 3) -> bool:
+    """Whether attempt number `attempt` (from 0) that failed is made again: after network failures and passing statuses."""
+    if attempt >= most:
+        return False
+    if isinstance(error, ServiceError):
+        return error.status is None or error.status in AGAIN or 500 <= error.status < 600
+    return isinstance(error, (ConnectionError, TimeoutError))
+
+
+def delay(attempt: int, first: float = 1.0, factor: float = 2.0, longest: float = 300.0) -> float:
+    return min(longest, first * factor**attempt)
+
+
+def patient(fetch, most: int = 3, first: float = 1.0, factor: float = 2.0, interval: float = 0.0, sleep=time.sleep, clock=time.monotonic):
+    """fetch with retries after growing pauses, and at least `interval` seconds between requests of one task."""
+    last = [float("-inf")]
+
+    def call(options: dict, query: str, number: int) -> list[dict]:
+        attempt = 0
+        while True:
+            wait = last[0] + interval - clock()
+            if wait > 0:
+                sleep(wait)
+            last[0] = clock()
+            try:
+                return fetch(options, query, number)
+            except Exception as e:
+                if not should_retry(e, attempt, most):
+                    raise
+                sleep(delay(attempt, first, factor))
+                attempt += 1
+
+    return call
+
+
+def until(pages, stop) -> Iterator[dict]:
+    """Rows of pages in order, up to the first page that is empty or for which stop(page) holds, which is the last."""
+    for page in pages:
+        yield from page
+        if not page or stop(page):
+            return
