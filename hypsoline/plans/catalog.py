@@ -7,6 +7,7 @@ from . import (  # noqa: F401
     catalog_matching,
     catalog_records,
     catalog_scoring,
+    catalog_services,
     catalog_sources,
     catalog_text,
 )

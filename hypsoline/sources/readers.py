@@ -48,10 +48,10 @@ def merge_quarters(frames: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def json_records(spark: SparkSession, path: str | list[str], schema: str, skip: str | None = None) -> DataFrame:
-    """Files that hold an array or one object each; files whose name contains `skip` are left out, unreadable ones
-    give no rows."""
-    df = spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+def json_records(spark: SparkSession, path: str | list[str], schema: str, skip: str | None = None, lines: bool = False) -> DataFrame:
+    """Files that hold an array or one object each, or (lines) an object a line; files whose name contains `skip` are left
+    out, unreadable ones give no rows."""
+    df = spark.read.schema(schema).option("multiLine", not lines).option("mode", "DROPMALFORMED").json(path)
     if skip:
         df = df.where(~F.element_at(F.split(F.input_file_name(), "/"), -1).contains(skip))
     return df
