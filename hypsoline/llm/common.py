@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
+from ..plans.lineage import cut, shared_dir  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -40,23 +40,6 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; where the cluster names none (tests), a local one is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="hypsoline-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df written as a table to the shared folder and read back: stable rows, no lineage, column pruning."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def row_hash(df: DataFrame) -> Column:
     """A hash of a row's columns, maps left out: rows that are told apart by nothing else agree in it."""
     return F.xxhash64(*[col(f.name) for f in df.schema if not isinstance(f.dataType, T.MapType)])
@@ -102,7 +85,8 @@ BATCH_ROWS = 1024
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lowers the session's rows a batch to BATCH_ROWS where it allows more."""
+    """Lowers the session's rows a batch to BATCH_ROWS where it allows more. Spark reads this setting when a plan runs, and
+    has none for a single plan, so it stays lowered for the session."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, BATCH_ROWS)
