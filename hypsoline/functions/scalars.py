@@ -299,3 +299,14 @@ def rule_dates(content: Column) -> Column:
 def fr_document(filename: Column) -> Column:
     """The document number of a file name like agency_2024-25812.md; null without one."""
     return F.nullif(F.regexp_extract(filename, r"_([0-9]{4}-[0-9]+)\.md$", 1), F.lit(""))
+
+
+def rule_metadata(content: Column, filename: Column) -> Column:
+    """All that the expressions above find in a notice, as one struct."""
+    action = F.coalesce(header_field(content, r"(?:\*\*)?ACTION(?:\*\*)?"), F.lit(""))
+    agency, dates = agency_info(content), rule_dates(content)
+    return F.struct(
+        agency["regulatory_body"].alias("regulatory_body"), agency["sub_agency"].alias("sub_agency"), docket(content).alias("docket_number"), document_type(action).alias("document_type"),
+        decision_type(action, content).alias("decision_type"), dates["effective_date"].alias("effective_date"), dates["comment_deadline"].alias("comment_deadline"),
+        email(F.substring(content, 1, 10000)).alias("contact_email"), fr_document(filename).alias("federal_register_doc_id"),
+    )

@@ -37,3 +37,32 @@ def statistics(nodes: dict[str, DataFrame], edges: dict[str, DataFrame]) -> Data
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+#: The properties of every document, and those of each type besides.
+COMMON = ("doc_id", "doc_type", "source", "title", "url", "published_at", "summary", "content", "quality_score", "relevance_score", "embedding")
+BY_TYPE = {
+    "patent": ("patent_number", "jurisdiction", "type", "legal_status", "filing_date", "grant_date", "assignee_name", "citation_count", "simple_family_size", "applicants"),
+    "technical_paper": ("doi", "venue_type", "peer_reviewed", "source_title", "year_published", "date_published", "citation_count", "patent_citations_count", "authors"),
+    "sec_filing": (
+        "filing_type", "cik", "accession_number", "filing_date", "fiscal_year", "fiscal_quarter", "ticker", "net_insider_value_usd", "total_shares_held", "revenue_mentioned", "revenue_amount",
+        "risk_factor_mentioned", "qoq_change_pct",
+    ),
+    "regulation": ("regulatory_body", "sub_agency", "document_type", "decision_type", "effective_date", "docket_number"),
+    "github": ("github_id", "repo_name", "owner", "created_at", "last_pushed_at", "stars", "forks", "contributor_count"),
+    "government_contract": ("award_id", "recipient_name", "award_amount", "start_date", "end_date", "awarding_agency", "awarding_sub_agency"),
+    "news": ("domain", "outlet_tier", "seendate", "tone"),
+}
+
+
+def document_properties(df: DataFrame, doc_type: str) -> DataFrame:
+    """The documents of one type with the properties that nodes of it have; those that df lacks are null. Dates are ISO text."""
+    kinds = {f.name: f.dataType.typeName() for f in df.schema}
+
+    def value(name: str):
+        if name not in kinds:
+            return F.lit(None).cast("string").alias(name)
+        iso = {"date": "yyyy-MM-dd", "timestamp": "yyyy-MM-dd'T'HH:mm:ss"}.get(kinds[name])
+        return (F.date_format(name, iso) if iso else F.col(name)).alias(name)
+
+    return df.where(F.col("doc_type") == doc_type).select(*[value(n) for n in dict.fromkeys((*COMMON, *BY_TYPE[doc_type]))])

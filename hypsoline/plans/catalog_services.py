@@ -142,3 +142,25 @@ def errors(m):
 register("par12_error_rows", errors, "SELECT p_partkey % 4 = 0 AS bad, count(*) AS n FROM part GROUP BY 1")
 register("par18_lookup", lambda m: m.technologies.join(m.spark.range(3).select((F.col("id") * 10).alias("id")), "id").select("id", "name"), "SELECT id, name FROM technologies WHERE id IN (0, 10, 20)")
 register("str5_all_technologies", lambda m: m.technologies.select("id").join(m.tech_mentions.groupBy(F.col("tech_id").alias("id")).agg(F.count("*").alias("mentions")), "id", "left").fillna(0), "SELECT id, coalesce(n, 0)::BIGINT AS mentions FROM technologies LEFT JOIN (SELECT tech_id, count(*) AS n FROM tech_mentions GROUP BY 1) t ON tech_id = id")
+register("par6_contracts", lambda m: P.contracts(m.orders.select(F.concat(F.lit("A/"), "o_orderkey").alias("award_id"), F.lit("Joby").alias("recipient_name"), F.lit("Air Force").alias("awarding_sub_agency"), F.lit("Department of Defense").alias("awarding_agency"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("start_date"), F.lit("2001-08-01").alias("end_date"), F.col("o_totalprice").alias("award_amount"), F.lit("text").alias("description"))).select("doc_id", "title", F.to_date("published_at").alias("published_at"), "duration_days", "size_band", "agency_type"), "SELECT 'contract_A_' || o_orderkey AS doc_id, 'Joby - Air Force Contract' AS title, o_orderdate::DATE AS published_at, (DATE '2001-08-01' - o_orderdate::DATE)::INT AS duration_days, CASE WHEN o_totalprice < 100000 THEN 'small' WHEN o_totalprice < 1000000 THEN 'medium' ELSE 'large' END AS size_band, 'defense' AS agency_type FROM orders")
+
+
+def notices(m):
+    from ..functions import scalars as S
+    from .catalog_sources import NOTICE
+
+    text = F.concat(F.lit("ACTION: Proposed rule\nDocket No. FAA-"), "p_partkey", F.lit("\n"), F.expr(NOTICE), F.lit("\nwrite to a@b.gov"))
+    return m.part.select("p_partkey", S.rule_metadata(text, F.concat(F.lit("faa_2024-"), "p_partkey", F.lit(".md"))).alias("x")).select("p_partkey", "x.*")
+
+
+register("par8_rule_metadata", notices, """SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'FAA' WHEN p_partkey % 3 = 0 THEN 'Office of X' ELSE 'Some Board' END AS regulatory_body, CASE WHEN p_partkey % 6 = 0 THEN 'Office of X' END AS sub_agency, 'FAA-' || p_partkey AS docket_number,
+'proposed_rule' AS document_type, 'proposal' AS decision_type, DATE '2024-03-01' + (p_partkey % 28)::INT AS effective_date, DATE '2024-05-05' AS comment_deadline, 'a@b.gov' AS contact_email, '2024-' || p_partkey AS federal_register_doc_id FROM part""")
+
+
+def filing_nodes(m):
+    from ..operators.upsert import document_properties
+
+    return document_properties(m.documents_g, "sec_filing").select("doc_id", "published_at", "filing_type", "risk_factor_mentioned", "cik")
+
+
+register("ups4_filing_nodes", filing_nodes, "SELECT doc_id, published_at::VARCHAR AS published_at, filing_type, risk_factor_mentioned, NULL::VARCHAR AS cik FROM documents_g WHERE doc_type = 'sec_filing'")
