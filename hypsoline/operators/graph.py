@@ -93,48 +93,61 @@ def modularity(edges: DataFrame, labels: DataFrame) -> float:
     return inside / m2 - spread / (m2 * m2) if m2 else 0.0
 
 
-def betweenness(edges: DataFrame, sources: DataFrame, most_edges: int = 5_000_000) -> DataFrame:
-    """(id, betweenness): Brandes' sums over the given sources (all nodes: exact), directed and unweighted.
-
-    Each task holds the whole edge list, so a graph with more distinct edges than `most_edges` is refused; sample
-    sources or cut the graph down first.
+def shortest_path_shares(source: int, start, near, n: int):
+    """Brandes' sums of one source: for each node, the shares of shortest paths from the source that pass it. Edges are
+    compressed by their source: node v's neighbours are near[start[v] : start[v + 1]]."""
+    import numpy as np
+
+    dist, paths = np.full(n, -1, np.int32), np.zeros(n)
+    dist[source], paths[source] = 0, 1.0
+    front, levels = np.array([source]), []
+    while len(front):
+        many = start[front + 1] - start[front]
+        src = np.repeat(front, many)
+        place = np.repeat(start[front] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
+        dst = near[place]
+        front = np.unique(dst[dist[dst] < 0])
+        dist[front] = len(levels) + 1
+        on = dist[dst] == len(levels) + 1
+        src, dst = src[on], dst[on]
+        paths += np.bincount(dst, paths[src], minlength=n)
+        levels.append((src, dst))
+    share = np.zeros(n)
+    for src, dst in reversed(levels):
+        share += np.bincount(src, paths[src] / paths[dst] * (1 + share[dst]), minlength=n)
+    share[source] = 0.0
+    return share, dist >= 0
+
+
+def betweenness(edges: DataFrame, sources: DataFrame, most_edges: int = 20_000_000) -> DataFrame:
+    """(id, betweenness): Brandes' sums over the given sources (all nodes: exact), directed and unweighted, for nodes that a
+    source reaches.
+
+    Each task holds the whole edge list, 4 bytes an edge and 16 a node, so a graph with more distinct edges than
+    `most_edges` is refused; sample sources or cut the graph down first.
     """
+    import numpy as np
     import pandas as pd
 
     pairs = edges.select("src", "dst").where("src <> dst").distinct()
-    rows = [tuple(r) for r in pairs.limit(most_edges + 1).collect()]
+    rows = pairs.limit(most_edges + 1).toPandas()
     if len(rows) > most_edges:
         raise ValueError(f"more than {most_edges} edges")
-    out: dict = {}
-    for a, b in rows:
-        out.setdefault(a, []).append(b)
+    ids, number = np.unique(np.r_[rows["src"].to_numpy(), rows["dst"].to_numpy()], return_inverse=True)
+    src, near = number[: len(rows)], number[len(rows) :].astype(np.int32)
+    near = near[np.argsort(src, kind="stable")]
+    start = np.r_[0, np.cumsum(np.bincount(src, minlength=len(ids)))] if len(rows) else np.zeros(1, np.int64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, seen = np.zeros(len(ids)), np.zeros(len(ids), bool)
         for batch in batches:
-            total: dict = {}
             for s in batch["id"]:
-                order, before, paths, dist = [], {s: []}, {s: 1.0}, {s: 0}
-                level = [s]
-                while level:
-                    nxt = []
-                    for v in level:
-                        order.append(v)
-                        for w in out.get(v, ()):
-                            if w not in dist:
-                                dist[w] = dist[v] + 1
-                                paths[w], before[w] = 0.0, []
-                                nxt.append(w)
-                            if dist[w] == dist[v] + 1:
-                                paths[w] += paths[v]
-                                before[w].append(v)
-                    level = nxt
-                share = dict.fromkeys(order, 0.0)
-                for w in reversed(order):
-                    for v in before[w]:
-                        share[v] += paths[v] / paths[w] * (1 + share[w])
-                    if w != s:
-                        total[w] = total.get(w, 0.0) + share[w]
-            yield pd.DataFrame({"id": list(total), "part": list(total.values())}, columns=["id", "part"]).astype({"part": "float64"})
+                at = np.searchsorted(ids, s)
+                if at < len(ids) and ids[at] == s:
+                    share, reached = shortest_path_shares(int(at), start, near, len(ids))
+                    reached[at] = False
+                    total, seen = total + share, seen | reached
+        yield pd.DataFrame({"id": ids[seen], "part": total[seen]})
 
     parts = sources.select("id").distinct().mapInPandas(run, f"id {sources.schema['id'].dataType.simpleString()}, part double")
     return parts.groupBy("id").agg(F.sum("part").alias("betweenness"))

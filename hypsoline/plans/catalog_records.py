@@ -104,8 +104,9 @@ def places(m):
     return up.unionByName(m.nation.select((-1 - F.col("n_nationkey")).cast("long").alias("src"), (-1000 - F.col("n_regionkey")).cast("long").alias("dst")))
 
 
-register("gra3_betweenness", lambda m: G.betweenness(places(m), places(m).select(F.col("src").alias("id"))), """
+register("gra3_tree", lambda m: G.betweenness(places(m), places(m).select(F.col("src").alias("id"))), """
 c AS (SELECT c_nationkey, count(*)::DOUBLE AS n FROM customer GROUP BY 1) SELECT (-1 - c_nationkey)::BIGINT AS id, n AS betweenness FROM c UNION ALL SELECT DISTINCT (-1000 - n_regionkey)::BIGINT, 0.0::DOUBLE FROM nation""")
+register("gra3_betweenness", lambda m: G.betweenness(edges(m), nodes(m)).select("id", F.round("betweenness", 4).alias("betweenness")))
 register("gra4_top_nodes", lambda m: G.degree(nodes(m), edges(m)).orderBy(F.desc("degree"), "id").limit(5), f"{GRAPH} SELECT id, count(*) AS degree FROM e JOIN n ON id = src GROUP BY 1 ORDER BY degree DESC, id LIMIT 5")
 #: All rounds up to a hundredth, of which the first that repeats an earlier state, or changes nothing, is the result.
 register("gra5_label_propagation", lambda m: G.label_propagation(edges(m), rounds=None), f"""RECURSIVE {GRAPH},

@@ -53,3 +53,34 @@ def test_label_propagation_stops_where_labels_go_in_a_circle_or_a_long_way(spark
     circle = spark.createDataFrame([(1, 2)] * 3, "src long, dst long")
     assert label_propagation(path, rounds=None).count() == 31
     assert {r.id: r.community for r in label_propagation(circle, rounds=None).collect()}.keys() == {1, 2}
+
+
+def test_betweenness_of_all_nodes(spark):
+    ids, pairs = graph(spark)
+    out = {}
+    for a, b in set(pairs):
+        if a != b:
+            out.setdefault(a, []).append(b)
+    want, reached = Counter(), set()
+    for s in ids:
+        order, before, paths, dist, queue = [], {s: []}, Counter({s: 1}), {s: 0}, [s]
+        while queue:
+            v = queue.pop(0)
+            order.append(v)
+            for w in out.get(v, ()):
+                if w not in dist:
+                    dist[w] = dist[v] + 1
+                    before[w] = []
+                    queue.append(w)
+                if dist[w] == dist[v] + 1:
+                    paths[w] += paths[v]
+                    before[w].append(v)
+        share = Counter()
+        for w in reversed(order):
+            for v in before[w]:
+                share[v] += paths[v] / paths[w] * (1 + share[w])
+            if w != s:
+                want[w] += share[w]
+                reached.add(w)
+    got = {r.id: r.betweenness for r in registry.QUERIES["gra3_betweenness"](spark, SF).collect()}
+    assert got.keys() == reached and all(abs(got[i] - want[i]) < 1e-3 for i in got) and max(got.values()) > 10
