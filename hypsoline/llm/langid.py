@@ -31,9 +31,10 @@ MOST_LANGS = 200
 PRIOR = 200.0
 #: Longer words are scored in parts of this many characters, so that products stay within doubles.
 PART = 40
-KEPT_WORDS = 100_000
-#: How many times as improbable as in training a text's letters may be, and the excess in nats that a text may have.
-SURPRISE, EVIDENCE = 2.5, 12.0
+KEPT_WORDS = 60_000
+#: How many times as improbable as in training a word's letters may be, the letters from which on a word tells, the most that
+#: one word can say against a text, and what a text may have against it, in nats.
+SURPRISE, TELLING, AGAINST, EVIDENCE = 2.2, 4, 8.0, 32.0
 
 
 @functools.lru_cache(maxsize=2)
@@ -189,8 +190,8 @@ class Model:
             self._forget()
             new = words
         made = [self.known]
-        for at in range(0, len(new), 5000):
-            some = new[at : at + 5000]
+        for at in range(0, len(new), 2000):
+            some = new[at : at + 2000]
             cut = [parts(w) if w else [MARK] for w in some]
             lattice = Lattice([p for c in cut for p in c], pieces_of(self.model_file))
             owner = np.repeat(np.arange(len(some)), [len(c) for c in cut])
@@ -202,9 +203,11 @@ class Model:
         return self.known[np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words))]
 
     def predict(self, texts: pa.Array) -> tuple[list[str], list[float], list[bool]]:
-        """The most likely language, its share among the languages, and whether the text can be of it: its letters are
-        not SURPRISE times as improbable as those of the language's training words, by more than EVIDENCE in all, which
-        spares short texts. `und`, 0 and False for a text with no letter."""
+        """The most likely language, its share among the languages, and whether the text can be of it. What speaks against
+        that is the sum, over its words of TELLING letters or more, of how much less probable they are than letters SURPRISE
+        times as improbable as in training: more probable words outweigh others, no word counts more than AGAINST, and less
+        than EVIDENCE in all is no reason, which spares short texts and those with keys or numbers among their words. `und`, 0
+        and False for a text with no letter."""
         if not len(texts):
             return [], [], []
         rows, numbers, names = flat_words(texts)
@@ -213,11 +216,12 @@ class Model:
             return ["und"] * n, [0.0] * n, [False] * n
         scores = self.word_scores(names)
         sums = np.stack([np.bincount(rows, scores[numbers, i], minlength=n) for i in range(k)], axis=1)
-        letters = np.bincount(rows, np.fromiter(map(len, names), float, len(names))[numbers], minlength=n)
+        some = np.bincount(rows, minlength=n) > 0
         best = sums.argmax(axis=1)
         share = 1 / np.exp(np.minimum(700, sums - sums.max(axis=1, keepdims=True))).sum(axis=1)
-        known = (letters > 0) & (sums.max(axis=1) >= SURPRISE * self.typical[best] * letters - EVIDENCE)
-        some = letters > 0
+        sizes = np.fromiter(map(len, names), float, len(names))[:, None]
+        against = np.where(sizes >= TELLING, np.minimum(SURPRISE * self.typical * sizes - scores, AGAINST), 0.0)
+        known = some & (np.bincount(rows, against[numbers, best[rows]], minlength=n) <= EVIDENCE)
         return [self.languages[b] if c else "und" for b, c in zip(best, some, strict=True)], np.where(some, share, 0.0).tolist(), known.tolist()
 
 
