@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers as tokenizers
 
-from . import bpe, gif, langid, licenses, mixing, pii, shards, simhash, urlfilter, vafile
+from pyspark.sql import functions as F
+
+from . import bpe, gif, langid, licenses, mixing, nearcopies, pii, shards, simhash, urlfilter, vafile
 from .common import table
 
 RANKS = tokenizers.path("byte_bpe_50k.tiktoken")
@@ -117,4 +119,81 @@ FROM whole w LEFT JOIN known k USING (digest) LEFT JOIN notices n USING (doc_id)
 """
 
 
-ORACLES = {"op2_exact_top_k": _TOP_K, "op8_license_digests": _licenses_sql(), "op10_mixing": _MIX}
+#: What SQL can say of operators that it can't say whole: columns of the same operators, over the same whole tables.
+QUERIES |= {
+    "llm_decoded_bytes": lambda spark, d: QUERIES["op1_byte_bpe"](spark, d).select("doc_id", "decoded_sha256"),
+    "llm_near_copies": lambda spark, d: nearcopies.near_copies(table(spark, d, "documents")).select("doc_id", "component_id"),
+    "llm_url_rules": lambda spark, d: QUERIES["op4_url_filter"](spark, d).select("page_id", "host", "path", "rule", F.expr("CASE WHEN rule IS NOT NULL THEN verdict END").alias("verdict")),
+    "llm_payload_bytes": lambda spark, d: QUERIES["op5_gif_media"](spark, d).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256"),
+    "llm_shard_sizes": lambda spark, d: shard_sizes(spark, d),
+    "llm_pii_counts": lambda spark, d: QUERIES["op7_pii_boosting"](spark, d).select("doc_id", "n_email", "n_ip", "n_card", "n_phone"),
+}
+
+
+def shard_sizes(spark, d):
+    """Whether the law of op6 holds: rows and bytes in all, shards, whether slots are gapless, and whether the sizes of shards
+    differ by less than two of the largest documents."""
+    out = QUERIES["op6_sampled_splitters"](spark, d)
+    most = out.agg(F.max("size").alias("most"))  # one row
+    per = out.groupBy("shard").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.countDistinct("slot").alias("slots"), F.max("slot").alias("last"))
+    even = (F.max("bytes") - F.min("bytes") < 2 * F.first("most")).alias("even")
+    gapless = F.bool_and((F.col("n") == F.col("slots")) & (F.col("last") == F.col("n") - 1)).alias("gapless")
+    return per.crossJoin(F.broadcast(most)).agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count("*").alias("shards"), gapless, even)
+
+
+_NEAR = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), g AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([array_to_string(w[i : i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s FROM d
+), k AS (SELECT md5(array_to_string(list_sort(s), chr(10))) AS k, min(doc_id) AS id, any_value(s) AS s FROM g GROUP BY 1),
+e AS MATERIALIZED (SELECT k, len(s) AS n, unnest(s) AS x FROM k),
+p AS (SELECT a.k AS a, b.k AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.x = b.x AND a.k < b.k AND a.n * 5 >= b.n * 4 AND b.n * 5 >= a.n * 4 GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT a, b FROM p WHERE c * 9 >= (na + nb) * 4), ab AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT k AS a, k AS b FROM k UNION SELECT r.a, ab.b FROM r JOIN ab ON ab.a = r.b),
+c AS (SELECT r.a, min(k.id) AS component_id FROM r JOIN k ON k.k = r.b GROUP BY 1)
+SELECT g.doc_id, c.component_id FROM g JOIN c ON c.a = md5(array_to_string(list_sort(g.s), chr(10)))
+"""
+
+_URLS = """
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS host, rest FROM u),
+x AS (SELECT page_id, translate(host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(host) + 1), '(?s)^[^?#]*') AS path FROM h),
+r(rule, verdict) AS (VALUES {rules}),
+f AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM x JOIN r
+  ON (host = split_part(rule, '/', 1) OR host LIKE '%.' || split_part(rule, '/', 1)) AND starts_with(path, substr(rule, strpos(rule, '/'))) GROUP BY 1)
+SELECT x.page_id, x.host, x.path, f.rule, f.verdict FROM x LEFT JOIN f USING (page_id)
+""".format(rules=", ".join(f"('{a}', '{b}')" for a, b in urlfilter.RULES))
+
+_PAYLOAD = """
+SELECT doc_id, n AS n_bytes, m AS payload_bytes, sha256(t || repeat(' ', (m - n)::BIGINT)) AS payload_sha256
+FROM (SELECT doc_id, t, n, greatest(1, (n + 191) // 192) * 192 AS m FROM (SELECT doc_id, coalesce(text, '') AS t, strlen(coalesce(text, ''))::BIGINT AS n FROM documents) a) b
+"""
+
+_SIZES = "SELECT count(*) AS n, sum(strlen(coalesce(text, '')) + 1)::BIGINT AS bytes, least(8, count(*)) AS shards, true AS gapless, true AS even FROM documents"
+
+_COUNTS = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), c AS (
+  SELECT doc_id, [regexp_replace(x, '[^0-9]', '', 'g') FOR x IN regexp_extract_all(t, '[0-9]([\\x20-]?[0-9])+')] AS cards,
+    [regexp_replace(x, '[^0-9]', '', 'g') FOR x IN regexp_extract_all(t, '\\+[0-9][\\x20().0-9-]+[0-9]')] AS phones,
+    [string_split(x, '.') FOR x IN regexp_extract_all(t, '[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)')] AS ips,
+    regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+') AS emails FROM t
+)
+SELECT doc_id, len(emails)::BIGINT AS n_email, len([x FOR x IN ips IF len([y FOR y IN x IF length(ltrim(y, '0')) > 3 OR coalesce(try_cast(right(y, 3) AS INT), 0) > 255]) = 0])::BIGINT AS n_ip,
+  len([x FOR x IN cards IF length(x) BETWEEN 14 AND 19 AND
+    list_sum([CASE WHEN i % 2 = 0 THEN x[length(x) - i]::INT WHEN x[length(x) - i]::INT > 4 THEN 2 * x[length(x) - i]::INT - 9 ELSE 2 * x[length(x) - i]::INT END FOR i IN range(length(x))]) % 10 = 0])::BIGINT AS n_card,
+  len([x FOR x IN phones IF length(x) BETWEEN 10 AND 15])::BIGINT AS n_phone FROM c
+"""
+
+ORACLES = {
+    "op2_exact_top_k": _TOP_K,
+    "op8_license_digests": _licenses_sql(),
+    "op10_mixing": _MIX,
+    "llm_decoded_bytes": "SELECT doc_id, sha256(coalesce(text, '')) AS decoded_sha256 FROM documents",
+    "llm_near_copies": _NEAR,
+    "llm_url_rules": _URLS,
+    "llm_payload_bytes": _PAYLOAD,
+    "llm_shard_sizes": _SIZES,
+    "llm_pii_counts": _COUNTS,
+}
