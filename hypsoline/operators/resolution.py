@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import normalize_name, slug
+from ..plans.lineage import cut
 from .basics import top_k
 from .graph import connected_components
 from .search import nearest
@@ -85,7 +86,7 @@ def candidate_pairs(left: DataFrame, right: DataFrame, threshold: float) -> Data
     often = a.unionByName(b).groupBy("g").agg(F.count("*").alias("often"))
 
     def rarest(names: DataFrame, side: str, size: str) -> DataFrame:
-        most = F.floor(4 * F.length("name") * ((1 - threshold) / threshold)).cast("int") + 1
+        most = F.floor(4 * F.length("name") * ((1 - threshold) / threshold) + 1e-9).cast("int") + 1
         listed = names.join(often, "g").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("often", "g"))).alias("gs"))
         return listed.select(F.col("name").alias(side), F.length("name").alias(size), F.explode(F.slice("gs", F.lit(1), most)).alias("x")).select(side, size, "x.g")
 
@@ -93,13 +94,80 @@ def candidate_pairs(left: DataFrame, right: DataFrame, threshold: float) -> Data
     return rarest(a, "l", "la").join(rarest(b, "r", "lb"), "g").where(close).groupBy("l", "r").agg(F.count("*").alias("shared"))
 
 
+def shortened(name: Column, most: int = 1) -> Column:
+    """The texts that one (two, where `most` is 2) letters less at most make of a name, some repeated. Names of over 256 letters
+    only give themselves, those of over 64 lose one letter at most: these texts find links early, but are never relied on."""
+    n = F.length(name)
+    less = lambda i, j: F.concat(F.substr(name, F.lit(1), i - 1), F.substr(name, i + 1, j - i - 1), F.substr(name, j + 1, n))
+    none = F.array().cast("array<string>")
+    one = F.when((n > 0) & (n <= 256), F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.substr(name, F.lit(1), i - 1), F.substr(name, i + 1, n)))).otherwise(none)
+    two = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.transform(F.sequence(i + 1, F.greatest(n, i + 1)), lambda j: less(i, j)))
+    both = F.when((n > 1) & (n <= 64), F.flatten(two)).otherwise(none) if most >= 2 else none
+    return F.concat(F.array(name), one, both)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in a partition a core, for small tables of which each row makes much work."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
+#: Kinds of letters that `within_reach` counts.
+KINDS = 8
+
+
+def letters(name: str, *more: str) -> list[Column]:
+    """Columns _n and _c0.. of a name's column: its length, and how many of its letters are of each kind."""
+    codes = F.transform(F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1))), lambda i: F.when(i <= F.length(name), F.ascii(F.substr(F.col(name), i, F.lit(1)))))
+    count = lambda k: F.size(F.filter(codes, lambda x: x % KINDS == k)).alias(f"_c{k}")
+    return [F.length(name).alias("_n"), *[count(k) for k in range(KINDS)], *more]
+
+
+def within_reach(left: DataFrame, right: DataFrame, threshold: float, apart: str | None = None) -> DataFrame:
+    """The rows of left (l) for which right (r) may hold a name at or above the threshold; `apart`: of another value there.
+
+    Names of a and b letters have 2 (1 - t) / t * L edits at most, and L <= least(a, b); counts of kinds of letters differ by
+    one an edit at most. Equal counts are compared once, and meet by length and the first count. No such row is missed.
+    """
+    own = [apart] if apart else []
+    cells = cut(spread(left).select("l", *letters("l", *own)))
+    keys = [c for c in cells.columns if c != "l"]
+    there = spread(right).select(*letters("r", *own)).distinct()
+    there = there.select(*[F.col(c).alias(f"{c}_") for c in there.columns])
+    reach = lambda n: F.floor(2 * n * ((1 - threshold) / threshold) + 1e-9).cast("int")
+    lengths = F.sequence(F.greatest(F.lit(0), F.col("_n") - reach(F.col("_n"))), F.col("_n") + reach(F.col("_n")))
+    here = cells.select(*keys).distinct().withColumn("_m", F.explode(lengths)).withColumn("_e", reach(F.least("_n", "_m")))
+    here = here.where(F.abs(F.col("_n") - F.col("_m")) <= F.col("_e"))
+    here = here.withColumn("_f", F.explode(F.sequence(F.greatest(F.lit(0), F.col("_c0") - F.col("_e")), F.col("_c0") + F.col("_e"))))
+    differ = sum((F.abs(F.col(f"_c{k}") - F.col(f"_c{k}_")) for k in range(KINDS)), F.lit(0))
+    meet = (F.col("_m") == F.col("_n_")) & (F.col("_f") == F.col("_c0_")) & (differ <= F.col("_e"))
+    if apart:
+        meet = meet & (F.col(apart) != F.col(f"{apart}_"))
+    found = here.join(there, meet, "left_semi").select(*keys).distinct()
+    return cells.join(found, keys, "left_semi").select("l", *own)
+
+
 def fuzzy(mentions: DataFrame, catalog_names: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """(name, id, score): the best spelling match of each distinct name at or above the threshold."""
+    """(name, id, score): the best spelling match of each distinct name at or above the threshold.
+
+    Names that are equal after a letter less at most on each side meet first. All other pairs have an a of n letters and at
+    least two edits on one side, so they score 2n / (2n + 2) at most; only names without a better match go on to
+    candidate_pairs, with those of either side that letters let come near.
+    """
     left = mentions.select(F.lower(F.trim("name")).alias("l")).distinct()
     right = catalog_names.select(F.col("key").alias("r"), "id")
-    pairs = candidate_pairs(left, right.select("r").distinct(), threshold).join(right, "r")
-    scored = pairs.withColumn("score", F.round(ratio(F.col("l"), F.col("r")), 6)).where(F.col("score") >= threshold)
-    return top_k(scored, ["l"], [F.desc("score"), F.col("id")], 1).select(F.col("l").alias("name"), "id", "score")
+    keys = right.select("r").distinct()
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        rated = pairs.withColumn("score", F.round(ratio(F.col("l"), F.col("r")), 6)).where(F.col("score") >= threshold)
+        return top_k(rated.join(right, "r"), ["l"], [F.desc("score"), F.col("id")], 1).select("l", "id", "score")
+
+    pieces = spread(left).select("l", F.explode(shortened(F.col("l"))).alias("k")), spread(keys).select("r", F.explode(shortened(F.col("r"))).alias("k"))
+    first = cut(scored(pieces[0].join(pieces[1], "k").select("l", "r").distinct()))
+    sure = first.where(F.col("score") > 2 * F.length("l") / (2 * F.length("l") + 2) + 1e-5)
+    rest = cut(within_reach(left.join(sure, "l", "left_anti"), keys, threshold))
+    near = within_reach(keys.select(F.col("r").alias("l")), rest.select(F.col("l").alias("r")), threshold)
+    more = scored(candidate_pairs(rest, near.select(F.col("l").alias("r")), threshold).select("l", "r"))
+    return top_k(first.unionByName(more), ["l"], [F.desc("score"), F.col("id")], 1).select(F.col("l").alias("name"), "id", "score")
 
 
 def cascade(mentions: DataFrame, catalog: DataFrame, threshold: float = 0.85) -> DataFrame:
@@ -114,16 +182,30 @@ def cascade(mentions: DataFrame, catalog: DataFrame, threshold: float = 0.85) ->
 
 
 def clusters(names: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """(id, cluster): names (id, name) linked by spelling, by connected components; unlinked names are their own."""
+    """(id, cluster): names (id, name) linked by spelling, by connected components; unlinked names are their own.
+
+    A text of k letters that is left of several names when one letter, then two, are taken from them links them all, if k is
+    at least threshold times each one's length. Only names that letters let come near one of another component are compared
+    then, and only with such, so links inside of a component cost no comparison and no link between components is lost.
+    """
     low = names.select("id", F.lower(F.trim("name")).alias("k"))
-    keys = low.select("k").distinct()
-    pairs = candidate_pairs(keys.withColumnRenamed("k", "l"), keys.withColumnRenamed("k", "r"), threshold).where("l < r")
+    ids = cut(low.groupBy("k").agg(F.min("id").alias("src")))  # equal names: one node
+    placed = ids.where(F.col("k").isNotNull()).withColumn("c", F.col("src"))
+
+    def joined(edges: DataFrame) -> DataFrame:
+        comp = connected_components(edges).select(F.col("id").alias("c"), "component")
+        return cut(placed.join(comp, "c", "left").select("k", "src", F.coalesce("component", "c").alias("c")))
+
+    for most in (1, 2):
+        texts = spread(placed).select("c", F.length("k").alias("n"), F.explode(shortened(F.col("k"), most)).alias("t"))
+        meet = texts.where(F.length("t") >= threshold * F.col("n")).groupBy("t").agg(F.collect_set("c").alias("cs")).where(F.size("cs") > 1)
+        placed = joined(meet.select(F.array_min("cs").alias("src"), F.explode("cs").alias("dst")).where("src <> dst").distinct())
+    open_ = cut(within_reach(placed.select(F.col("k").alias("l"), "c"), placed.select(F.col("k").alias("r"), "c"), threshold, "c"))
+    pairs = candidate_pairs(open_.select("l"), open_.select(F.col("l").alias("r")), threshold).where("l < r")
+    pairs = pairs.join(open_.select("l", F.col("c").alias("src")), "l").join(open_.select(F.col("l").alias("r"), F.col("c").alias("dst")), "r").where("src <> dst")
     linked = pairs.withColumn("s", ratio(F.col("l"), F.col("r"))).where(F.col("s") >= threshold)
-    ids = low.groupBy("k").agg(F.min("id").alias("src"))  # equal names: one node
-    edges = linked.join(ids, linked.l == ids.k).select("src", "r").join(ids.select(F.col("k").alias("r"), F.col("src").alias("dst")), "r").select("src", "dst")
-    comp = connected_components(edges)
-    placed = low.join(ids, "k").join(comp.withColumnRenamed("id", "src"), "src", "left")
-    return placed.select("id", F.coalesce("component", "src").alias("cluster"))
+    placed = joined(linked.select("src", "dst").distinct())
+    return low.join(ids, "k").join(placed.select("src", "c"), "src", "left").select("id", F.coalesce("c", "src").alias("cluster"))
 
 
 #: Domains that count as related, either way round.

@@ -1,10 +1,12 @@
 """What larger tables showed: groups of sources, files of several records, names by the thousand."""
 
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from hypsoline import registry
-from hypsoline.operators import graph
+from hypsoline.operators import graph, resolution
 
 registry.load()
 SF = "/root/testdata/sf0.001"
@@ -41,3 +43,55 @@ def test_feed_of_many_partitions(spark):
         assert sorted(r.title for r in got.collect()) == sorted(f"T{r.event_id}" for r in kept.collect())
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def close_names(seed: int, n: int) -> list[str]:
+    """Random names, and such with a few letters taken, put in or changed, some repeated."""
+    rnd = random.Random(seed)
+    out = []
+    for _ in range(n):
+        if out and rnd.random() < 0.7:
+            x = list(rnd.choice(out))
+            for _ in range(rnd.randint(0, 4)):
+                at = rnd.randrange(len(x) + 1)
+                x[at : at + rnd.randint(0, 1)] = rnd.choice(["", "a", "b", "7"])
+            out.append("".join(x))
+        else:
+            out.append("".join(rnd.choice("abcdefg 0123#") for _ in range(rnd.choice([3, 8, 13, 20, 31, 40]))))
+    return [x for x in out if x.strip()] + ["x" * 300, "x" * 299 + "y", "é" * 70, "é" * 68 + "ab"]
+
+
+def test_clusters_and_fuzzy_lose_nothing(spark):
+    names = close_names(5, 260)
+    low = [x.strip().lower() for x in names]
+    df = spark.createDataFrame(list(enumerate(names)), "id long, name string")
+    for t in (0.85, 0.75):
+        near = [[resolution.indel_ratio(a, b) >= t for b in low] for a in low]
+        want = list(range(len(low)))
+        while True:
+            new = [min(want[j] for j in range(len(low)) if near[i][j]) for i in range(len(low))]
+            if new == want:
+                break
+            want = new
+        assert [r.cluster for r in resolution.clusters(df, t).orderBy("id").collect()] == want
+    keys = low[::2]
+    catalog = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "key string, id long")
+    want = {}
+    for a in set(low[1::2]):
+        hits = [(-round(resolution.indel_ratio(a, k), 6), i) for i, k in enumerate(keys)]
+        if -min(hits)[0] >= 0.85:
+            want[a] = (min(hits)[1], -min(hits)[0])
+    got = {r.name: (r.id, r.score) for r in resolution.fuzzy(df.where("id % 2 = 1"), catalog).collect()}
+    assert got == want
+
+
+def test_names_of_one_pattern_are_not_compared_with_each_other(spark, monkeypatch):
+    """Three thousand names that all link, and as many of another kind that no letter counts bring near, make no pair."""
+    met = []
+    pairs = resolution.candidate_pairs
+    monkeypatch.setattr(resolution, "candidate_pairs", lambda a, b, t: met.append(pairs(a, b, t)) or met[-1])
+    names = spark.range(3000).select("id", F.format_string("Supplier#%09d", "id").alias("name"))
+    other = spark.range(3000, 6000).select("id", F.format_string("Somewhere else %d", "id").alias("name"))
+    assert {tuple(r) for r in resolution.clusters(names.unionByName(other)).select((F.col("id") < 3000).alias("a"), "cluster").distinct().collect()} == {(True, 0), (False, 3000)}
+    found = resolution.fuzzy(names.select(F.concat("name", F.lit("s")).alias("name")).unionByName(other.select("name")), names.select(F.lower("name").alias("key"), "id"))
+    assert found.count() == 3000 and [x.count() for x in met] == [0, 0]
