@@ -20,7 +20,8 @@ from ..registry import register
 from ..sources import harvested as V
 from ..sources import readers as R
 from .catalog_scoring import RANKED, SCORES_SQL, chart, scores
-from .lineage import shared_dir
+from .lineage import freed, shared_dir
+from .model import SQL
 
 
 def folder(m) -> str:
@@ -60,18 +61,26 @@ register("src3_merged_quarters", merged_quarters, "SELECT o_orderkey, CASE WHEN
 
 
 def records(m) -> DataFrame:
-    """Extraction records, one a document of the graph: its mentions as aliases of technologies, and its relations."""
+    """Extraction records, one a document of the graph: its mentions as aliases of technologies, and its relations.
+
+    The raw columns are shuffled by document once for each array, which serves the removal of repeats, the grouping and the
+    joins; texts are made after that."""
+    lines, orders = m.lineitem.repartition("l_orderkey"), m.orders.repartition("o_orderkey")
+    tech_mentions = m.spark.sql(SQL["tech_mentions"], mention_rows=m.spark.sql(SQL["mention_rows"], lineitem=lines))
+    company_tech = m.spark.sql(SQL["company_tech"], lineitem=lines)
+    documents = m.spark.sql(SQL["documents_g"], orders=orders)
     mention = F.struct(F.concat(F.lit(" P"), F.col("tech_id").cast("string")).alias("name"), "role", "strength", "evidence_confidence", "evidence_text")
-    mentions = m.tech_mentions.groupBy("doc_id").agg(F.collect_list(mention).alias("tech_mentions"))
+    mentions = tech_mentions.groupBy("doc_id").agg(F.collect_list(mention).alias("tech_mentions"))
     relation = F.struct(F.concat(F.lit("s"), "src").alias("company_name"), F.concat(F.lit("p"), "dst").alias("technology_name"), "relation_type", "evidence_confidence", "evidence_text", F.lit(None).cast("string").alias("doc_ref"))
-    relations = m.company_tech.groupBy(F.col("doc_ref").alias("doc_id")).agg(F.collect_list(relation).alias("company_tech_relations"))
-    doc = m.documents_g.select("doc_id", F.struct(F.col("doc_id").cast("string").alias("doc_id"), F.when(F.col("doc_type") == "news", "news_article").when(F.col("doc_type") == "github", "github_repository").otherwise(F.col("doc_type")).alias("doc_type"), "title", F.when(F.col("doc_type") == "patent", F.col("published_at").cast("string")).alias("published_at"), F.when(F.col("doc_type") == "news", F.date_format("published_at", "yyyyMMdd'T'HHmmss'Z'")).alias("seendate"), F.when(~F.col("doc_type").isin("news", "patent"), F.col("published_at").cast("string")).alias("publication_date"), F.lit("about").alias("abstract"), F.when(F.col("quality_score") > 0.5, F.col("quality_score")).alias("quality_score")).alias("document"))
+    relations = company_tech.groupBy(F.col("doc_ref").alias("doc_id")).agg(F.collect_list(relation).alias("company_tech_relations"))
+    doc = documents.select("doc_id", F.struct(F.col("doc_id").cast("string").alias("doc_id"), F.when(F.col("doc_type") == "news", "news_article").when(F.col("doc_type") == "github", "github_repository").otherwise(F.col("doc_type")).alias("doc_type"), "title", F.when(F.col("doc_type") == "patent", F.col("published_at").cast("string")).alias("published_at"), F.when(F.col("doc_type") == "news", F.date_format("published_at", "yyyyMMdd'T'HHmmss'Z'")).alias("seendate"), F.when(~F.col("doc_type").isin("news", "patent"), F.col("published_at").cast("string")).alias("publication_date"), F.lit("about").alias("abstract"), F.when(F.col("quality_score") > 0.5, F.col("quality_score")).alias("quality_score")).alias("document"))
     return doc.join(mentions, "doc_id", "left").join(relations, "doc_id", "left").drop("doc_id")
 
 
 def read_records(m) -> DataFrame:
     at = folder(m)
-    records(m).write.json(at)
+    with freed(m.spark):
+        records(m).write.option("compression", "gzip").json(at)
     return m.spark.read.schema(R.RECORD).json(at)
 
 

@@ -95,3 +95,21 @@ def test_names_of_one_pattern_are_not_compared_with_each_other(spark, monkeypatc
     assert {tuple(r) for r in resolution.clusters(names.unionByName(other)).select((F.col("id") < 3000).alias("a"), "cluster").distinct().collect()} == {(True, 0), (False, 3000)}
     found = resolution.fuzzy(names.select(F.concat("name", F.lit("s")).alias("name")).unionByName(other.select("name")), names.select(F.lower("name").alias("key"), "id"))
     assert found.count() == 3000 and [x.count() for x in met] == [0, 0]
+
+
+def test_records_are_written_packed_and_leave_no_shuffle_files(spark, tmp_path):
+    """Repeats of a mention in a document keep the last line; files are compressed; shuffles of the writing are gone."""
+    from hypsoline.plans import catalog_sources
+    from hypsoline.plans.lineage import cut
+    from hypsoline.plans.model import Model
+
+    read = catalog_sources.read_records(Model(spark, SF))
+    assert all(f.endswith(".json.gz") for f in read.inputFiles()) and read.inputFiles()
+    got = sorted((int(r.doc_id), m.name, m.role) for r in read.select("document.doc_id", "tech_mentions").collect() for m in r.tech_mentions or [])
+    docs = {r.doc_id for r in Model(spark, SF).documents_g.select("doc_id").collect()}
+    assert got == sorted((r.doc_id, f" P{r.tech_id}", r.role) for r in Model(spark, SF).tech_mentions.collect() if r.doc_id in docs)
+    spark.sparkContext._jvm.System.gc()
+    files = lambda: {p for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("|").split("|") for p in [d] if "shuffle_" in p}
+    before = files()
+    cut(spark.range(5000).groupBy((F.col("id") % 777).alias("k")).count())
+    assert files() <= before
