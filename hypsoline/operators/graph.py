@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..plans.lineage import cut
+from ..plans.lineage import bucketed, cut
 
 
 def degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -19,23 +19,22 @@ def degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: float = 0.85, tolerance: float = 1e-7, every: int = 3) -> DataFrame:
     """(id, pagerank): (1 - d) + d * what flows in, ranks starting at 1 - d; parallel edges each carry their share.
 
-    Edges are counted by (src, dst) once. A round shuffles links and ranks by src, and shares, summed before, by dst.
-    Lineage is cut every few rounds, and the loop ends when no rank moves by more than the tolerance.
+    Edges are counted by (src, dst) once, and written in buckets of src, so that a round shuffles only ranks by src, and
+    shares, summed before, by dst. Every round's ranks are written and its shuffle files removed; every few rounds the loop
+    ends if no rank has moved by more than the tolerance.
     """
-    pairs = edges.groupBy("src", "dst").agg(F.count("*").alias("n"))
-    total = edges.groupBy("src").agg(F.count("*").alias("out"))
-    links = cut(pairs.join(total, "src").select("src", "dst", (F.col("n") / F.col("out")).alias("share")))
+    pairs = cut(edges.groupBy("src", "dst").agg(F.count("*").alias("n")))
+    total = pairs.groupBy("src").agg(F.sum("n").alias("out"))
+    links = bucketed(pairs.join(total, "src").select("src", "dst", (F.col("n") / F.col("out")).alias("share")), "src")
     ids = cut(nodes.select("id").distinct())
     ranks = ids.withColumn("pagerank", F.lit(1 - damping))
     for i in range(rounds):
-        flow = links.join(ranks, links.src == ranks.id).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("pagerank") * F.col("share")).alias("flow"))
-        new = ids.join(flow, "id", "left").select("id", (F.lit(1 - damping) + damping * F.coalesce("flow", F.lit(0.0))).alias("pagerank"))
-        if (i + 1) % every == 0 or i == rounds - 1:
-            new = cut(new)
-            if tolerance and i > 1:
-                moved = new.join(ranks.withColumnRenamed("pagerank", "old"), "id").agg(F.max(F.abs(F.col("pagerank") - F.col("old")))).first()[0]
-                if moved is None or moved < tolerance * every:
-                    return new
+        flow = links.join(ranks.hint("shuffle_hash"), links.src == ranks.id).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("pagerank") * F.col("share")).alias("flow"))
+        new = cut(ids.join(flow, "id", "left").select("id", (F.lit(1 - damping) + damping * F.coalesce("flow", F.lit(0.0))).alias("pagerank")))
+        if tolerance and i > 1 and (i + 1) % every == 0:
+            moved = new.join(ranks.withColumnRenamed("pagerank", "old"), "id").agg(F.max(F.abs(F.col("pagerank") - F.col("old")))).first()[0]
+            if moved is None or moved < tolerance * every:
+                return new
         ranks = new
     return ranks
 
