@@ -113,3 +113,12 @@ def test_records_are_written_packed_and_leave_no_shuffle_files(spark, tmp_path):
     before = files()
     cut(spark.range(5000).groupBy((F.col("id") % 777).alias("k")).count())
     assert files() <= before
+
+
+def test_links_in_buckets_are_not_shuffled_again(spark):
+    from hypsoline.plans.lineage import bucketed
+
+    links = bucketed(spark.range(500).select((F.col("id") % 50).alias("src"), F.col("id").alias("dst")), "src")
+    both = links.join(spark.range(50).hint("shuffle_hash"), F.col("src") == F.col("id"))
+    assert both._jdf.queryExecution().sparkPlan().toString() and both._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert both.count() == 500
