@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from hypsoline import registry
@@ -34,6 +35,72 @@ def test_edges_reach_the_driver_packed(spark):
     assert len(near) == 50 and (np.diff(np.repeat(nodes, many)) >= 0).all()
 
 
+def brandes(ids, pairs):
+    """{node: sum} for the nodes that a source among ids reaches."""
+    out, want = {}, {}
+    for a, b in {p for p in pairs if p[0] != p[1]}:
+        out.setdefault(a, []).append(b)
+    for s in ids:
+        before, paths, dist, queue = {s: []}, {s: 1}, {s: 0}, [s]
+        for v in queue:
+            for w in out.get(v, ()):
+                if w not in dist:
+                    dist[w], paths[w], before[w] = dist[v] + 1, 0, []
+                    queue.append(w)
+                if dist[w] == dist[v] + 1:
+                    paths[w] += paths[v]
+                    before[w].append(v)
+        share = dict.fromkeys(queue, 0.0)
+        for w in queue[:0:-1]:
+            for v in before[w]:
+                share[v] += paths[v] / paths[w] * (1 + share[w])
+            want[w] = want.get(w, 0.0) + share[w]
+    return want
+
+
+def test_betweenness_sends_no_edges_to_the_driver(spark, monkeypatch):
+    """Copies of a graph with two sides, a hub, a long path and a random graph; the driver gets neither edges nor sends them."""
+    rnd = random.Random(3)
+    pairs = [(k * 1000 + i, k * 1000 + 100 + rnd.randrange(60)) for k in range(2) for i in range(20) for _ in range(9)]
+    pairs += [(b, a) for a, b in pairs if rnd.random() < 0.5]
+    pairs += [(5000, 5001 + i) for i in range(300)] + [(5001 + i, 5400 + i % 2) for i in range(300)] + [(5400, 5000), (5401, 5000)]
+    pairs += [(6000 + i, 6001 + i) for i in range(80)] + [(7000 + rnd.randrange(50), 7000 + rnd.randrange(50)) for _ in range(200)]
+    edges = spark.createDataFrame(pairs + pairs[:50], "src long, dst long")
+    ids = sorted({x for p in pairs for x in p})
+
+    def refuse(*args, **kwargs):
+        raise AssertionError("rows of the graph in the driver")
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", refuse)
+    for name in ("toLocalIterator", "toPandas", "toArrow"):
+        monkeypatch.setattr(type(edges), name, refuse)
+    want = brandes(ids, pairs)
+    for more in ({}, {"batch_bytes": 1}):  # as many sources at once as fit; one at a time
+        got = {r.id: r.betweenness for r in graph.betweenness(edges, spark.createDataFrame([(i,) for i in ids], "id long"), **more).collect()}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 * (1 + want[i]) for i in want)
+    assert graph.betweenness(edges.where("src < 0"), edges.select(F.col("src").alias("id"))).collect() == []
+    with pytest.raises(ValueError):
+        graph.betweenness(edges, edges.select(F.col("src").alias("id")), most_edges=5)
+
+
+def test_sources_are_worked_out_together(spark):
+    """More sources, neighbours and rows than one block, piece or strip holds."""
+    rnd = np.random.default_rng(1)
+    pairs = np.unique(rnd.integers(0, 700, (9000, 2)), axis=0)
+    pairs = np.unique(np.r_[pairs[pairs[:, 0] != pairs[:, 1]], [(3, i) for i in range(700) if i != 3], [(i, 5) for i in range(700) if i != 5]], axis=0)
+    links = []
+    for src, dst in (pairs.T, pairs[:, ::-1].T):
+        at = np.argsort(src, kind="stable")
+        links.append((np.r_[0, np.cumsum(np.bincount(src, minlength=700))], dst[at].astype(np.int32)))
+    ids = np.sort(rnd.permutation(700)[:40])
+    assert sorted(graph.grouped(ids, *links, 700)) == ids.tolist()
+    rows, shares = graph.shortest_path_shares(ids, np.ones(len(ids)), *links, 700)
+    want = brandes(ids.tolist(), [tuple(p) for p in pairs.tolist()])
+    assert rows.tolist() == sorted(want) and np.allclose(shares, [want[i] for i in sorted(want)])
+    cuts = list(graph.blocks(np.arange(700), links[0], 100, 300))
+    assert np.concatenate(cuts).tolist() == list(range(700)) and all(len(c) == 1 or np.diff(links[0][0])[c].sum() <= 300 for c in cuts)
+
+
 def test_feed_of_many_partitions(spark):
     """Every feed is one file, however its rows lie in partitions."""
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
