@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -73,25 +74,33 @@ def grams(name: Column, n: int = 2) -> Column:
 
 
 def candidate_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """(l, r, shared) for names of left (l) and right (r) with close lengths that share one of their rarest bigrams.
+    """(l, r, shared) for names of left (l) and right (r) with close lengths and letters that share one of their rarest
+    bigrams; where both have a column `c`, only those that differ in it.
 
     Let names of a and b letters have L in common, in order. A ratio of t needs a + b <= 2L / t, so x = a - L deletions and
     y = b - L insertions add up to 2L (1 - t) / t at most. Of the a + 1 bigrams of the padded name, a deletion breaks two and
     an insertion one, so at most 2x + y <= 4a (1 - t) / t are not in the other name, and names share one among so many and
     one more of the rarest of each, which keeps frequent bigrams out of the join. At least L + 1 - (x + y) are shared, which
-    is positive for t >= 2/3: from there on, no pair is lost.
+    is positive for t >= 2/3: from there on, no pair is lost. Letters tell of pairs that need more than x + y edits.
     """
     a = left.select(F.col("l").alias("name"), F.explode(grams(F.col("l"))).alias("g"))
     b = right.select(F.col("r").alias("name"), F.explode(grams(F.col("r"))).alias("g"))
     often = a.unionByName(b).groupBy("g").agg(F.count("*").alias("often"))
+    own = ["c"] if "c" in left.columns and "c" in right.columns else []
 
-    def rarest(names: DataFrame, side: str, size: str) -> DataFrame:
+    def rarest(names: DataFrame, rows: DataFrame, side: str) -> DataFrame:
         most = F.floor(4 * F.length("name") * ((1 - threshold) / threshold) + 1e-9).cast("int") + 1
         listed = names.join(often, "g").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("often", "g"))).alias("gs"))
-        return listed.select(F.col("name").alias(side), F.length("name").alias(size), F.explode(F.slice("gs", F.lit(1), most)).alias("x")).select(side, size, "x.g")
+        listed = listed.select(F.col("name").alias(side), F.explode(F.slice("gs", F.lit(1), most)).alias("x")).select(side, "x.g")
+        found = counted(rows.select(side, *own).distinct(), side)
+        return listed.join(found.select(side, *[F.col(x).alias(f"{x}{side}") for x in ("_n", *COUNTS, *own)]), side)
 
-    close = 2 * F.least("la", "lb") >= threshold * (F.col("la") + F.col("lb"))
-    return rarest(a, "l", "la").join(rarest(b, "r", "lb"), "g").where(close).groupBy("l", "r").agg(F.count("*").alias("shared"))
+    x, y = (tuple(f"{c}{side}" for c in COUNTS) for side in "lr")
+    meet = apart_at_least(x, y) <= edits(F.col("_nl"), F.col("_nr"), threshold)
+    for c in own:
+        meet = (F.col(f"{c}l") != F.col(f"{c}r")) & meet
+    close = 2 * F.least("_nl", "_nr") >= threshold * (F.col("_nl") + F.col("_nr"))
+    return rarest(a, left, "l").join(rarest(b, right, "r"), "g").where(close & meet).groupBy("l", "r").agg(F.count("*").alias("shared"))
 
 
 def shortened(name: Column, most: int = 1) -> Column:
@@ -111,37 +120,58 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
-#: Kinds of letters that `within_reach` counts.
-KINDS = 8
+#: Kinds of letters that are counted apart, all in lower case ASCII but a few signs, and up to which number.
+KINDS, MOST = 64, 4
+#: A name's counts in bits: `MOST` a kind, as many of them set as there are letters of the kind.
+COUNTS = tuple(f"_c{i}" for i in range(KINDS * MOST // 64))
 
 
-def letters(name: str, *more: str) -> list[Column]:
-    """Columns _n and _c0.. of a name's column: its length, and how many of its letters are of each kind."""
-    codes = F.transform(F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1))), lambda i: F.when(i <= F.length(name), F.ascii(F.substr(F.col(name), i, F.lit(1)))))
-    count = lambda k: F.size(F.filter(codes, lambda x: x % KINDS == k)).alias(f"_c{k}")
-    return [F.length(name).alias("_n"), *[count(k) for k in range(KINDS)], *more]
+def _counts(names: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for part in names:
+        texts = part.fillna("").tolist()
+        codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        rows = np.repeat(np.arange(len(texts)), [len(x) for x in texts])
+        kinds = (codes & 31) + (codes >> 6 & 1) * 32
+        many = np.bincount(rows * KINDS + kinds, minlength=len(texts) * KINDS).reshape(-1, KINDS, 1)
+        bits = np.packbits((many > np.arange(MOST)).reshape(len(texts), -1), axis=1)
+        yield pd.DataFrame(bits.view(np.int64).reshape(len(texts), -1), columns=list(COUNTS))
+
+
+def counted(df: DataFrame, name: str) -> DataFrame:
+    """df with _n, the length of a name's column, and its letters' `COUNTS`."""
+    found = F.pandas_udf(_counts, ", ".join(f"{c} long" for c in COUNTS))(F.col(name))
+    return df.withColumn("_x", found).select(*df.columns, F.length(name).alias("_n"), "_x.*")
+
+
+def apart_at_least(here: tuple[str, ...], there: tuple[str, ...]) -> Column:
+    """Letters that have to be put in or taken at least, by columns of `COUNTS`."""
+    return sum((F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(here, there, strict=True)), F.lit(0))
+
+
+def edits(a: Column, b: Column, threshold: float) -> Column:
+    """How many letters can be put in or taken between names of a and b letters at or above the threshold: they have
+    L >= t (a + b) / 2 in common, so a + b - 2L at most."""
+    return F.floor((a + b) * (1 - threshold) + 1e-9).cast("int")
 
 
 def within_reach(left: DataFrame, right: DataFrame, threshold: float, apart: str | None = None) -> DataFrame:
     """The rows of left (l) for which right (r) may hold a name at or above the threshold; `apart`: of another value there.
 
     Names of a and b letters have 2 (1 - t) / t * L edits at most, and L <= least(a, b); counts of kinds of letters differ by
-    one an edit at most. Equal counts are compared once, and meet by length and the first count. No such row is missed.
+    one an edit at most. Equal counts are compared once, and meet by length. No such row is missed.
     """
     own = [apart] if apart else []
-    cells = cut(spread(left).select("l", *letters("l", *own)))
-    keys = [c for c in cells.columns if c != "l"]
-    there = spread(right).select(*letters("r", *own)).distinct()
-    there = there.select(*[F.col(c).alias(f"{c}_") for c in there.columns])
-    reach = lambda n: F.floor(2 * n * ((1 - threshold) / threshold) + 1e-9).cast("int")
-    lengths = F.sequence(F.greatest(F.lit(0), F.col("_n") - reach(F.col("_n"))), F.col("_n") + reach(F.col("_n")))
-    here = cells.select(*keys).distinct().withColumn("_m", F.explode(lengths)).withColumn("_e", reach(F.least("_n", "_m")))
-    here = here.where(F.abs(F.col("_n") - F.col("_m")) <= F.col("_e"))
-    here = here.withColumn("_f", F.explode(F.sequence(F.greatest(F.lit(0), F.col("_c0") - F.col("_e")), F.col("_c0") + F.col("_e"))))
-    differ = sum((F.abs(F.col(f"_c{k}") - F.col(f"_c{k}_")) for k in range(KINDS)), F.lit(0))
-    meet = (F.col("_m") == F.col("_n_")) & (F.col("_f") == F.col("_c0_")) & (differ <= F.col("_e"))
+    cells = cut(counted(spread(left.select("l", *own)), "l"))
+    keys = ["_n", *COUNTS, *own]
+    there = counted(spread(right.select("r", *own)), "r").select(*[F.col(c).alias(f"{c}_") for c in keys]).distinct()
+    reach = F.floor(2 * F.col("_n") * ((1 - threshold) / threshold) + 1e-9).cast("int")
+    lengths = F.sequence(F.greatest(F.lit(0), F.col("_n") - reach), F.col("_n") + reach)
+    here = cells.select(*keys).distinct().withColumn("_m", F.explode(lengths))
+    here = here.where(F.abs(F.col("_n") - F.col("_m")) <= edits(F.col("_n"), F.col("_m"), threshold))
+    meet = F.col("_m") == F.col("_n_")
     if apart:
         meet = meet & (F.col(apart) != F.col(f"{apart}_"))
+    meet = meet & (apart_at_least(COUNTS, tuple(f"{c}_" for c in COUNTS)) <= edits(F.col("_n"), F.col("_n_"), threshold))
     found = here.join(there, meet, "left_semi").select(*keys).distinct()
     return cells.join(found, keys, "left_semi").select("l", *own)
 
@@ -201,7 +231,7 @@ def clusters(names: DataFrame, threshold: float = 0.85) -> DataFrame:
         meet = texts.where(F.length("t") >= threshold * F.col("n")).groupBy("t").agg(F.collect_set("c").alias("cs")).where(F.size("cs") > 1)
         placed = joined(meet.select(F.array_min("cs").alias("src"), F.explode("cs").alias("dst")).where("src <> dst").distinct())
     open_ = cut(within_reach(placed.select(F.col("k").alias("l"), "c"), placed.select(F.col("k").alias("r"), "c"), threshold, "c"))
-    pairs = candidate_pairs(open_.select("l"), open_.select(F.col("l").alias("r")), threshold).where("l < r")
+    pairs = candidate_pairs(open_, open_.select(F.col("l").alias("r"), "c"), threshold).where("l < r")
     pairs = pairs.join(open_.select("l", F.col("c").alias("src")), "l").join(open_.select(F.col("l").alias("r"), F.col("c").alias("dst")), "r").where("src <> dst")
     linked = pairs.withColumn("s", ratio(F.col("l"), F.col("r"))).where(F.col("s") >= threshold)
     placed = joined(linked.select("src", "dst").distinct())

@@ -164,6 +164,28 @@ def test_names_of_one_pattern_are_not_compared_with_each_other(spark, monkeypatc
     assert found.count() == 3000 and [x.count() for x in met] == [0, 0]
 
 
+def test_components_that_letters_tell_apart_are_not_compared(spark, monkeypatch):
+    """Numbers whose digits make up for other letters where only eight kinds of letters are counted; names of one component."""
+    met = []
+    pairs = resolution.candidate_pairs
+    monkeypatch.setattr(resolution, "candidate_pairs", lambda a, b, t: met.append(pairs(a, b, t)) or met[-1])
+    ids = spark.range(55000, 58000)
+    names = ids.select("id", F.when(F.col("id") % 2 == 0, F.format_string("Supplier#%09d", "id")).otherwise(F.format_string("Somewhere else %d", "id")).alias("name"))
+    got = resolution.clusters(names).groupBy("cluster").count().orderBy("cluster").collect()
+    assert [tuple(r) for r in got] == [(55000, 1500), (55001, 1500)] and met[0].count() == 0
+    rows = spark.createDataFrame([("abcdefgh1", 1), ("abcdefgh2", 1), ("abcdefgh3", 2)], "l string, c int")
+    assert {(r.l[-1], r.r[-1]) for r in pairs(rows, rows.withColumnRenamed("l", "r"), 0.75).collect()} == {("1", "3"), ("2", "3"), ("3", "1"), ("3", "2")}
+
+
+def test_letter_counts_are_no_further_apart_than_names(spark):
+    names = close_names(7, 120) + ["", "eeeeeeeee", "\U0001f600\U0001f601a"]
+    rows = resolution.counted(spark.createDataFrame([(x,) for x in names] + [(None,)], "x string"), "x").where("x IS NOT NULL")
+    other = rows.select(*[F.col(c).alias(f"{c}_") for c in rows.columns])
+    both = rows.crossJoin(other).select("x", "x_", "_n", resolution.apart_at_least(resolution.COUNTS, [f"{c}_" for c in resolution.COUNTS]).alias("d")).collect()
+    assert all(r.d <= round((1 - resolution.indel_ratio(r.x, r.x_)) * (len(r.x) + len(r.x_))) and r._n == len(r.x) for r in both)
+    assert {r.d for r in both if (r.x, r.x_) == ("", "eeeeeeeee")} == {4} and {r.d for r in both if r.x == r.x_} == {0}
+
+
 def test_records_are_written_packed_and_leave_no_shuffle_files(spark, tmp_path):
     """Repeats of a mention in a document keep the last line; files are compressed; shuffles of the writing are gone."""
     from hypsoline.plans import catalog_sources
