@@ -101,6 +101,26 @@ def test_sources_are_worked_out_together(spark):
     assert np.concatenate(cuts).tolist() == list(range(700)) and all(len(c) == 1 or np.diff(links[0][0])[c].sum() <= 300 for c in cuts)
 
 
+def test_components_are_worked_out_apart():
+    """Components of one size are split from each other, small ones are put together; few links are followed and many are summed."""
+    rnd = np.random.default_rng(2)
+    pairs = [(k * 400 + a, k * 400 + 300 + b) for k in range(3) for a, b in rnd.integers(0, [300, 100], (4000, 2))]
+    pairs += [(b, a) for a, b in pairs if rnd.random() < 0.5] + [(1200 + i, 1201 + i) for i in range(0, 60, 3)] + [(1300 + i, 1301 + i) for i in range(200)]
+    pairs = np.unique(np.array(pairs), axis=0)
+    links = []
+    for src, dst in (pairs.T, pairs[:, ::-1].T):
+        links.append((np.r_[0, np.cumsum(np.bincount(src, minlength=1600))], dst[np.argsort(src, kind="stable")].astype(np.int32)))
+    want = brandes(range(1600), [tuple(p) for p in pairs.tolist()])
+    for together, tall, wide in ((1, 64, 4), (500, 4096, 7), (10_000, 100, 3)):
+        parts, got = list(graph.split_up(*links, 1600, together)), {}
+        assert sorted(np.concatenate([p[0] for p in parts]).tolist()) == list(range(1600))
+        for nodes, out, into, ends in parts:
+            rows, shares = graph.shortest_path_shares(np.arange(len(nodes)), np.ones(len(nodes)), out, into, len(nodes), ends, wide, tall)
+            got |= dict(zip(nodes[rows].tolist(), shares.tolist(), strict=True))
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 * (1 + want[i]) for i in want)
+        assert max(len(p[0]) for p in parts) < 1000 or together > 1000
+
+
 def test_feed_of_many_partitions(spark):
     """Every feed is one file, however its rows lie in partitions."""
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
